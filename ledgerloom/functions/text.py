@@ -41,9 +41,9 @@ def instant_text(value: Column) -> Column:
     return F.concat(seconds, fraction, F.lit("+00:00"))
 
 
-def value_text(name: str, kind: T.DataType) -> Column:
-    """Text of one column by its type; NULL stays NULL."""
-    value = F.col(name)
+def value_text(value: Column | str, kind: T.DataType) -> Column:
+    """Text of a value by its type; NULL stays NULL."""
+    value = F.col(value) if isinstance(value, str) else value
     if isinstance(kind, T.DoubleType):
         return number_text(value)
     if isinstance(kind, T.TimestampType):

@@ -31,7 +31,7 @@ def median(df: DataFrame, column: str) -> DataFrame:
         df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_rows"))
     )
     ordered = running_total(counts, [column], "_rows", "_upto")
-    total = ordered.agg(F.max("_upto")).scalar()
+    total = df.agg(F.count(column)).scalar()
     # 1-based ranks of the middle row, or of the two middle rows.
     low, high = F.floor((total + 1) / 2), F.floor((total + 2) / 2)
     first = F.col("_upto") - F.col("_rows") + 1

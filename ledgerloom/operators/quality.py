@@ -114,7 +114,7 @@ def share_within(
         ))
     )
     targets = _one_row(df).select(wanted.alias("t")).select("t.*")
-    found = value_shares(df, column).join(F.broadcast(targets), column, "full_outer")
+    found = value_shares(df, column).join(targets, column, "full_outer")
     share = F.coalesce("share", F.lit(0.0))
     target = F.coalesce("expected_share", F.lit(0.0))
     return found.select(

@@ -7,13 +7,18 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.rules import CURRENCIES
+from ledgerloom.operators.joins import pit_join
 from ledgerloom.operators.rows import staging
 from ledgerloom.operators.scd2 import account_profiles, scd2_from_snapshots
+from ledgerloom.plans.warehouse import fact_table
 from ledgerloom.session import configure, stage
 
 RUN_DATES = [date(1998, 1, 1), date(2000, 1, 1), date(2002, 1, 1)]
 # A total order of rows visible in the data itself.
-ROW_ORDER = ["timestamp", "amount", "merchant_name", "category", "account_id"]
+ROW_ORDER = [
+    "timestamp", "amount", "merchant_name", "category", "account_id", "transaction_type", "status",
+]
 
 _staged: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -75,10 +80,9 @@ def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def landing_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed rows with faults of every rule, placed by order number."""
     clean = landing(spark, sf_dir)
-    order = F.split("transaction_id", "-")[0].cast("long")
 
     def hit(every: int):
-        return order % every == 0
+        return order_number() % every == 0
 
     return clean.withColumns({
         "amount": F.when(hit(97), -F.col("amount")).when(~hit(101), F.col("amount")),
@@ -114,3 +118,122 @@ def dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, sf_dir, "dim_accounts",
         lambda: scd2_from_snapshots(account_profiles(rows, RUN_DATES)),
     )
+
+
+def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts over all landed rows, so that repeats show up as fan-out."""
+    return fact_table(stg(spark, sf_dir), dimension(spark, sf_dir))
+
+
+# --- faults for the checks --------------------------------------------------
+
+
+def account_number(column: str = "account_id"):
+    return F.substring(column, 5, 100).cast("long")
+
+
+def order_number():
+    return F.split("transaction_id", "-")[0].cast("long")
+
+
+def thinned(df: DataFrame) -> DataFrame:
+    """Rows missing: every fiftieth order is gone."""
+    return df.where(order_number() % 50 != 0)
+
+
+def repeated(mart: DataFrame, column: str, value: str) -> DataFrame:
+    """Some grain values stored twice."""
+    return mart.unionByName(mart.where(F.col(column) == value))
+
+
+def keyless(dim: DataFrame) -> DataFrame:
+    """Every fifth account lost its surrogate keys."""
+    return dim.withColumn("account_sk", F.when(account_number() % 5 != 0, F.col("account_sk")))
+
+
+def all_current(dim: DataFrame) -> DataFrame:
+    """Every seventh account has all versions marked current."""
+    return dim.withColumn("is_current", F.col("is_current") | (account_number() % 7 == 0))
+
+
+def stretched(dim: DataFrame) -> DataFrame:
+    """Every tenth account's closed versions end a month late."""
+    late = F.col("valid_to") + F.expr("INTERVAL 30 DAYS")
+    return dim.withColumn(
+        "valid_to", F.when(account_number() % 10 == 0, late).otherwise(F.col("valid_to"))
+    )
+
+
+def unkeyed_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts whose unmatched rows were left without a key."""
+    return pit_join(stg(spark, sf_dir), dimension(spark, sf_dir), unknown=None)
+
+
+# --- audit tables, one run per period of the data ---------------------------
+
+
+def ingestion_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run per month: known currencies were loaded, others quarantined."""
+    known = F.col("currency").isin(*CURRENCIES)
+    month = F.trunc("transaction_date", "MM")
+    return transactions(spark, sf_dir).groupBy(month.alias("month")).agg(
+        F.count_if(known).alias("records_loaded"),
+        F.count_if(~known).alias("records_quarantined"),
+        F.count_distinct("merchant_name").alias("duplicates_skipped"),
+        F.count_distinct("source_file").alias("files_processed"),
+        (F.count("*") / 64).alias("elapsed_seconds"),
+    ).select(
+        F.concat(F.lit("ingest-"), F.col("month").cast("string")).alias("run_id"),
+        F.col("month").cast("timestamp").alias("started_at"),
+        F.when(F.col("records_quarantined") > F.col("records_loaded"), "failed")
+        .otherwise("completed").alias("status"),
+        "files_processed", "records_loaded", "records_quarantined", "duplicates_skipped",
+        "elapsed_seconds",
+    )
+
+
+def transform_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run per quarter; each category seen counts as a model."""
+    quarter = F.trunc("transaction_date", "quarter")
+    return transactions(spark, sf_dir).groupBy(quarter.alias("quarter")).agg(
+        F.count_distinct("category").alias("models_executed"),
+        (F.count("*") / 64).alias("elapsed_seconds"),
+    ).select(
+        F.concat(F.lit("models-"), F.col("quarter").cast("string")).alias("run_id"),
+        F.timestamp_add("HOUR", F.lit(1), F.col("quarter").cast("timestamp")).alias("started_at"),
+        F.lit("completed").alias("status"),
+        "models_executed",
+        "elapsed_seconds",
+    )
+
+
+def check_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A check per year and category, failing when more than a fifth is not accepted."""
+    unknown = F.count_if(~F.col("currency").isin(*CURRENCIES))
+    year = F.trunc("transaction_date", "year")
+    return transactions(spark, sf_dir).groupBy(year.alias("year"), "category").agg(
+        unknown.alias("violation_count"), F.count("*").alias("n")
+    ).select(
+        F.concat(F.lit("check-"), F.col("year").cast("string")).alias("run_id"),
+        F.timestamp_add("HOUR", F.lit(2), F.col("year").cast("timestamp")).alias("started_at"),
+        F.concat(F.lit("currency_"), F.lower("category")).alias("check_name"),
+        F.when(F.col("category").startswith("S"), "critical").otherwise("warn").alias("severity"),
+        F.concat(F.lit("Currencies of "), "category").alias("description"),
+        F.when(F.col("violation_count") * 5 > F.col("n"), "fail").otherwise("pass").alias("status"),
+        "violation_count",
+        (F.col("n") / 64).alias("elapsed_seconds"),
+    )
+
+
+def check_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The yearly runs the results belong to."""
+    failed = F.count_if(F.col("status") == "fail")
+    critical = F.count_if((F.col("status") == "fail") & (F.col("severity") == "critical"))
+    return check_results(spark, sf_dir).groupBy("run_id", "started_at").agg(
+        F.when(critical > 0, "failed").when(failed > 0, "warn").otherwise("passed").alias("status"),
+        F.count("*").alias("total_checks"),
+        F.count_if(F.col("status") == "pass").alias("checks_passed"),
+        failed.alias("checks_failed"),
+        F.lit(0).cast("long").alias("checks_errored"),
+        F.sum("elapsed_seconds").alias("elapsed_seconds"),
+    )

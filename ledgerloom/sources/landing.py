@@ -15,8 +15,6 @@ from ledgerloom import schemas
 from ledgerloom.sources.files import exists, open_input
 
 _FILES = "file_path string, path string, file_size_bytes long, file_mtime double"
-# Files up to this size are hashed in memory by the JVM, larger ones in chunks.
-_HASH_IN_MEMORY = 64 * 1024 * 1024
 _CHUNK = 4 * 1024 * 1024
 
 SOURCE_FILE, SOURCE_ROW = "source_file", "_source_row"
@@ -33,36 +31,36 @@ def _listing(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def landing_files(
-    spark: SparkSession, directory: str, newer_than: float | None = None, hashed: bool = True
+    spark: SparkSession, directory: str, newer_than: float | None = None
 ) -> DataFrame:
-    """List the parquet files of a directory with size, time and SHA-256.
+    """List the parquet files of a directory with size and time; no content is read.
 
-    Files not newer than ``newer_than`` (seconds) are dropped before any
-    content is read.  A missing directory gives an empty listing.
+    Only files newer than ``newer_than`` (seconds) are listed, if it is given.
+    A missing directory gives an empty listing.
     """
-    shape = _FILES + (", file_hash string" if hashed else "")
     if not exists(spark, directory):
-        return spark.createDataFrame([], shape)
-
+        return spark.createDataFrame([], _FILES)
     files = _listing(spark, directory)
     if newer_than is not None:
         cut = datetime.fromtimestamp(newer_than, UTC)
         files = files.where(F.col("modificationTime") > F.lit(cut))
-
-    facts = (
+    return files.select(
         F.element_at(F.split("path", "/"), -1).alias("file_path"),
         F.col("path"),
         F.col("length").alias("file_size_bytes"),
         F.col("modificationTime").cast("double").alias("file_mtime"),
     )
-    if not hashed:
-        return files.select(*facts)
 
-    small = files.where(F.col("length") <= _HASH_IN_MEMORY).select(
-        *facts, F.sha2("content", 256).alias("file_hash")
-    )
-    large = files.where(F.col("length") > _HASH_IN_MEMORY).select(*facts)
-    return small.unionByName(large.mapInPandas(_hash_files, shape))
+
+def _spread(files: DataFrame) -> DataFrame:
+    """One slice of the file list per core: a row is small, the file behind it is not."""
+    return files.repartition(files.sparkSession.sparkContext.defaultParallelism)
+
+
+def hash_files(files: DataFrame) -> DataFrame:
+    """Add the SHA-256 of each file's bytes, read in chunks, so of any size."""
+    columns = ["file_path", "path", "file_size_bytes", "file_mtime"]
+    return _spread(files.select(*columns)).mapInPandas(_hash_files, _FILES + ", file_hash string")
 
 
 def _hash_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,14 +86,15 @@ _ACCEPTED = {
 _FOOTERS = "path string, columns array<string>, kinds array<string>, failure string"
 
 
-def _kind(field_type) -> str:
+def _kind(field_type, stored: str) -> str:
     """A short name for the Arrow types a landing file may use."""
     import pyarrow.types as pt
 
     if pt.is_string(field_type) or pt.is_large_string(field_type):
         return "string"
     if pt.is_timestamp(field_type):
-        return "timestamp_ns" if field_type.unit == "ns" else "timestamp"
+        # Arrow shows INT96 as nanoseconds, but Spark reads it as a timestamp.
+        return "timestamp_ns" if field_type.unit == "ns" and stored != "INT96" else "timestamp"
     return str(field_type)
 
 
@@ -107,8 +106,11 @@ def _read_footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path in files["path"]:
             try:
                 with open_input(path) as source:
-                    schema = pq.ParquetFile(source).schema_arrow
-                rows.append((path, schema.names, [_kind(t) for t in schema.types], None))
+                    footer = pq.ParquetFile(source)
+                    schema, leaves = footer.schema_arrow, footer.schema
+                stored = {leaf.path: leaf.physical_type for leaf in leaves}
+                kinds = [_kind(f.type, stored.get(f.name, "")) for f in schema]
+                rows.append((path, schema.names, kinds, None))
             except Exception as failure:  # an unreadable file is a finding, not a job failure
                 rows.append((path, [], [], str(failure) or type(failure).__name__))
         yield pd.DataFrame(rows, columns=["path", "columns", "kinds", "failure"])
@@ -129,7 +131,7 @@ def schema_errors(files: DataFrame, expected=schemas.LANDING) -> DataFrame:
     integers and floats where a double is expected.  ``error`` is NULL for a
     file that conforms; only footers are read.
     """
-    footers = files.select("path").mapInPandas(_read_footers, _FOOTERS)
+    footers = _spread(files.select("path")).mapInPandas(_read_footers, _FOOTERS)
     names = F.array(*(F.lit(f.name) for f in expected))
     missing = F.array_except(names, "columns")
     extra = F.array_except("columns", names)

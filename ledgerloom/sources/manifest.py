@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from ledgerloom import schemas
 
 
+def changed_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Drop files that were read with success and still have that size and time.
+
+    This saves hashing a landing directory again on every run.
+    """
+    same = ["file_path", "file_size_bytes", "file_mtime"]
+    done = manifest.where(F.col("status") == "success").select(*same)
+    return files.join(done, same, "left_anti")
+
+
 def pending_files(
     files: DataFrame,
     manifest: DataFrame,
@@ -17,7 +27,7 @@ def pending_files(
     mode: str = "hash",
     full_refresh: bool = False,
 ) -> DataFrame:
-    """Files still to be read.
+    """Hashed files still to be read.
 
     ``mode="hash"`` skips a file only if the same content was read with
     success before.  ``mode="watermark"`` first skips every file whose time is

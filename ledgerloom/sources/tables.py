@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.sources.files import child_names, exists
@@ -14,23 +13,29 @@ _VERSION = "version="
 
 
 def append_partitioned(
-    df: DataFrame, path: str, by: str, sort: Sequence[str] = (), mode: str = "append"
+    df: DataFrame, path: str, by: str, spread: Sequence[str], mode: str = "append"
 ) -> None:
     """Add rows to a partitioned parquet table.
 
-    REBALANCE gathers each partition value into few files of the advisory
-    size; adaptive execution splits a value that holds far more rows than the
-    others, so one hot day is still written by many tasks.
+    Rows are ranged by partition value and then by ``spread``, columns that
+    tell rows apart: each value goes to few, sorted files, and a value that
+    holds a third of all rows is still written by a third of the tasks.
     """
-    balanced = df.hint("rebalance", F.col(by))
-    balanced.sortWithinPartitions(by, *sort).write.mode(mode).partitionBy(by).parquet(path)
+    ranged = df.repartitionByRange(by, *spread).sortWithinPartitions(by, *spread)
+    ranged.write.mode(mode).partitionBy(by).parquet(path)
 
 
-def read_partitioned(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Read an appended table; before the first append it is empty."""
+def read_partitioned(
+    spark: SparkSession, path: str, schema: T.StructType, extra: T.StructType | None = None
+) -> DataFrame:
+    """Read an appended table; before the first append it is empty.
+
+    ``extra`` names partition columns that are not columns of the table.
+    """
+    shape = T.StructType(schema.fields + (extra.fields if extra else []))
     if not exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path).select(*schema.names)
+        return spark.createDataFrame([], shape)
+    return spark.read.schema(shape).parquet(path).select(*shape.names)
 
 
 def _versions(spark: SparkSession, root: str) -> list[int]:
@@ -58,13 +63,21 @@ def publish(df: DataFrame, root: str, sort: Sequence[str] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def latest(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
-    """The last committed version of a published table, or no rows."""
+def committed_path(spark: SparkSession, root: str) -> str | None:
+    """Folder of the last committed version of a published table."""
     for version in reversed(_versions(spark, root)):
         path = _version_path(root, version)
         if exists(spark, f"{path}/_SUCCESS"):
-            return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+            return path
+    return None
+
+
+def latest(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """The last committed version of a published table, or no rows."""
+    path = committed_path(spark, root)
+    if path is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def replace_table(df: DataFrame, name: str, sort: Sequence[str] = ()) -> DataFrame:

@@ -31,37 +31,40 @@ def dedup_first(
 
 
 def known_keys(df: DataFrame, existing: DataFrame, key: str = KEY) -> DataFrame:
-    """Keys of history that occur in the batch.
+    """Rows of history whose key occurs in the batch.
 
-    Reducing history to the batch first lets Spark test history rows against
-    a broadcast (or runtime filter) of the batch keys while scanning, instead
+    Reducing history to the batch lets Spark test history rows against a
+    broadcast (or runtime filter) of the batch keys while scanning, instead
     of shuffling all of history for every batch.
     """
-    return existing.select(key).join(df.select(key), key, "left_semi")
+    return existing.join(df.select(key).distinct(), key, "left_semi")
 
 
 def drop_existing(df: DataFrame, existing: DataFrame, key: str = KEY) -> DataFrame:
     """Rows whose key is not in history yet."""
-    return df.join(known_keys(df, existing, key), key, "left_anti")
+    return df.join(known_keys(df, existing.select(key), key), key, "left_anti")
 
 
 def label_duplicates(
-    valid: DataFrame, existing: DataFrame | None = None, key: str = KEY, file: str = SOURCE_FILE
+    valid: DataFrame, known: DataFrame | None = None, key: str = KEY, file: str = SOURCE_FILE
 ) -> DataFrame:
     """One row per file: rows read as valid, loaded, repeated within, known across.
 
-    The first file in name order that holds a key loads it, unless history
-    has it.  Further rows of a key in one file are ``within_file`` repeats;
+    ``known`` holds the keys history has, as far as they occur in the batch.
+    The first file in name order that holds a key loads it, unless it is
+    known.  Further rows of a key in one file are ``within_file`` repeats;
     its first row in a file that does not load it is a ``cross_file`` repeat.
     """
     per_file_key = valid.groupBy(key, file).agg(F.count("*").alias("_rows"))
     per_file = per_file_key.groupBy(file).agg(
         F.sum("_rows").alias("valid_rows"), F.count("*").alias("_keys")
     )
-    owners = per_file_key.groupBy(key).agg(F.min(file).alias(file))
-    if existing is not None:
-        owners = drop_existing(owners, existing, key)
-    loaded = owners.groupBy(file).agg(F.count("*").alias("loaded"))
+    # Reading `_rows` here too keeps both branches alike: Spark then reuses one
+    # exchange for them instead of grouping the batch twice.
+    owners = per_file_key.groupBy(key).agg(F.min(file).alias(file), F.sum("_rows").alias("_rows"))
+    if known is not None:
+        owners = owners.join(known.select(key), key, "left_anti")
+    loaded = owners.groupBy(file).agg(F.count_if(F.col("_rows") > 0).alias("loaded"))
 
     n = F.coalesce("loaded", F.lit(0))
     return per_file.join(loaded, file, "left").select(
@@ -75,7 +78,7 @@ def label_duplicates(
 
 def ingest_counts(
     labelled: DataFrame,
-    existing: DataFrame | None = None,
+    known: DataFrame | None = None,
     key: str = KEY,
     file: str = SOURCE_FILE,
 ) -> DataFrame:
@@ -83,7 +86,7 @@ def ingest_counts(
     read = labelled.groupBy(file).agg(
         F.count("*").alias("rows_read"), F.count_if(~F.col(VALID)).alias("quarantined")
     )
-    valid = label_duplicates(labelled.where(F.col(VALID)), existing, key, file)
+    valid = label_duplicates(labelled.where(F.col(VALID)), known, key, file)
     zero = F.lit(0)
     return read.join(valid, file, "left").select(
         file,

@@ -44,15 +44,14 @@ def quarantine_rows(
         F.col(REASON).alias("rejection_reason"),
         F.lit(at).cast("timestamp").alias("rejected_at"),
         F.lit(run_id).alias("run_id"),
-        *(F.col(c) for c in (SOURCE_ROW,) if c in invalid.columns),
+        *(F.col(c) for c in ("quarantine_id",) if c in invalid.columns),
     )
 
 
 def to_quarantine(invalid: DataFrame, run_id: str, at: datetime, start: int = 0) -> DataFrame:
     """Quarantine table rows, numbered after ``start`` in (file, row) order."""
-    rows = quarantine_rows(invalid, run_id, at)
-    numbered = number_rows(rows, [SOURCE_FILE, SOURCE_ROW], "quarantine_id", start)
-    return numbered.select(*schemas.QUARANTINE.names)
+    numbered = number_rows(invalid, [SOURCE_FILE, SOURCE_ROW], "quarantine_id", start)
+    return quarantine_rows(numbered, run_id, at).select(*schemas.QUARANTINE.names)
 
 
 def enrich(df: DataFrame, run_id: str, at: datetime) -> DataFrame:

@@ -12,13 +12,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom import schemas
-from ledgerloom.operators.dedup import dedup_first, drop_existing, ingest_counts, run_totals
-from ledgerloom.operators.rows import VALID, date_slice, enrich, split, to_quarantine, validate
+from ledgerloom.operators.dedup import KEY, dedup_first, ingest_counts, known_keys, run_totals
+from ledgerloom.operators.rows import (
+    REASON,
+    REASONS,
+    VALID,
+    date_slice,
+    enrich,
+    split,
+    to_quarantine,
+    validate,
+)
 from ledgerloom.operators.runs import audit_row, run_started
 from ledgerloom.session import configure, stage
 from ledgerloom.sources import manifest as M
 from ledgerloom.sources.landing import hash_files, landing_files, read_audited, schema_errors
-from ledgerloom.sources.tables import append_partitioned, latest, publish, read_partitioned
+from ledgerloom.sources.tables import (
+    append_partitioned,
+    latest,
+    publish,
+    read_partitioned,
+    replace_partitions,
+)
 
 MONTH = "transaction_month"
 _MONTH_COLUMN = T.StructType([T.StructField(MONTH, T.DateType())])
@@ -84,26 +99,29 @@ def write_batch(
     """Validate, quarantine, deduplicate, enrich and append one batch; counts per file.
 
     The judged batch is written once, apart by verdict, so that quarantine,
-    keys and counts each read only the columns they need.  Loading drops ids
-    history already has, and quarantine replaces its run's partition: a
-    repeated batch leaves the same tables.
+    keys and counts each read only the columns they need.  History is scanned
+    once, for its id column.  Loading drops ids history already has, and
+    quarantine replaces its run's partition: a repeated batch leaves the same
+    tables.
     """
-    judged = stage(validate(landed), "judged", partition_by=[VALID])
-    history = house.transactions()
+    verdict = validate(landed)
+    judged = stage(
+        verdict.withColumn(REASON, F.when(~F.col(VALID), F.col(REASON))).drop(REASONS),
+        "judged", partition_by=[VALID],
+    )
+    valid, invalid = split(judged)
+    history = house.transactions().select(KEY, (F.col("run_id") == run_id).alias("own"))
+    known = stage(known_keys(valid, history), "known_keys")
     # A repeat of this run must not count its own earlier rows as history.
-    earlier = history.where(F.col("run_id") != run_id)
-    counts = stage(ingest_counts(judged, earlier), "counts")
+    counts = stage(ingest_counts(judged, known.where(~F.col("own"))), "counts")
 
-    valid, invalid = split(judged)
-    start = house.quarantine().where(F.col("run_id") != run_id).agg(
-        F.coalesce(F.max("quarantine_id"), F.lit(0)).alias("top")
-    ).first().top
-    append_partitioned(
-        to_quarantine(invalid, run_id, at, start), house.path("quarantine"), "run_id",
-        ["quarantine_id"], mode="overwrite",
+    last = house.quarantine().where(F.col("run_id") != run_id).agg(
+        F.coalesce(F.max("quarantine_id"), F.lit(0)).alias("id")
+    ).first().id
+    replace_partitions(
+        to_quarantine(invalid, run_id, at, last), house.path("quarantine"), "run_id"
     )
-
-    fresh = drop_existing(dedup_first(valid), history)
+    fresh = dedup_first(valid).join(known, KEY, "left_anti")
     house.append_transactions(enrich(fresh, run_id, at))
     return counts
 

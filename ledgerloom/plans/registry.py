@@ -123,7 +123,8 @@ def dedup_cross_batch(spark, sf):
 @query
 def ingest_counts(spark, sf):
     history = td.landing(spark, sf).where(F.col("source_file") == "batch_1996.parquet")
-    return D.ingest_counts(_judged(spark, sf), history)
+    judged = _judged(spark, sf)
+    return D.ingest_counts(judged, D.known_keys(judged.where(F.col(P.VALID)), history))
 
 
 @query

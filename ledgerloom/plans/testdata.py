@@ -31,13 +31,19 @@ def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return _staged[key]
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Share out a table of fewer files than cores; a scan cannot split one row group."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def _source(spark: SparkSession, sf_dir: str) -> DataFrame:
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
     nation = F.pmod("c_nationkey", F.lit(5))
     return (
-        table("lineitem")
+        _spread(table("lineitem"))
         .join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table("customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))

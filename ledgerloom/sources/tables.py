@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.sources.files import child_names, exists
@@ -12,17 +13,20 @@ from ledgerloom.sources.files import child_names, exists
 _VERSION = "version="
 
 
-def append_partitioned(
-    df: DataFrame, path: str, by: str, spread: Sequence[str], mode: str = "append"
-) -> None:
+def append_partitioned(df: DataFrame, path: str, by: str, sort: Sequence[str] = ()) -> None:
     """Add rows to a partitioned parquet table.
 
-    Rows are ranged by partition value and then by ``spread``, columns that
-    tell rows apart: each value goes to few, sorted files, and a value that
-    holds a third of all rows is still written by a third of the tasks.
+    REBALANCE gathers each partition value into few files of the advisory
+    size; adaptive execution splits a value that holds far more rows than the
+    others, so one hot value is still written by many tasks.
     """
-    ranged = df.repartitionByRange(by, *spread).sortWithinPartitions(by, *spread)
-    ranged.write.mode(mode).partitionBy(by).parquet(path)
+    balanced = df.hint("rebalance", F.col(by)).sortWithinPartitions(by, *sort)
+    balanced.write.mode("append").partitionBy(by).parquet(path)
+
+
+def replace_partitions(df: DataFrame, path: str, by: str) -> None:
+    """Write rows as they are distributed, replacing the partitions they belong to."""
+    df.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
 def read_partitioned(

@@ -24,7 +24,7 @@ from ledgerloom.operators.rows import (
     validate,
 )
 from ledgerloom.operators.runs import audit_row, run_started
-from ledgerloom.session import configure, stage
+from ledgerloom.session import configure, scratch, stage
 from ledgerloom.sources import manifest as M
 from ledgerloom.sources.landing import hash_files, landing_files, read_audited, schema_errors
 from ledgerloom.sources.tables import (
@@ -150,7 +150,8 @@ def run_ingest(
     counters: dict[str, int] = {}
     status = "failed"
     try:
-        counters = _ingest(house, source_dir, run_id, at, mode, full_refresh)
+        with scratch(spark):
+            counters = _ingest(house, source_dir, run_id, at, mode, full_refresh)
         status = "completed"
     finally:
         elapsed = time.monotonic() - started

@@ -370,6 +370,37 @@ _RECORD = (
 _LANDED = """transaction_id, ts AS "timestamp", amount, currency, merchant_name, category,
   account_id, transaction_type, status"""
 
+_FILES = (
+    "benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels",
+    "lineitem", "nation", "orders", "pages", "part", "region", "supplier",
+)
+_LANDING_COLUMNS = sorted([
+    "transaction_id", "timestamp", "amount", "currency", "merchant_name", "category",
+    "account_id", "transaction_type", "status",
+])
+
+
+def _schema_audit() -> str:
+    tables = " UNION ALL ".join(
+        f"SELECT '{name}.parquet' AS file_path, "
+        f"(SELECT list(column_name ORDER BY column_name) FROM (DESCRIBE {name})) AS found"
+        for name in _FILES
+    )
+    names = ", ".join(f"'{name}'" for name in _LANDING_COLUMNS)
+
+    def text(label: str, items: str) -> str:
+        quoted = f"list_transform({items}, lambda x: chr(39) || x || chr(39))"
+        return f"'{label} columns: [' || array_to_string({quoted}, ', ') || ']'"
+
+    return f"""WITH audited AS (
+          SELECT file_path,
+            list_filter([{names}], lambda x: NOT list_contains(found, x)) AS missing,
+            list_filter(found, lambda x: NOT list_contains([{names}], x)) AS extra
+          FROM ({tables}))
+        SELECT file_path, {text('Missing', 'missing')} || '; ' || {text('Unexpected', 'extra')} AS error
+        FROM audited"""
+
+
 _PIPELINE = f"SELECT {_LANDED}, transaction_date FROM firsts"
 
 ORACLE_SQL: dict[str, str] = {
@@ -633,6 +664,9 @@ ORACLE_SQL: dict[str, str] = {
         FROM check_runs""",
     "all_check_results": f"""{_W_RUNS} SELECT run_id, check_name, severity, status, violation_count,
           ROUND(elapsed_seconds, 4) AS elapsed_seconds FROM check_results""",
+    "schema_audit": _schema_audit(),
+    # Every file fails the audit, and only the errors of these two are kept.
+    "manifest_pending": "SELECT * FROM (VALUES ('labels.parquet'), ('lineitem.parquet')) v(file_path)",
     "ingest_pipeline": f"{_W_FIRST} {_PIPELINE}",
     "ingest_pipeline_quarantine": f"""{_W_DIRTY}
         SELECT row_number() OVER (ORDER BY {_ORDER_NULLS}) AS quarantine_id,

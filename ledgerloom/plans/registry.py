@@ -583,7 +583,7 @@ def manifest_pending(spark, sf):
         "file_path", F.when(F.col("file_path").startswith("l"), F.col("error")).alias("error")
     )
     manifest = M.update_manifest(manifest, M.manifest_entries(files, "run-1", AT, errors))
-    return M.pending_files(files, manifest).select("file_path", "file_hash")
+    return M.pending_files(files, manifest).select("file_path")
 
 
 def _landing_folder(spark, sf) -> str:

@@ -25,7 +25,7 @@ from ledgerloom.operators.runs import audit_row, check_result_rows, run_started
 from ledgerloom.operators.scd2 import account_history, account_profiles, scd2_counts, scd2_merge
 from ledgerloom.operators.suite import CRITICAL, WARN, Check, run_suite, suite_status
 from ledgerloom.plans.ingest import Warehouse
-from ledgerloom.session import configure, stage
+from ledgerloom.session import configure, scratch, stage
 from ledgerloom.sources.tables import committed_path, read_partitioned
 
 DAILY, MONTHLY, DIM, FCT = (
@@ -86,13 +86,14 @@ def build_dimension(
     """
     spark = configure(house.spark)
     run_id, started = run_id or uuid.uuid4().hex, time.monotonic()
-    profiles = stage(account_profiles(stg_transactions(house)), "profiles")
     current = house.published(DIM, schemas.DIM_ACCOUNTS)
-    merged = house.publish(
-        DIM, scd2_merge(current, profiles, run_date, run_id, contiguous=contiguous),
-        ["account_id", "valid_from"],
-    )
-    counts = scd2_counts(merged, profiles, run_id).first()
+    with scratch(spark):
+        profiles = stage(account_profiles(stg_transactions(house)), "profiles")
+        merged = house.publish(
+            DIM, scd2_merge(current, profiles, run_date, run_id, contiguous=contiguous),
+            ["account_id", "valid_from"],
+        )
+        counts = scd2_counts(merged, profiles, run_id).first()
     row = audit_row(
         spark, schemas.DIM_BUILD_RUNS, run_id=run_id,
         accounts_processed=counts.accounts_processed, new_versions=counts.new_versions,

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,12 +58,36 @@ def workspace(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/ledgerloom-{spark.sparkContext.applicationId}"
 
 
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables staged inside the block when it ends.
+
+    For runs that end in written tables: an intermediate copy of a batch is as
+    large as the batch, and must not outlive the run.
+    """
+    staged: list[str] = []
+    token = _scope.set(staged)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for location in staged:
+            path = spark._jvm.org.apache.hadoop.fs.Path(location)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(
     df: DataFrame, name: str = "stage", partition_by: Sequence[str] = ()
 ) -> DataFrame:
     """Write ``df`` to a new table in the workspace and return a reader of it."""
     spark = df.sparkSession
     path = f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
+    staged = _scope.get()
+    if staged is not None:
+        staged.append(path)
     schema = df.schema
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(schema).parquet(path).select(*schema.names)

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerloom import schemas
 from ledgerloom.operators.marts import DAILY_GRAIN, daily_spend
 from ledgerloom.plans.ingest import Warehouse, write_batch
+from ledgerloom.session import configure, scratch
 from ledgerloom.sources.landing import SOURCE_FILE, SOURCE_ROW
 from ledgerloom.sources.tables import read_partitioned
 
@@ -47,8 +48,10 @@ def ingest_stream(
     """
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        write_batch(house, batch, f"stream-{batch_id:08d}", datetime.now(UTC))
+        with scratch(batch.sparkSession):
+            write_batch(house, batch, f"stream-{batch_id:08d}", datetime.now(UTC))
 
+    configure(spark)
     return (
         landing_stream(spark, directory, files_per_batch)
         .writeStream.foreachBatch(load)

@@ -242,6 +242,17 @@ def test_repeated_run_leaves_the_same_tables(place):
     assert loaded(row) == (5, 1, 0)
 
 
+def test_run_leaves_no_scratch_tables(spark, place):
+    from pathlib import Path
+
+    from ledgerloom import workspace
+
+    write(place[0], "a.parquet", CLEAN_ROWS)
+    before = set(Path(workspace(spark)).iterdir()) if Path(workspace(spark)).exists() else set()
+    run(place, "r1")
+    assert set(Path(workspace(spark)).iterdir()) == before
+
+
 def test_failed_run_is_recorded(place, monkeypatch):
     landing, house = place
     write(landing, "a.parquet", CLEAN_ROWS)

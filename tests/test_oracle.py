@@ -16,7 +16,11 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, con, name):
-    assert difference(QUERIES[name](spark, SF_DIR), con, SQL[name]) is None
+    df = QUERIES[name](spark, SF_DIR)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+    assert "BroadcastNestedLoopJoin" not in plan
+    assert difference(df, con, SQL[name]) is None
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
@@ -35,15 +39,3 @@ def test_entry_is_the_daily_mart(spark):
         "avg_amount",
     ]
     assert df.count() > 0
-
-
-# Queries that run jobs while they are built, or read written results back.
-EAGER = {"ingest_pipeline", "ingest_pipeline_quarantine", "stream_ingest", "stream_daily_spend",
-         "stream_dedup", "check_suite", "suite_rating", "suite_with_missing_table"}
-
-
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
-def test_plans_have_no_nested_loops(spark, name):
-    plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan
-    assert "BroadcastNestedLoopJoin" not in plan

@@ -27,7 +27,7 @@ def number_text(value: Column) -> Column:
     return (
         F.when(F.isnan(value), F.lit("nan"))
         .when(size == float("inf"), F.when(value > 0, F.lit("inf")).otherwise(F.lit("-inf")))
-        .when(size == 0.0, raw)
+        .when(~raw.contains("E"), raw)
         .when((size >= 1e-4) & (size < 1e16), plain)
         .otherwise(F.concat(mantissa, F.lit("e"), power_text))
     )
@@ -35,10 +35,9 @@ def number_text(value: Column) -> Column:
 
 def instant_text(value: Column) -> Column:
     """ISO-8601 text of a UTC instant; microseconds only where there are any."""
-    seconds = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
-    micros = F.date_format(value, "SSSSSS")
-    fraction = F.when(micros == "000000", F.lit("")).otherwise(F.concat(F.lit("."), micros))
-    return F.concat(seconds, fraction, F.lit("+00:00"))
+    text = F.translate(value.cast("string"), " ", "T")
+    full = F.when(F.length(text) == 19, text).otherwise(F.rpad(text, 26, "0"))
+    return F.concat(full, F.lit("+00:00"))
 
 
 def value_text(value: Column | str, kind: T.DataType) -> Column:
@@ -67,11 +66,8 @@ def record_json(schema: T.StructType, columns: list[str]) -> Column:
 
     NULL becomes the string ``"null"``, so that no field is dropped.
     """
-    fields = [
-        F.concat(
-            F.lit(f'"{name}": '),
-            json_quote(F.coalesce(value_text(name, schema[name].dataType), F.lit("null"))),
-        )
+    texts = [
+        F.coalesce(value_text(name, schema[name].dataType), F.lit("null")).alias(name)
         for name in columns
     ]
-    return F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}"))
+    return F.to_json(F.struct(*texts))

@@ -360,8 +360,8 @@ _JSON_FIELDS = {
 }
 _RECORD = (
     "'{' || "
-    + " || ', ' || ".join(
-        f"""'"{name}": "' || coalesce({value}, 'null') || '"'"""
+    + " || ',' || ".join(
+        f"""'"{name}":"' || coalesce({value}, 'null') || '"'"""
         for name, value in _JSON_FIELDS.items()
     )
     + " || '}'"

@@ -123,7 +123,7 @@ def dedup_cross_batch(spark, sf):
 @query
 def ingest_counts(spark, sf):
     history = td.landing(spark, sf).where(F.col("source_file") == "batch_1996.parquet")
-    judged = _judged(spark, sf)
+    judged = stage(_judged(spark, sf).select(D.KEY, "source_file", P.VALID), "judged")
     return D.ingest_counts(judged, D.known_keys(judged.where(F.col(P.VALID)), history))
 
 
@@ -318,20 +318,8 @@ def check_dim_accounts_no_null_sk(spark, sf):
     return Q.dim_accounts_no_null_sk(td.keyless(td.dimension(spark, sf)))
 
 
-def _tables(spark, sf):
-    rows = td.stg(spark, sf)
-    return {
-        "transactions": td.transactions(spark, sf),
-        "stg_transactions": rows,
-        "daily_spend_by_category": A.daily_spend(rows),
-        "monthly_account_summary": A.monthly_account_summary(rows),
-        "dim_accounts": td.dimension(spark, sf),
-        "fct_transactions": td.fact(spark, sf),
-    }
-
-
 def _suite(spark, sf):
-    return run_suite(spark, warehouse_checks(_tables(spark, sf), AT))
+    return run_suite(spark, warehouse_checks(td.warehouse_tables(spark, sf), AT))
 
 
 @query
@@ -346,7 +334,7 @@ def suite_rating(spark, sf):
 
 @query
 def suite_with_missing_table(spark, sf):
-    tables = _tables(spark, sf)
+    tables = td.warehouse_tables(spark, sf)
     del tables["fct_transactions"]
     results = run_suite(spark, warehouse_checks(tables, AT))
     return results.select("check_name", "severity", "status", "violation_count")

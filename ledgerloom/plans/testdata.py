@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.rules import CURRENCIES
 from ledgerloom.operators.joins import pit_join
+from ledgerloom.operators.marts import daily_spend, monthly_account_summary
 from ledgerloom.operators.rows import staging
 from ledgerloom.operators.scd2 import account_profiles, scd2_from_snapshots
 from ledgerloom.plans.warehouse import fact_table
@@ -85,10 +86,10 @@ def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def landing_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed rows with faults of every rule, placed by order number."""
-    clean = landing(spark, sf_dir)
+    clean = landing(spark, sf_dir).withColumn("_order", order_number())
 
     def hit(every: int):
-        return order_number() % every == 0
+        return F.col("_order") % every == 0
 
     return clean.withColumns({
         "amount": F.when(hit(97), -F.col("amount")).when(~hit(101), F.col("amount")),
@@ -98,7 +99,7 @@ def landing_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
             hit(83), F.concat(F.lit("BAD-"), F.substring("account_id", 5, 100))
         ).otherwise(F.col("account_id")),
         "status": F.when(hit(79), "unknown").otherwise(F.col("status")),
-    })
+    }).drop("_order")
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,6 +132,22 @@ def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fact_table(stg(spark, sf_dir), dimension(spark, sf_dir))
 
 
+def warehouse_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The built warehouse: marts and facts as written tables, as checks find them."""
+    rows = stg(spark, sf_dir)
+    builds = {
+        "daily_spend_by_category": lambda: daily_spend(rows),
+        "monthly_account_summary": lambda: monthly_account_summary(rows),
+        "fct_transactions": lambda: fact(spark, sf_dir),
+    }
+    built = {name: _once(spark, sf_dir, name, build) for name, build in builds.items()}
+    return built | {
+        "transactions": transactions(spark, sf_dir),
+        "stg_transactions": rows,
+        "dim_accounts": dimension(spark, sf_dir),
+    }
+
+
 # --- faults for the checks --------------------------------------------------
 
 
@@ -139,7 +156,7 @@ def account_number(column: str = "account_id"):
 
 
 def order_number():
-    return F.split("transaction_id", "-")[0].cast("long")
+    return F.substring_index("transaction_id", "-", 1).cast("long")
 
 
 def thinned(df: DataFrame) -> DataFrame:

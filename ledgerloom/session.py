@@ -27,6 +27,9 @@ _SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Unlike INT96, this type has statistics that let scans skip row groups.
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
+    # The JVM never compiles a method above 8000 bytes of bytecode; a stage that
+    # would need one runs faster as separately generated projections.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Rows of a two-valued partition column need no sort before they are written.
     "spark.sql.maxConcurrentOutputFileWriters": "2",
     # A rerun of a run replaces only the partitions it writes.

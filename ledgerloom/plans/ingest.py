@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from dataclasses import dataclass
 from datetime import UTC, date, datetime
 
@@ -112,17 +114,27 @@ def write_batch(
     valid, invalid = split(judged)
     history = house.transactions().select(KEY, (F.col("run_id") == run_id).alias("own"))
     known = stage(known_keys(valid, history), "known_keys")
-    # A repeat of this run must not count its own earlier rows as history.
-    counts = stage(ingest_counts(judged, known.where(~F.col("own"))), "counts")
-
-    last = house.quarantine().where(F.col("run_id") != run_id).agg(
-        F.coalesce(F.max("quarantine_id"), F.lit(0)).alias("id")
-    ).first().id
-    replace_partitions(
-        to_quarantine(invalid, run_id, at, last), house.path("quarantine"), "run_id"
-    )
-    fresh = dedup_first(valid).join(known, KEY, "left_anti")
-    house.append_transactions(enrich(fresh, run_id, at))
+
+    def count() -> DataFrame:
+        # A repeat of this run must not count its own earlier rows as history.
+        return stage(ingest_counts(judged, known.where(~F.col("own"))), "counts")
+
+    def reject() -> None:
+        last = house.quarantine().where(F.col("run_id") != run_id).agg(
+            F.coalesce(F.max("quarantine_id"), F.lit(0)).alias("id")
+        ).first().id
+        replace_partitions(
+            to_quarantine(invalid, run_id, at, last), house.path("quarantine"), "run_id"
+        )
+
+    def load() -> None:
+        fresh = dedup_first(valid).join(known, KEY, "left_anti")
+        house.append_transactions(enrich(fresh, run_id, at))
+
+    # The three read the same staged tables and do not wait for each other.
+    with ThreadPoolExecutor(max_workers=3) as pool:
+        jobs = [pool.submit(copy_context().run, job) for job in (count, reject, load)]
+        counts, *_ = [job.result() for job in jobs]
     return counts
 
 

@@ -7,13 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import mixing, sharding
+from ledgerloom.llm import decontam, embeddings, minhash, mixing, packing, quality, secrets, sharding
 from ledgerloom.llm.tables import table
 
 #: Weights of the sources in code point order, repeating.
 SOURCE_WEIGHTS = (5, 2, 1)
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and near-duplicate group of each vector."""
+    found = embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
+def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as packed token rows."""
+    return packing.pack(table(spark, sf_dir, "documents"), length=2048)
+
+
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = minhash.near_duplicates(docs, n=5, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words of each document the benchmark covers, and from which items."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), n=10)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated", "n_near",
+    )
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document enter the weighted mix."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -22,6 +51,32 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "repeats")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id", quality.is_held_out("doc_id").alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of each document: counts by kind, and where they are."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    base = [r.kind for r in secrets.BASE_RULES]
+    of_base = F.filter("secrets", lambda s: s["kind"].isin(base))
+    counts = {
+        f"n_{kind}": F.size(F.filter("secrets", lambda s, kind=kind: s["kind"] == kind)).cast("long")
+        for kind in base
+    }
+    return secrets.find_secrets(docs).select(
+        "doc_id", *(count.alias(name) for name, count in counts.items()),
+        F.sha2(secrets.joined(of_base), 256).alias("base_sha256"),
+        secrets.joined(F.col("secrets")).alias("spans"),
+    )
+
+
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of each document in the shuffled shards, read from the shards."""
     written = sharding.shard(table(spark, sf_dir, "documents"), shards=40)
@@ -36,7 +91,13 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embeddings": op1_embeddings,
+    "op3_pack": op3_pack,
+    "op4_minhash": op4_minhash,
+    "op5_decontaminate": op5_decontaminate,
     "op6_mix_sources": op6_mix_sources,
+    "op7_quality": op7_quality,
+    "op9_secrets": op9_secrets,
     "op10_shard": op10_shard,
 }
 SQL: dict[str, str] = {}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +56,28 @@ def reserve(df: DataFrame, names: Sequence[str]) -> None:
     clash = [n for n in names if n.lower() in lowered]
     if clash:
         raise ValueError(f"input columns clash with the operator's own: {clash}")
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """The rows of each key, one table at a time, from batches sorted by integer keys."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        for column in columns:
+            change[1:] |= column[1:] != column[:-1]
+        first = tuple(c[0] for c in columns)
+        change[0] = last is not None and first != last
+        start = 0
+        for at in np.flatnonzero(change):
+            if at > start:
+                held.append(batch.slice(start, at - start))
+            yield pa.Table.from_batches(held)
+            held, start = [], at
+        held.append(batch.slice(start))
+        last = tuple(c[-1] for c in columns)
+    if held:
+        yield pa.Table.from_batches(held)

@@ -31,7 +31,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0xD6E8FEB86659FD93))
+#: A random value for each byte.
+BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0xD6E8FEB86659FD93))
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -58,7 +59,7 @@ class Alphabet:
         self.is_word[list(separators)] = False
         fold = np.arange(256)
         fold[65:91] += 32
-        self.value = _BYTE[fold]
+        self.value = BYTE[fold]
 
 
 #: Words are runs of anything but blanks.
@@ -107,13 +108,19 @@ def words(data: np.ndarray, offsets: np.ndarray, alphabet: Alphabet):
     last = inside.copy()
     last[:-1] &= ~inside[1:] | border[1:n]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    running = np.zeros(n + 1, _U)
-    np.cumsum(alphabet.value[data] * powers(n), out=running[1:])
-    hashes = (running[ends] - running[starts]) * powers(n, _BASE_INVERSE)[starts]
-    hashes = mix(hashes ^ ((ends - starts).astype(_U) << _U(48)))
+    hashes = span_hashes(alphabet.value[data], starts, ends)
     return hashes, starts, ends, np.searchsorted(starts, offsets)
 
 
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the values of each span, wherever it lies: a polynomial modulo 2**64."""
+    n = len(values)
+    running = np.zeros(n + 1, _U)
+    np.cumsum(values * powers(n), out=running[1:])
+    hashes = (running[ends] - running[starts]) * powers(n + 1, _BASE_INVERSE)[starts]
+    return mix(hashes ^ ((ends - starts).astype(_U) << _U(40)))
+
+
 def run_hashes(hashes: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
     """Hash of the ``length`` words that begin at each position in ``first``."""
     out = np.full(len(first), (length * 0xA0761D6478BD642F) % (1 << 64), _U)

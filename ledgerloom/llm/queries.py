@@ -65,9 +65,9 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The secrets of each document: counts by kind, and where they are."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     base = [r.kind for r in secrets.BASE_RULES]
-    of_base = F.filter("secrets", lambda s: s["kind"].isin(base))
+    of_base = secrets.of_kinds(F.col("secrets"), base)
     counts = {
-        f"n_{kind}": F.size(F.filter("secrets", lambda s, kind=kind: s["kind"] == kind)).cast("long")
+        f"n_{kind}": F.size(secrets.of_kinds(F.col("secrets"), [kind])).cast("long")
         for kind in base
     }
     return secrets.find_secrets(docs).select(

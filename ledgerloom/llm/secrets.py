@@ -200,6 +200,17 @@ def _spans(text: Column, rule: Rule) -> Column:
     return F.aggregate(pairs, start, step, lambda s: s["spans"])
 
 
+def _named(number: int, kind: str):
+    return lambda s: F.struct(
+        s["start"].alias("start"), F.lit(number).alias("rule"),
+        F.lit(kind).alias("kind"), s["end"].alias("end"),
+    )
+
+
+def of_kinds(secrets: Column, kinds: Sequence[str]) -> Column:
+    return F.filter(secrets, lambda s: s["kind"].isin(list(kinds)))
+
+
 def _quick(rule: Rule, text: Column) -> Column:
     """Whether a text can hold a match, for rules that scan all texts."""
     return F.regexp_like(text, F.lit(f"{rule.pattern.removesuffix('+')}{{{rule.least}}}")) if (
@@ -235,10 +246,7 @@ def find_secrets(
     for number, rule in enumerate(rules):
         may = F.col(f"_has_{rule.kind}") if f"_has_{rule.kind}" in indexed else _quick(rule, text)
         spans = F.when(may, _spans(text, rule)).otherwise(none)
-        found.append(F.transform(spans, lambda s, number=number, rule=rule: F.struct(
-            s["start"].alias("start"), F.lit(number).alias("rule"),
-            F.lit(rule.kind).alias("kind"), s["end"].alias("end"),
-        )))
+        found.append(F.transform(spans, _named(number, rule.kind)))
     return keyed.select(*docs.columns, F.array_sort(F.concat(*found)).alias("secrets"))
 
 

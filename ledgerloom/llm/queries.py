@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontam, embeddings, minhash, mixing, packing, quality, secrets, sharding
+from ledgerloom.llm import decontam, embeddings, licenses, minhash, mixing, packing, quality, secrets, sharding, substrings
 from ledgerloom.llm.tables import table
 
 #: Weights of the sources in code point order, repeating.
@@ -20,6 +20,15 @@ def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "n_links", "component_id", "kept")
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without its repeated 200-byte strings."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs, length=200).select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as packed token rows."""
     return packing.pack(table(spark, sf_dir, "documents"), length=2048)
@@ -61,6 +70,24 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _document_path() -> Column:
+    """Documents as files: hundreds within thousands within sources, the first of each
+    hundred and thousand being its licence file."""
+    thousand = F.floor(F.col("doc_id") / 1000).cast("string")
+    hundred = F.floor(F.col("doc_id") / 100).cast("string")
+    return (
+        F.when(F.col("doc_id") % 1000 == 0, F.concat_ws("/", "source", thousand, F.lit("LICENSE")))
+        .when(F.col("doc_id") % 100 == 0, F.concat_ws("/", "source", thousand, hundred, F.lit("LICENSE")))
+        .otherwise(F.concat_ws("/", "source", thousand, hundred, F.concat("doc_id", F.lit(".txt"))))
+    )
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of each document, its own or its directory's."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", _document_path().alias("path"))
+    return licenses.scan(docs).select("doc_id", "license", "similarity", "license_dir")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The secrets of each document: counts by kind, and where they are."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -92,11 +119,13 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embeddings": op1_embeddings,
+    "op2_substrings": op2_substrings,
     "op3_pack": op3_pack,
     "op4_minhash": op4_minhash,
     "op5_decontaminate": op5_decontaminate,
     "op6_mix_sources": op6_mix_sources,
     "op7_quality": op7_quality,
+    "op8_licenses": op8_licenses,
     "op9_secrets": op9_secrets,
     "op10_shard": op10_shard,
 }

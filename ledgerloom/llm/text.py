@@ -72,7 +72,7 @@ def raw(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and the offsets of each; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     buffers = column.buffers()

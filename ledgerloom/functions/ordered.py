@@ -92,10 +92,13 @@ def before_in_group(
     summary = (
         cut.groupBy(*parts)
         .agg(rows.alias("_chunk_value"))
-        .select(*parts, chunks.over(across).alias("_carry"))
+        .select(*(F.col(p).alias(f"_of{i}") for i, p in enumerate(parts)),
+                chunks.over(across).alias("_carry"))
     )
+    # A null key or chunk is a group like any other.
+    same = [F.col(p).eqNullSafe(F.col(f"_of{i}")) for i, p in enumerate(parts)]
     return (
         cut.withColumn("_inside", rows.over(inside))
-        .join(summary, parts)
+        .join(summary, same)
         .select(*df.columns, merge(F.col("_inside"), F.col("_carry")).alias(name))
     )

@@ -25,7 +25,7 @@ from ledgerloom.operators.rows import (
     to_quarantine,
     validate,
 )
-from ledgerloom.operators.runs import audit_row, run_started
+from ledgerloom.operators.runs import audit_row, latest_events, run_started
 from ledgerloom.session import configure, scratch, stage
 from ledgerloom.sources import manifest as M
 from ledgerloom.sources.landing import hash_files, landing_files, read_audited, schema_errors
@@ -82,9 +82,15 @@ class Warehouse:
     def quarantine(self) -> DataFrame:
         return read_partitioned(self.spark, self.path("quarantine"), schemas.QUARANTINE)
 
-    def runs(self, table: str, schema) -> DataFrame:
+    def events(self, table: str, schema) -> DataFrame:
+        """The audit table as logged: a row when a run begins and one when it ends."""
         return read_partitioned(self.spark, self.path(table), schema)
 
+    def runs(self, table: str, schema) -> DataFrame:
+        """An audit table; of runs, one row each: how it ended, or that it is running."""
+        events = self.events(table, schema)
+        return latest_events(events) if table.endswith("_runs") else events
+
     def log(self, table: str, row: DataFrame) -> None:
         row.coalesce(1).write.mode("append").parquet(self.path(table))
 
@@ -189,7 +195,7 @@ def _ingest(
     watermark = M.read_watermark(metadata, source_dir) if mode == "watermark" else None
     checked = landing_files(spark, source_dir).count()
     files = landing_files(spark, source_dir, newer_than=watermark)
-    if not full_refresh:
+    if mode != "hash" and not full_refresh:
         files = M.changed_files(files, manifest)
     pending = stage(
         M.pending_files(hash_files(files), manifest, watermark, mode, full_refresh), "pending"

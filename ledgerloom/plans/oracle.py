@@ -15,7 +15,7 @@ src AS (
               WHEN 3 THEN 'JPY' ELSE 'CHF' END AS currency,
          su.s_name AS merchant_name,
          p.p_type AS category,
-         concat('ACC-', lpad(cast(o.o_custkey AS varchar), 5, '0')) AS account_id,
+         concat('ACC-', lpad(cast(o.o_custkey AS varchar), cast(greatest(5, length(cast(o.o_custkey AS varchar))) AS integer), '0')) AS account_id,
          CASE WHEN l.l_returnflag = 'R' THEN 'credit' ELSE 'debit' END AS transaction_type,
          CASE o.o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' ELSE 'failed' END AS status,
          cast(l.l_shipdate AS date) AS transaction_date,
@@ -23,7 +23,7 @@ src AS (
          cast(cast(l.l_shipdate AS date) + 1 AS timestamp) AS ingested_at,
          concat('run-', cast(year(l.l_shipdate) AS varchar)) AS run_id,
          l.l_orderkey AS k,
-         cast(substr(concat('ACC-', lpad(cast(o.o_custkey AS varchar), 5, '0')), 5) AS bigint) AS acc
+         cast(substr(concat('ACC-', lpad(cast(o.o_custkey AS varchar), cast(greatest(5, length(cast(o.o_custkey AS varchar))) AS integer), '0')), 5) AS bigint) AS acc
   FROM lineitem l
   JOIN orders o ON l.l_orderkey = o.o_orderkey
   JOIN customer c ON o.o_custkey = c.c_custkey

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.rules import CURRENCIES
@@ -38,6 +38,12 @@ def _spread(df: DataFrame) -> DataFrame:
     return df if len(df.inputFiles()) >= cores else df.repartition(cores)
 
 
+def account_id(number: Column) -> Column:
+    """An account of at least five digits; longer numbers stay whole."""
+    digits = number.cast("string")
+    return F.concat(F.lit("ACC-"), F.lpad(digits, F.greatest(F.length(digits), F.lit(5)), F.lit("0")))
+
+
 def _source(spark: SparkSession, sf_dir: str) -> DataFrame:
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -61,9 +67,7 @@ def _source(spark: SparkSession, sf_dir: str) -> DataFrame:
             .alias("currency"),
             F.col("s_name").alias("merchant_name"),
             F.col("p_type").alias("category"),
-            F.concat(F.lit("ACC-"), F.lpad(F.col("o_custkey").cast("string"), 5, "0")).alias(
-                "account_id"
-            ),
+            account_id(F.col("o_custkey")).alias("account_id"),
             F.when(F.col("l_returnflag") == "R", "credit").otherwise("debit").alias(
                 "transaction_type"
             ),

@@ -8,6 +8,7 @@ the planner its real size, so broadcasts are chosen from measured bytes.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -32,8 +33,6 @@ _SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # Rows of a two-valued partition column need no sort before they are written.
     "spark.sql.maxConcurrentOutputFileWriters": "2",
-    # A rerun of a run replaces only the partitions it writes.
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -54,7 +53,7 @@ def workspace(spark: SparkSession) -> str:
     """
     root = spark.conf.get(_CHECKPOINT_DIR, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError(f"set {_CHECKPOINT_DIR} to a folder all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set(_CHECKPOINT_DIR, root)

@@ -17,6 +17,12 @@ def exists(spark: SparkSession, location: str) -> bool:
     return fs.exists(path)
 
 
+def touch(spark: SparkSession, location: str) -> None:
+    """Create an empty file."""
+    fs, path = _resolve(spark, location)
+    fs.create(path, True).close()
+
+
 def child_names(spark: SparkSession, location: str) -> list[str]:
     fs, path = _resolve(spark, location)
     return [item.getPath().getName() for item in fs.listStatus(path)] if fs.exists(path) else []

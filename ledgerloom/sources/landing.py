@@ -99,19 +99,26 @@ def _kind(field_type, stored: str) -> str:
 
 
 def _read_footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import pyarrow as pa
     import pyarrow.parquet as pq
 
     for files in batches:
         rows = []
         for path in files["path"]:
             try:
+                # A store that cannot be reached raises here, and the run fails.
                 with open_input(path) as source:
                     footer = pq.ParquetFile(source)
                     schema, leaves = footer.schema_arrow, footer.schema
                 stored = {leaf.path: leaf.physical_type for leaf in leaves}
                 kinds = [_kind(f.type, stored.get(f.name, "")) for f in schema]
                 rows.append((path, schema.names, kinds, None))
-            except Exception as failure:  # an unreadable file is a finding, not a job failure
+            except OSError as failure:
+                # Arrow reports a damaged footer without an error number.
+                if failure.errno is not None:
+                    raise
+                rows.append((path, [], [], str(failure) or type(failure).__name__))
+            except pa.ArrowInvalid as failure:  # a broken file is a finding
                 rows.append((path, [], [], str(failure) or type(failure).__name__))
         yield pd.DataFrame(rows, columns=["path", "columns", "kinds", "failure"])
 
@@ -175,11 +182,17 @@ def conform(df: DataFrame, expected=schemas.LANDING) -> DataFrame:
     )
 
 
+def file_name() -> Column:
+    """Name of the file a row comes from, as the listing has it (Spark escapes it)."""
+    # Decoding a URL would turn a plus into a blank.
+    return F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
+
+
 def _with_position(reader, paths: list[str]) -> DataFrame:
     raw = reader.option("pathGlobFilter", "*.parquet").parquet(*paths)
     return raw.select(
         "*",
-        F.col("_metadata.file_name").alias(SOURCE_FILE),
+        file_name().alias(SOURCE_FILE),
         F.col("_metadata.row_index").alias(SOURCE_ROW),
     )
 

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ledgerloom import schemas
 
 
+MODES = ("hash", "stat", "watermark")
+
+
 def changed_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Drop files that were read with success and still have that size and time.
 
@@ -30,11 +33,13 @@ def pending_files(
     """Hashed files still to be read.
 
     ``mode="hash"`` skips a file only if the same content was read with
-    success before.  ``mode="watermark"`` first skips every file whose time is
+    success before.  ``mode="stat"`` does so too, but the caller may have dropped
+    files of unchanged size and time (``changed_files``) before hashing them, which
+    is cheaper and misses content replaced without a trace.  ``mode="watermark"`` first skips every file whose time is
     not above the watermark, which is cheaper but never sees a late, changed
     or once failed file with an old time.  A full refresh reads everything.
     """
-    if mode not in ("hash", "watermark"):
+    if mode not in MODES:
         raise ValueError(f"unknown mode: {mode}")
     if full_refresh:
         return files

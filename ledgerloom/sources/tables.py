@@ -8,9 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.sources.files import child_names, exists
+from ledgerloom.sources.files import child_names, exists, touch
 
 _VERSION = "version="
+#: Readers skip names that start with an underscore.
+_MARKER = "_COMMITTED"
+#: Quoted and unchanged in both directions, with line breaks inside values.
+_CSV = {
+    "header": True,
+    "multiLine": True,
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+#: A CSV file with line breaks in values cannot be split, so files stay small.
+_CSV_ROWS = 1_000_000
 
 
 def append_partitioned(df: DataFrame, path: str, by: str, sort: Sequence[str] = ()) -> None:
@@ -26,7 +41,8 @@ def append_partitioned(df: DataFrame, path: str, by: str, sort: Sequence[str] =
 
 def replace_partitions(df: DataFrame, path: str, by: str) -> None:
     """Write rows as they are distributed, replacing the partitions they belong to."""
-    df.write.mode("overwrite").partitionBy(by).parquet(path)
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(by).parquet(path)
 
 
 def read_partitioned(
@@ -55,24 +71,32 @@ def _version_path(root: str, version: int) -> str:
 def publish(df: DataFrame, root: str, sort: Sequence[str] = ()) -> DataFrame:
     """Replace a table as a whole: write the next version, then read from it.
 
-    A version counts only once Spark has committed it (``_SUCCESS``), so a
-    failed write leaves the previous version in place, and a job may read the
-    table it replaces.
+    A version counts only once it carries our own marker, written last and
+    whatever committer Spark uses, so a failed write leaves the previous version
+    in place, and a job may read the table it replaces.
     """
     spark = df.sparkSession
     taken = _versions(spark, root)
     path = _version_path(root, taken[-1] + 1 if taken else 1)
     out = df.sortWithinPartitions(*sort) if sort else df
     out.write.parquet(path)
+    touch(spark, f"{path}/{_MARKER}")
     return spark.read.schema(df.schema).parquet(path)
 
 
 def committed_path(spark: SparkSession, root: str) -> str | None:
-    """Folder of the last committed version of a published table."""
-    for version in reversed(_versions(spark, root)):
+    """Folder of the last committed version of a published table.
+
+    None before the first version is begun.  Versions of which none is committed
+    are an error: an empty table in their place would lose what was there.
+    """
+    versions = _versions(spark, root)
+    for version in reversed(versions):
         path = _version_path(root, version)
-        if exists(spark, f"{path}/_SUCCESS"):
+        if exists(spark, f"{path}/{_MARKER}"):
             return path
+    if versions:
+        raise RuntimeError(f"{root} has {len(versions)} versions, but none is committed")
     return None
 
 
@@ -103,12 +127,17 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
 
 
 def export(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write a table as parquet or as CSV with a header."""
+    """Write a table as parquet or as CSV with a header.
+
+    Text is quoted, so line breaks, quotes, blanks and empty text come back as they
+    were; a reader cannot split such a file, hence the bound on rows a file.
+    """
     if fmt not in ("parquet", "csv"):
         raise ValueError(f"unknown export format: {fmt}")
     writer = df.write.mode("error").format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True).option("emptyValue", '""')
+        writer = writer.options(**_CSV, quoteAll=True, emptyValue='""', nullValue=None)
+        writer = writer.option("maxRecordsPerFile", _CSV_ROWS)
     writer.save(path)
 
 
@@ -116,5 +145,5 @@ def read_export(spark: SparkSession, path: str, fmt: str, schema: T.StructType)
     """Read an export back with its declared schema."""
     reader = spark.read.schema(schema).format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = reader.options(**_CSV)
     return reader.load(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import UTC, datetime
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from ledgerloom import schemas
 from ledgerloom.operators.marts import DAILY_GRAIN, daily_spend
 from ledgerloom.plans.ingest import Warehouse, write_batch
 from ledgerloom.session import configure, scratch
-from ledgerloom.sources.landing import SOURCE_FILE, SOURCE_ROW
+from ledgerloom.sources.landing import SOURCE_FILE, SOURCE_ROW, file_name
 from ledgerloom.sources.tables import read_partitioned
 
 BATCH = "batch_id"
@@ -28,7 +29,7 @@ def landing_stream(spark: SparkSession, directory: str, files_per_batch: int = 1
     )
     return stream.select(
         "*",
-        F.col("_metadata.file_name").alias(SOURCE_FILE),
+        file_name().alias(SOURCE_FILE),
         F.col("_metadata.row_index").alias(SOURCE_ROW),
     )
 
@@ -42,14 +43,16 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Load every file not picked up before, through the batch operators, then stop.
 
-    The checkpoint remembers the files.  A batch repeated after a failure
+    The checkpoint remembers the files, and names the stream in its run ids, so
+    streams into one warehouse never share one.  A batch repeated after a failure
     carries the same run id, replaces its quarantine partition and skips the
     ids it already loaded.
     """
+    stream_id = sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
 
     def load(batch: DataFrame, batch_id: int) -> None:
         with scratch(batch.sparkSession):
-            write_batch(house, batch, f"stream-{batch_id:08d}", datetime.now(UTC))
+            write_batch(house, batch, f"stream-{stream_id}-{batch_id:08d}", datetime.now(UTC))
 
     configure(spark)
     return (

@@ -38,7 +38,10 @@ def sql_type(kind: T.DataType) -> str:
 
 
 def infer_zone(name: Column | str) -> Column:
-    """Zone by naming convention; the first rule that fits decides."""
+    """Zone by naming convention; the first rule that fits decides.
+
+    Fixed values: the prefixes, suffixes and names, and the order of the rules.
+    """
     name = F.col(name) if isinstance(name, str) else name
     return (
         F.when(name.startswith("stg_"), "staging")
@@ -154,55 +157,15 @@ TABLE_METADATA = "table_name string, zone string, description string, owner stri
 COLUMN_METADATA = "table_name string, column_name string, description string, is_pk boolean"
 MODEL_METADATA = "table_name string, source string, depends_on string, description string"
 
-# Default business metadata: zone, owner and meaning of the warehouse tables.
-_TABLES = [
-    ("transactions", "raw", "One row per accepted payment event.", "data-engineering"),
-    ("quarantine", "raw", "Rejected records with the reason.", "data-engineering"),
-    ("stg_transactions", "staging", "Accepted payments, renamed for models.", "data-engineering"),
-    ("dim_accounts", "dimension", "Versions of each account's profile.", "data-engineering"),
-    ("fct_transactions", "fact", "Payments keyed to account versions.", "data-engineering"),
-    ("daily_spend_by_category", "mart", "Completed debits per day.", "analytics"),
-    ("monthly_account_summary", "mart", "Account flows per month.", "analytics"),
-    ("ingestion_runs", "metadata", "Ingestion runs.", "data-engineering"),
-    ("transform_runs", "metadata", "Model runs.", "data-engineering"),
-    ("check_runs", "metadata", "Check runs.", "data-engineering"),
-    ("check_results", "metadata", "Check outcomes.", "data-engineering"),
-    ("pipeline_runs", "metadata", "Pipeline runs.", "data-engineering"),
-    ("catalog_tables", "metadata", "Catalogued tables.", "data-engineering"),
-    ("catalog_columns", "metadata", "Catalogued columns.", "data-engineering"),
-]
-_KEYS = [
-    ("transactions", "transaction_id", "Identifies a payment.", True),
-    ("stg_transactions", "transaction_id", "Identifies a payment.", True),
-    ("fct_transactions", "transaction_id", "Identifies a payment.", True),
-    ("dim_accounts", "account_sk", "Identifies an account version.", True),
-]
-_MODELS = [
-    ("stg_transactions", "transactions"),
-    ("daily_spend_by_category", "stg_transactions"),
-    ("monthly_account_summary", "stg_transactions"),
-    ("account_history", "dim_accounts"),
-    ("fct_transactions", "stg_transactions, dim_accounts"),
-]
-
-
-def table_metadata(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_TABLES, TABLE_METADATA)
-
-
-def column_metadata(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_KEYS, COLUMN_METADATA)
-
-
-def model_metadata(spark: SparkSession) -> DataFrame:
-    rows = [(name, f"ledgerloom model {name}", needs, "") for name, needs in _MODELS]
-    return spark.createDataFrame(rows, MODEL_METADATA)
-
-
 def _given(name: str) -> Column:
     return F.when(F.col(name) != "", F.col(name))
 
 
+def no_metadata(spark: SparkSession, shape: str = TABLE_METADATA) -> DataFrame:
+    """Metadata of nothing, for callers that have none."""
+    return spark.createDataFrame([], shape)
+
+
 def overlay(
     profile: DataFrame, metadata: DataFrame, models: DataFrame | None = None
 ) -> DataFrame:
@@ -212,7 +175,7 @@ def overlay(
     model's own.  Owner: metadata only.  Empty text counts as not given.
     """
     spark = profile.sparkSession
-    models = spark.createDataFrame([], MODEL_METADATA) if models is None else models
+    models = no_metadata(spark, MODEL_METADATA) if models is None else models
     m = metadata.select(
         "table_name",
         _given("zone").alias("_zone"),

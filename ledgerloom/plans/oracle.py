@@ -84,7 +84,8 @@ firsts AS (
   QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY {_ORDER}) = 1
 )"""
 
-_SUM = "CAST(SUM(CAST(amount AS DECIMAL(18,2))) AS DOUBLE)"
+_SUM_EXACT = "SUM(CAST(amount AS DECIMAL(18,2)))"
+_SUM = f"CAST({_SUM_EXACT} AS DOUBLE)"
 
 
 def _sum_if(kind: str) -> str:
@@ -120,26 +121,32 @@ upto AS (SELECT r.run_date, s.* FROM src s JOIN run_days r ON s.transaction_date
 
 
 def _profile_body(by: str) -> str:
-    return f"""stats AS (
-  SELECT {by}account_id, COUNT(*) AS transaction_count, {_SUM} AS total_spend,
-         MIN(transaction_date) AS first_seen, MAX(transaction_date) AS last_seen
-  FROM upto GROUP BY {by}account_id
+    """Profiles by definition: the favourite of a kind has most votes, then the first name."""
+    return f"""cells AS (
+  SELECT {by}account_id, currency, category, COUNT(*) AS n, {_SUM_EXACT} AS spend,
+         MIN(transaction_date) AS since, MAX(transaction_date) AS until
+  FROM upto GROUP BY ALL
 ),
-cur AS (
-  SELECT {by}account_id, currency AS primary_currency FROM upto GROUP BY {by}account_id, currency
-  QUALIFY row_number() OVER (PARTITION BY {by}account_id ORDER BY COUNT(*) DESC, currency) = 1
+votes AS (
+  SELECT {by}account_id, vote.kind AS kind, vote.name AS name, SUM(n) AS n
+  FROM (SELECT *, unnest([{{'kind': 1, 'name': currency}}, {{'kind': 2, 'name': category}}]) AS vote
+        FROM cells)
+  GROUP BY ALL
+),
+favourites AS (
+  SELECT {by}account_id, (MIN({{'less': -n, 'name': name}}) FILTER (kind = 1)).name AS primary_currency,
+         (MIN({{'less': -n, 'name': name}}) FILTER (kind = 2)).name AS primary_category
+  FROM votes GROUP BY ALL
 ),
-cat AS (
-  SELECT {by}account_id, category AS primary_category FROM upto GROUP BY {by}account_id, category
-  QUALIFY row_number() OVER (PARTITION BY {by}account_id ORDER BY COUNT(*) DESC, category) = 1
+totals AS (
+  SELECT {by}account_id, CAST(SUM(n) AS BIGINT) AS transaction_count,
+         CAST(SUM(spend) AS DOUBLE) AS total_spend, MIN(since) AS first_seen, MAX(until) AS last_seen
+  FROM cells GROUP BY ALL
 ),
 profiles AS (
-  SELECT {by}account_id, primary_currency, primary_category, transaction_count, total_spend,
-         first_seen, last_seen,
-         md5(primary_currency || '|' || primary_category || '|' || CAST(transaction_count AS VARCHAR)
-             || '|' || CAST(total_spend AS VARCHAR) || '|' || CAST(first_seen AS VARCHAR)
-             || '|' || CAST(last_seen AS VARCHAR)) AS row_hash
-  FROM stats JOIN cur USING ({by}account_id) JOIN cat USING ({by}account_id)
+  SELECT *, md5(concat_ws('|', primary_currency, primary_category, transaction_count, total_spend,
+                          first_seen, last_seen)) AS row_hash
+  FROM totals NATURAL JOIN favourites
 )"""
 
 
@@ -239,25 +246,33 @@ check_runs AS (
 _W_RUNS = _with(_RUNS)
 
 # Business metadata of the two warehouse tables among the profiled ones.
-_GIVEN = ("customer", "lineitem", "nation", "orders", "part", "region", "supplier")
+_GIVEN = (
+    "benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels",
+    "lineitem", "nation", "orders", "pages", "part", "region", "supplier",
+)
+_ABOUT = {
+    "orders": ("raw", "What customers ordered, and when.", "sales"),
+    "documents": ("mart", "Texts to train on.", "corpus team"),
+}
 
 
 def _catalog() -> str:
     given = " UNION ALL ".join(
-        f"SELECT '{t}' AS table_name, 'BASE TABLE' AS table_type, 'mart' AS zone, "
+        f"SELECT '{t}' AS table_name, 'BASE TABLE' AS table_type, "
+        f"'{_ABOUT.get(t, ('mart',))[0]}' AS zone, "
         f"(SELECT COUNT(*) FROM {t}) AS row_count, "
         f"(SELECT CAST(COUNT(*) AS INTEGER) FROM (DESCRIBE {t})) AS column_count, "
-        "'' AS description, '' AS owner, NULL AS source_sql_file, NULL AS depends_on"
+        f"'{_ABOUT.get(t, ('', ''))[1]}' AS description, "
+        f"'{_ABOUT.get(t, ('', '', ''))[2]}' AS owner, NULL AS source_sql_file, NULL AS depends_on"
         for t in _GIVEN
     )
     return f"""
 catalog AS (
   {given}
   UNION ALL SELECT 'dim_accounts', 'BASE TABLE', 'dimension', (SELECT COUNT(*) FROM dim), 13,
-    'Versions of each account''s profile.', 'data-engineering', NULL, NULL
+    'How each account changed over time.', '', NULL, NULL
   UNION ALL SELECT 'stg_transactions', 'VIEW', 'staging', NULL, 13,
-    'Accepted payments, renamed for models.', 'data-engineering',
-    'ledgerloom model stg_transactions', 'transactions'
+    'Order lines as payments.', '', 'staging', 'lineitem, orders'
 )"""
 
 
@@ -605,7 +620,8 @@ ORACLE_SQL: dict[str, str] = {
         FROM monthly, (VALUES ('first'), ('second')) v(f)
         WHERE CAST(substr(account_id, 5) AS BIGINT) % 50 = 0""",
     "table_profile": f"""{_W_CATALOG}
-        SELECT table_name, 'main' AS table_schema, table_type, zone, row_count, column_count
+        SELECT table_name, 'main' AS table_schema, table_type,
+          CASE WHEN table_name = 'orders' THEN 'mart' ELSE zone END AS zone, row_count, column_count
         FROM catalog""",
     "column_profile": _COLUMN_PROFILE,
     "zone_infer": f"""{_W_SRC},
@@ -627,9 +643,10 @@ ORACLE_SQL: dict[str, str] = {
           CAST(SUM(coalesce(row_count, 0)) AS BIGINT) AS total_rows,
           CAST(SUM(column_count) AS BIGINT) AS total_columns FROM catalog GROUP BY zone""",
     "catalog_columns_report": f"""WITH c AS ({_COLUMN_REPORT})
-        SELECT table_name, CASE WHEN table_name = 'stg_transactions' THEN 'staging' ELSE 'mart' END AS zone,
+        SELECT table_name, CASE table_name WHEN 'stg_transactions' THEN 'staging' WHEN 'orders' THEN 'raw'
+          ELSE 'mart' END AS zone,
           column_name, data_type, is_nullable, is_pk,
-          CASE WHEN is_pk THEN 'Identifies a payment.' ELSE '' END AS description,
+          CASE WHEN is_pk THEN 'Order and line number.' ELSE '' END AS description,
           coalesce(sample_values, '') AS sample_values FROM c""",
     "column_name_policy": """
         SELECT table_name, column_name FROM (VALUES ('customer', 'c_name'), ('nation', 'n_name'),

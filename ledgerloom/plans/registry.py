@@ -34,7 +34,12 @@ QUERIES: dict[str, Query] = {}
 
 AT = datetime(2003, 1, 1, tzinfo=UTC)
 AS_OF = date(2003, 1, 1)
-_PROFILED = ("customer", "lineitem", "nation", "orders", "part", "region", "supplier")
+_GIVEN = (
+    "benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels",
+    "lineitem", "nation", "orders", "pages", "part", "region", "supplier",
+)
+#: Given tables whose columns are all plain numbers, instants and one-line text.
+_PLAIN = ("customer", "lineitem", "nation", "orders", "part", "region", "supplier")
 
 
 def query(build: Query) -> Query:
@@ -426,11 +431,19 @@ def monthly_summary_recompute(spark, sf):
 
 
 def _given(spark, sf):
-    tables = {name: spark.read.parquet(f"{sf}/{name}.parquet") for name in _PROFILED}
+    tables = {name: spark.read.parquet(f"{sf}/{name}.parquet") for name in _GIVEN}
     return tables | {"stg_transactions": td.stg(spark, sf), "dim_accounts": td.dimension(spark, sf)}
 
 
 _VIEWS = {"stg_transactions"}
+#: What the owner of the given tables would say about some of them.
+_ABOUT_TABLES = [
+    ("orders", "raw", "What customers ordered, and when.", "sales"),
+    ("documents", "", "Texts to train on.", "corpus team"),
+    ("dim_accounts", "", "How each account changed over time.", ""),
+]
+_ABOUT_MODELS = [("stg_transactions", "staging", "lineitem, orders", "Order lines as payments.")]
+_ABOUT_COLUMNS = [("stg_transactions", "transaction_id", "Order and line number.", True)]
 
 
 @query
@@ -440,7 +453,7 @@ def table_profile(spark, sf):
 
 @query
 def column_profile(spark, sf):
-    tables = {name: df for name, df in _given(spark, sf).items() if name in _PROFILED}
+    tables = {name: df for name, df in _given(spark, sf).items() if name in _PLAIN}
     return C.column_profile(tables, keys={("nation", "n_nationkey")})
 
 
@@ -461,8 +474,9 @@ def zone_infer(spark, sf):
 
 def _catalog(spark, sf):
     return C.overlay(
-        C.table_profile(_given(spark, sf), _VIEWS), C.table_metadata(spark),
-        C.model_metadata(spark),
+        C.table_profile(_given(spark, sf), _VIEWS),
+        spark.createDataFrame(_ABOUT_TABLES, C.TABLE_METADATA),
+        spark.createDataFrame(_ABOUT_MODELS, C.MODEL_METADATA),
     )
 
 
@@ -483,7 +497,11 @@ def zone_rollup(spark, sf):
 
 def _catalog_columns(spark, sf):
     return C.overlay_columns(
-        C.column_profile(_given(spark, sf), _VIEWS), C.column_metadata(spark)
+        C.column_profile(
+            {n: df for n, df in _given(spark, sf).items() if n not in set(_GIVEN) - set(_PLAIN)},
+            _VIEWS,
+        ),
+        spark.createDataFrame(_ABOUT_COLUMNS, C.COLUMN_METADATA),
     )
 
 

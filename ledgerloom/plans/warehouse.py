@@ -187,9 +187,22 @@ def check_warehouse(
     return row
 
 
-def build_catalog(house: Warehouse, at: datetime | None = None) -> tuple[DataFrame, DataFrame]:
-    """Profile every table and rebuild both catalog tables as a whole."""
+def build_catalog(
+    house: Warehouse,
+    at: datetime | None = None,
+    metadata: DataFrame | None = None,
+    columns_metadata: DataFrame | None = None,
+    models: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Profile every table and rebuild both catalog tables as a whole.
+
+    Business metadata is the caller's: frames of ``catalog.TABLE_METADATA``,
+    ``catalog.COLUMN_METADATA`` and ``catalog.MODEL_METADATA``.
+    """
     spark = configure(house.spark)
+    metadata = C.no_metadata(spark) if metadata is None else metadata
+    if columns_metadata is None:
+        columns_metadata = C.no_metadata(spark, C.COLUMN_METADATA)
     tables = model_tables(house)
     if DIM in tables:
         tables["account_history"] = account_history(tables[DIM])
@@ -200,10 +213,9 @@ def build_catalog(house: Warehouse, at: datetime | None = None) -> tuple[DataFra
         tables[name] = read_partitioned(spark, house.path(name), shape)
     views = {"stg_transactions", "account_history"}
 
-    profile = C.overlay(C.table_profile(tables, views), C.table_metadata(spark),
-                        C.model_metadata(spark))
+    profile = C.overlay(C.table_profile(tables, views), metadata, models)
     stamped = profile.withColumn("last_built_at", F.lit(at or datetime.now(UTC)))
-    columns = C.overlay_columns(C.column_profile(tables, views), C.column_metadata(spark))
+    columns = C.overlay_columns(C.column_profile(tables, views), columns_metadata)
     return (
         house.publish("catalog_tables", stamped.select(*schemas.CATALOG_TABLES.names)),
         house.publish("catalog_columns", columns.select(*schemas.CATALOG_COLUMNS.names)),

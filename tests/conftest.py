@@ -37,18 +37,18 @@ def instant(text: str) -> dt.datetime:
     return dt.datetime.fromisoformat(text).replace(tzinfo=UTC)
 
 
-# Five clean landing rows.
+# Five landing rows without fault: two accounts with two rows, one with one.
 CLEAN = [
-    ("a1b2c3d4-e5f6-7890-abcd-ef1234567890", "2026-01-15 10:30", 42.50, "USD",
-     "Whole Foods Market", "Groceries", "ACC-00001", "debit", "completed"),
-    ("b2c3d4e5-f6a7-8901-bcde-f12345678901", "2026-01-15 11:45", 125.00, "EUR",
-     "Amazon", "Shopping", "ACC-00002", "debit", "completed"),
-    ("c3d4e5f6-a7b8-9012-cdef-012345678902", "2026-01-16 09:00", 8.99, "GBP",
-     "Starbucks", "Dining", "ACC-00001", "debit", "pending"),
-    ("d4e5f6a7-b8c9-0123-defa-123456789013", "2026-01-16 14:20", 1500.00, "JPY",
-     "Best Buy", "Electronics", "ACC-00003", "debit", "completed"),
-    ("e5f6a7b8-c9d0-1234-efab-234567890124", "2026-01-17 08:15", 33.75, "USD",
-     "Target", "Shopping", "ACC-00002", "credit", "completed"),
+    ("ledger-0001", "2026-01-15 07:05", 18.40, "GBP", "Harbour Bakery", "Bread", "ACC-00001",
+     "debit", "completed"),
+    ("ledger-0002", "2026-01-15 19:50", 260.75, "JPY", "Night Train", "Travel", "ACC-00002",
+     "debit", "completed"),
+    ("ledger-0003", "2026-01-16 12:00", 3.10, "USD", "Corner Press", "News", "ACC-00001",
+     "debit", "pending"),
+    ("ledger-0004", "2026-01-16 16:45", 980.00, "EUR", "Lathe & Sons", "Tools", "ACC-00003",
+     "debit", "completed"),
+    ("ledger-0005", "2026-01-17 21:30", 71.20, "GBP", "Old Cinema", "Leisure", "ACC-00002",
+     "credit", "completed"),
 ]
 
 

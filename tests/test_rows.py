@@ -66,8 +66,8 @@ def test_quarantine_record_is_text(spark):
     out = P.to_quarantine(invalid, "run-1", instant("2026-01-20"), start=7).first()
     assert out.quarantine_id == 8
     assert json.loads(out.record_data) == {
-        "transaction_id": rows[0][0], "timestamp": "2026-01-15T10:30:00+00:00",
-        "amount": "-12345678.5", "currency": "USD", "merchant_name": 'Joe "J" Ltd',
+        "transaction_id": rows[0][0], "timestamp": "2026-01-15T07:05:00+00:00",
+        "amount": "-12345678.5", "currency": "GBP", "merchant_name": 'Joe "J" Ltd',
         "category": "null", "account_id": "ACC-00001", "transaction_type": "debit",
         "status": "completed",
     }

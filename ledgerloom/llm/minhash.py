@@ -21,7 +21,7 @@ HASHES = BANDS * ROWS
 #: Hashes compared between two looks at the posterior.
 BATCH = 25
 #: Members of a bucket compared in one task; larger buckets are cut into tiles.
-_TILE = 2048
+_TILE = 1024
 _KEYS = ", ".join(f"{k} long" for k in KEY)
 _factors = np.random.default_rng(4).integers(0, 1 << 63, (2, HASHES), dtype=np.uint64)
 _FACTOR, _SHIFT = _factors[0] * np.uint64(2) + np.uint64(1), _factors[1]
@@ -128,27 +128,42 @@ def _likely(least: list[int]):
     return read
 
 
-def _across(least: list[int]):
-    """Likely pairs between different components, tile by tile of a bucket."""
+def _across(least: list[int], percent: int):
+    """Links between different components, tile by tile of a bucket: a forest of them.
+
+    A pair is compared in the first band it shares only, batch by batch of the
+    signature, and what is left by full sets.  Members that links found so far
+    connect are not compared any more.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in runs_of(batches, ["bucket", "i", "j"]):
-            node, root = (tile.column(c).to_numpy() for c in ("node", "root"))
-            side = tile.column("side").to_numpy()
-            own = tile.column("i")[0] == tile.column("j")[0]
+            node, root, side = (tile.column(c).to_numpy() for c in ("node", "root", "side"))
+            i, j, band = (tile.column(c)[0].as_py() for c in ("i", "j", "band"))
             signature = _signatures(tile.column("signature"))
-            left = np.flatnonzero(side == tile.column("i")[0].as_py())
-            right = left if own else np.flatnonzero(side == tile.column("j")[0].as_py())
-            found = []
+            sets = [np.frombuffer(x.as_buffer(), "<u8") for x in tile.column("set")]
+            left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+            root, found = root.copy(), []
             for x in left:
-                alive = right[(root[right] != root[x]) & ((node[right] > node[x]) if own else True)]
-                agreed = np.zeros(len(alive), int)
-                for i, need in enumerate(least):
-                    part = slice(i * BATCH, (i + 1) * BATCH)
-                    agreed = agreed + (signature[alive, part] == signature[x, part]).sum(1)
-                    keep = agreed >= need
-                    alive, agreed = alive[keep], agreed[keep]
-                found += [(min(node[x], node[y]), max(node[x], node[y])) for y in alive]
+                alive = right[(root[right] != root[x]) & ((node[right] > node[x]) if i == j else True)]
+                if not len(alive):
+                    continue
+                same = signature[alive] == signature[x]
+                shared = same.reshape(-1, BANDS, ROWS).all(2)
+                keep = ~shared[:, :band].any(1)
+                for at, need in enumerate(least, start=1):
+                    keep &= same[:, : at * BATCH].sum(1) >= need
+                alive = alive[keep]
+                if not len(alive):
+                    continue
+                size = np.array([len(sets[y]) for y in alive])
+                flat = np.concatenate([sets[y] for y in alive])
+                place = np.minimum(np.searchsorted(sets[x], flat), len(sets[x]) - 1)
+                both = np.add.reduceat(sets[x][place] == flat, np.cumsum(size) - size, dtype=np.int64)
+                for y in alive[100 * both >= percent * (size + len(sets[x]) - both)]:
+                    if root[y] != root[x]:
+                        found.append((min(node[x], node[y]), max(node[x], node[y])))
+                        root[root == root[y]] = root[x]
             if found:
                 a, b = (np.array(c, np.int64) for c in zip(*found, strict=True))
                 yield pa.RecordBatch.from_pydict({"a": a, "b": b})
@@ -198,12 +213,12 @@ class _Search:
         )
 
     def buckets(self) -> DataFrame:
-        """(bucket, node, center, members) of all buckets with several nodes."""
+        """(bucket, band, node, center, members) of all buckets with several nodes."""
         band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
         width = 4 * ROWS
         piece = F.substring(F.col("signature"), F.col("band") * width + 1, F.lit(width))
         members = self.classes.select("node", "signature", band.alias("band")).select(
-            F.xxhash64("band", piece).alias("bucket"), "node"
+            F.xxhash64("band", piece).alias("bucket"), "band", "node"
         )
         shared = members.groupBy("bucket").agg(
             F.min("node").alias("center"), F.max("node").alias("_last"),
@@ -218,15 +233,20 @@ class _Search:
             .mapInArrow(_likely(self.least), "a long, b long")
         )
 
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, set) of the given nodes."""
+        needed = stage(
+            self.classes.join(nodes.distinct(), "node", "left_semi").drop("signature"), "needed"
+        )
+        texts = join_small(self.texts.drop("id"), needed, KEY, "inner").select("node", "text")
+        sets = stage(texts.mapInArrow(_sets(self.n), "node long, set binary"), "sets")
+        # Repeated rows have one key; any of them will do.
+        return sets.dropDuplicates(["node"]) if self._repeats(needed, sets) else sets
+
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs that full sets confirm."""
         pairs = stage(pairs, "likely")
-        needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        needed = stage(self.classes.join(needed, "node", "left_semi").drop("signature"), "needed")
-        texts = join_small(self.texts.drop("id"), needed, KEY, "inner").select("node", "text")
-        # Repeated rows have one key; any of them will do.
-        sets = stage(texts.mapInArrow(_sets(self.n), "node long, set binary"), "sets")
-        sets = sets.dropDuplicates(["node"]) if self._repeats(needed, sets) else sets
+        sets = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
         return stage(
             pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
             .mapInArrow(_linked(self.percent), "a long, b long"),
@@ -266,8 +286,8 @@ def near_duplicates(
     gives one pair a node, not all pairs.  Pairs that batches of the signature make
     improbable (posterior below ``miss``) are dropped; full sets confirm the rest.
     Then only buckets whose nodes are still in several components are searched
-    between the components, tile by tile, with the same two tests.  Nothing is
-    capped.  Each node first tries the centre it shares most bands with; pairs that
+    between the components, tile by tile and with the same two tests, and give a
+    forest of links, never pairs.  Nothing is capped.  Each node first tries the centre it shares most bands with; pairs that
     are by then connected need no more proof.
 
     Texts without words, null ones included, have no shingles and link with nothing;
@@ -307,17 +327,19 @@ def near_duplicates(
         .withColumn("side", F.pmod(F.xxhash64("node"), tiles).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), tiles - 1)))
         .select("bucket", F.least("side", "_other").alias("i"), F.greatest("side", "_other").alias("j"),
-                "side", "node", "root")
+                "side", "band", "node", "root")
     )
     open_rows = stage(open_rows, "open")
     if open_rows.take(1):
+        full = search.classes.select("node", "signature").join(
+            search.sets(open_rows.select("node")), "node"
+        )
         across = (
-            open_rows.join(search.classes.select("node", "signature"), "node")
+            open_rows.join(full, "node")
             .repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-            .mapInArrow(_across(search.least), "a long, b long")
-            .distinct()
+            .mapInArrow(_across(search.least, percent), "a long, b long")
         )
-        links = stage(links.union(search.linked(across)), "links")
+        links = stage(links.union(across), "links")
         labels = components(links)
 
     named = join_small(search.rows.drop("signature"), labels, "node").withColumn(

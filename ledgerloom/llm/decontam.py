@@ -16,7 +16,8 @@ from ledgerloom.session import stage
 #: Up to this many test terms are handed to the tasks, 8 bytes each, to drop other
 #: terms at the source; beyond it, a join drops them.
 _HANDED_TERMS = 1 << 20
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The words of texts in either case.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _signed(h: np.ndarray) -> pa.Array:
@@ -65,11 +66,12 @@ def _terms_of(handed: np.ndarray | None):
     return read
 
 
-def _postings_of(handed: np.ndarray | None, reach: int):
+def _postings_of(handed: np.ndarray | None, rarest: np.ndarray | None, reach: int):
     """Corpus texts to postings (key, term, position, context).
 
-    The context holds the hashes of the words up to ``reach`` - 1 away on both
-    sides, with zeros beyond the text, so that a phrase can be confirmed in full.
+    The context, for the rarest terms of windows only, holds the hashes of the words
+    up to ``reach`` - 1 away on both sides, with zeros beyond the text, so that a
+    phrase can be confirmed in full.
     """
     around = np.arange(1 - reach, reach)
 
@@ -86,13 +88,16 @@ def _postings_of(handed: np.ndarray | None, reach: int):
                     near = kept[:, None] + around
                     known = (near >= offsets[owner, None]) & (near < offsets[owner + 1, None])
                     near = np.where(known, hashes[np.where(known, near, 0)] if len(hashes) else 0, 0)
-                    context = near.astype("<u8").tobytes()
                     width = 8 * len(around)
                     blob = pa.Array.from_buffers(
                         pa.binary(), len(kept),
                         [None, pa.py_buffer(np.arange(len(kept) + 1, dtype=np.int32) * width),
-                         pa.py_buffer(context)],
+                         pa.py_buffer(near.astype("<u8").tobytes())],
                     )
+                    if rarest is not None:
+                        first = _among(signed[kept], rarest)
+                        at = pa.array(np.arange(len(kept)), mask=~first)
+                        blob = blob.take(at)
                     rows = pa.array(owner)
                     yield pa.RecordBatch.from_pydict({
                         **{k: part.column(k).take(rows) for k in KEY},
@@ -146,7 +151,6 @@ def find_passages(
     docs: DataFrame,
     benchmark: DataFrame,
     n: int = 10,
-    lists: int = 2,
     slop: int = 2,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -156,14 +160,14 @@ def find_passages(
     """Exact and near occurrences of benchmark windows in a corpus.
 
     A window is a run of ``n`` item words (an item of fewer is one window).  Of each
-    window, the ``lists`` terms rarest in the corpus are indexed: postings name the
-    text, the term, its position and the words around.  Lists are shifted by the
-    term's offset in the window and intersected from the rarest on.  Where they
+    window, the two terms rarest in the corpus are indexed: postings name the text,
+    the term and its position, and for the rarest also the words around.  The lists
+    are shifted by the terms' offsets in the window and intersected.  Where they
     agree exactly, the words around confirm the phrase; where they agree within
-    ``slop`` words without being exact, it is a proximity match.
+    ``slop`` words without being a phrase, it is a proximity match.
 
-    Returns ``(exact, near)`` with the key of the text, ``window``, ``length`` and
-    ``start`` (in words); ``exact`` also has ``item``, once for each item.  Null and empty texts and items
+    Returns ``(exact, near)`` with the key of the text, ``window`` and ``start`` (in
+    words); ``exact`` also has ``length`` and ``item``, once for each item.  Null and empty texts and items
     have no words; equal windows and repeated rows count once.
     """
     spark = docs.sparkSession
@@ -185,59 +189,69 @@ def find_passages(
 
     # Windows with a term that the corpus lacks cannot occur.
     rarity = Window.partitionBy("window").orderBy("n", "term", "offset")
-    ranked = (
+    ranked = stage(
         words.drop("item").distinct()
         .join(frequency, "term", "left")
         .withColumn("_unknown", F.max(F.col("n").isNull()).over(Window.partitionBy("window")))
         .where(~F.col("_unknown"))
         .withColumn("rank", F.row_number().over(rarity))
-        .where(F.col("rank") <= lists)
-        .select("window", "length", "offset", "term", "rank")
+        .where("rank <= 2")
+        .select("window", "length", "offset", "term", "rank"),
+        "rarest",
     )
-    ranked = stage(ranked, "rarest")
-    chosen = stage(ranked.select("term").distinct(), "terms")
-    handed = _handed(spark, chosen)
+    chosen = stage(
+        ranked.groupBy("term").agg((F.min("rank") == 1).alias("rarest")), "terms"
+    )
+    listed = _handed(spark, chosen.select("term"))
+    rarest = _handed(spark, chosen.where("rarest").select("term"))
     posted = corpus.mapInArrow(
-        _postings_of(handed, n),
+        _postings_of(listed, rarest, n),
         f"{', '.join(f'{k} long' for k in KEY)}, term long, position int, context binary",
     )
-    if handed is None:
-        posted = posted.join(chosen, "term", "left_semi")
+    if listed is None:
+        posted = posted.join(chosen.select("term"), "term", "left_semi")
     index = stage(posted, "postings")
 
-    start = F.col("position") - F.col("offset")
-    shifted = join_small(index, ranked, "term", "inner").withColumn("start", start)
-    first = shifted.where("rank = 1 and start >= 0")
-    exact = near = first
-    # A short window may have fewer terms than lists; those it has must agree.
-    lengths = ranked.groupBy("window").agg(F.max("rank").alias("_lists"))
-    later = stage(
-        shifted.where("rank > 1").select(*KEY, "window", "rank", "start").distinct(), "later"
+    # Bins wide next to the slop, so that few starts need a second one.
+    width = 16 * (slop + 1)
+    start = (F.col("position") - F.col("offset")).alias("start")
+    first = join_small(
+        index.select(*KEY, "term", "position"), ranked.where("rank = 1"), "term", "inner"
+    ).select(*KEY, "window", start).where("start >= 0").distinct()
+    second = join_small(
+        index.select(*KEY, "term", "position"), ranked.where("rank = 2"), "term", "inner"
+    ).select(*KEY, "window", start).withColumnRenamed("start", "_other").distinct()
+    bins = F.array_distinct(F.array(
+        *(F.floor((F.col("start") + side) / width) for side in (-slop, slop))
+    ))
+    met = stage(
+        first.withColumn("_bin", F.explode(bins))
+        .join(second.withColumn("_bin", F.floor(F.col("_other") / width)), [*KEY, "window", "_bin"])
+        .where(F.abs(F.col("start") - F.col("_other")) <= slop)
+        .groupBy(*KEY, "window", "start")
+        .agg(F.bool_or(F.col("start") == F.col("_other")).alias("aligned")),
+        "met",
     )
-    agreed = later.groupBy(*KEY, "window", "start").agg(F.count("*").alias("_agreed"))
-    exact = (
-        join_small(first, stage(lengths, "lists"), "window", "inner")
-        .join(agreed, [*KEY, "window", "start"], "left")
-        .where(F.coalesce("_agreed", F.lit(0)) == F.col("_lists") - 1)
-        .select(*KEY, "window", "length", "offset", "start", "context")
+    # A window of one word has one list.
+    alone = ranked.groupBy("window").agg(F.max("rank").alias("_lists")).where("_lists = 1")
+    aligned = met.where("aligned").drop("aligned").union(
+        join_small(first, stage(alone.select("window"), "alone"), "window", "left_semi")
+        .select(*KEY, "window", "start")
+    )
+    aligned = stage(aligned, "aligned")
+    placed = join_small(
+        index.where("context is not null"), ranked.where("rank = 1"), "term", "inner"
+    ).select(*KEY, "window", "length", "offset", "context", start)
+    exact = stage(
+        join_small(placed, aligned, [*KEY, "window", "start"], "inner")
         .mapInArrow(
             _confirmed(n), f"{', '.join(f'{k} long' for k in KEY)}, window long, length int, start int"
         )
-        .distinct()
+        .distinct(),
+        "exact",
     )
-    exact = stage(exact, "exact")
-    # Bins as wide as the slop: two starts within it lie in the same or adjoining bins.
-    width = slop + 1
-    bins = F.explode(F.array(*(F.floor(F.col("start") / width) + i for i in (-1, 0, 1))))
-    around = later.where("rank = 2").select(*KEY, "window", F.col("start").alias("_other"))
-    around = around.withColumn("_bin", F.floor(F.col("_other") / width))
-    near = (
-        first.select(*KEY, "window", "length", "start").distinct()
-        .withColumn("_bin", bins)
-        .join(around, [*KEY, "window", "_bin"])
-        .where(F.abs(F.col("start") - F.col("_other")) <= slop)
-        .select(*KEY, "window", "length", "start").distinct()
-        .join(exact.select(*KEY, "window", "start"), [*KEY, "window", "start"], "left_anti")
+    near = met.select(*KEY, "window", "start").join(
+        exact.select(*KEY, "window", "start"), [*KEY, "window", "start"], "left_anti"
     )
     owners = stage(words.select("window", "item").distinct(), "owners")
     return join_small(exact, owners, "window", "inner"), near
@@ -278,7 +292,7 @@ def decontaminate(
     )
     close = near.groupBy(*KEY).agg(F.count("*").alias("n_near"))
     result = stage(hit.join(named, KEY, "full").join(close, KEY, "full"), "hits")
-    counted = F.coalesce(F.regexp_count(F.lower(text_col), F.lit(_WORD)), F.lit(0)).cast("long")
+    counted = F.coalesce(F.regexp_count(text_col, F.lit(_WORD)), F.lit(0)).cast("long")
     keyed = docs.select("*", *row_key(id_col, text_col), counted.alias("n_words"))
     return join_small(keyed, result, KEY).select(
         *docs.columns, "n_words",

@@ -11,7 +11,8 @@ from ledgerloom.session import stage
 
 #: A word is a run of anything but blanks; the digits name code points.
 WORD = r"[^\x20\x09-\x0D]+"
-_BUCKET_BITS = 16
+#: Leading bits of the hash that each histogram of a source tells apart.
+_LEVELS = (10, 20)
 _OWN = ["_source", "_size", "_hash", "_bucket", "_below", "_cut_bucket", "_cut_hash", "_close",
         "_whole", "size", "source_size", "target", "repeats", "taken"]
 
@@ -79,19 +80,18 @@ def mix(
     Every document of a source is taken as many whole times as the target holds
     the source.  For the fraction left, documents are ordered by a seeded hash of
     id and text, and the longest run from the front that fits is taken once more;
-    then the one document that best closes the gap.  The run's end comes from a
-    histogram of at most 65,536 hash buckets a source and from the rows of the one
-    bucket in which it falls, so no task sorts a whole source and the texts are
-    never shuffled.  Rows alike in id and text share a hash and hence a fate.
+    then the one document that best closes the gap.  The run's end comes from two
+    histograms of 1,024 hash buckets a source, the second within the one bucket in
+    which the first says it falls, and from the rows of one bucket of that; so no
+    task sorts a whole source and the texts are never shuffled.  Rows alike in id and text share a hash and hence a fate.
     An empty table gives no rows; null sources are a source.
     """
     reserve(docs, _OWN)
     hashed = F.xxhash64(F.lit(seed), F.col(id_col).isNull(), F.col(id_col), F.col(text_col))
     sized = docs.withColumns({
         "_source": F.col(source_col), "_hash": hashed, "size": word_count(text_col),
-        "_bucket": F.shiftrightunsigned(hashed, 64 - _BUCKET_BITS),
-    })
-    keyed = stage(sized.select("_source", "_hash", "_bucket", "size"), "sizes")
+    }).withColumn("_bucket", _bucket(_LEVELS[-1]))
+    keyed = stage(sized.select("_source", "_hash", "size"), "sizes")
     sources = stage(
         keyed.groupBy("_source").agg(F.sum("size").alias("source_size"))
         .join(weights.select(F.col("source").alias("_w"), "weight"),
@@ -115,35 +115,55 @@ def mix(
     )
 
 
+def _bucket(bits: int) -> Column:
+    return F.shiftrightunsigned("_hash", 64 - bits)
+
+
+def _crossings(keyed: DataFrame, goals: DataFrame) -> DataFrame:
+    """The bucket in which each source's quota ends, and the words before it."""
+    before = (
+        Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    within = F.lit(True)
+    crossed = goals.select(
+        F.col("_source").alias("_g"), "_quota", F.lit(0).cast("long").alias("_up"),
+        F.lit(0).cast("long").alias("_base"),
+    )
+    for bits in _LEVELS:
+        histogram = (
+            keyed.join(crossed, F.col("_source").eqNullSafe(F.col("_g")) & within)
+            .groupBy("_source", "_quota", "_base", _bucket(bits).alias("_bucket"))
+            .agg(F.sum("size").alias("_words"))
+            .withColumn(
+                "_below", F.col("_base") + F.coalesce(F.sum("_words").over(before), F.lit(0))
+            )
+        )
+        crossed = stage(
+            histogram.where(F.col("_below") + F.col("_words") > F.col("_quota"))
+            .groupBy("_source", "_quota")
+            .agg(F.min(F.struct("_bucket", "_below")).alias("_c"))
+            .select(F.col("_source").alias("_g"), "_quota",
+                    F.col("_c._bucket").alias("_up"), F.col("_c._below").alias("_base")),
+            "crossings",
+        )
+        within = _bucket(bits) == F.col("_up")
+    return crossed.select("_g", "_quota", F.col("_up").alias("_b"), F.col("_base").alias("_below"))
+
+
 def _cuts(keyed: DataFrame, targets: DataFrame) -> DataFrame:
     """Where the last, partial repetition of each source ends."""
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
     goals = targets.withColumn("_whole", F.coalesce(whole, F.lit(0)).cast("int")).withColumn(
         "_quota", F.col("target") - F.col("_whole") * F.col("source_size")
     )
-    before = (
-        Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    histogram = (
-        keyed.groupBy("_source", "_bucket").agg(F.sum("size").alias("_words"))
-        .withColumn("_below", F.coalesce(F.sum("_words").over(before), F.lit(0)))
-    )
-    goal = goals.select(F.col("_source").alias("_g"), "_quota")
     same = F.col("_source").eqNullSafe(F.col("_g"))
-    crossed = stage(
-        histogram.join(goal, same)
-        .where(F.col("_below") + F.col("_words") > F.col("_quota"))
-        .groupBy("_source", "_quota")
-        .agg(F.min(F.struct("_bucket", "_below")).alias("_c"))
-        .select(F.col("_source").alias("_g"), "_quota", "_c._bucket", "_c._below"),
-        "crossings",
-    )
+    crossed = _crossings(keyed, goals)
+    fine = _bucket(_LEVELS[-1])
     upto = Window.partitionBy("_source").orderBy("_hash").rangeBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     inside = (
-        keyed.join(crossed.withColumnRenamed("_bucket", "_b"),
-                   same & (F.col("_bucket") == F.col("_b")))
+        keyed.join(crossed, same & (fine == F.col("_b")))
         .withColumn("_through", F.col("_below") + F.sum("size").over(upto))
         .where(F.col("_through") <= F.col("_quota"))
         .groupBy("_source")
@@ -152,13 +172,13 @@ def _cuts(keyed: DataFrame, targets: DataFrame) -> DataFrame:
     )
     ends = stage(
         crossed.join(inside, F.col("_g").eqNullSafe(F.col("_t")), "left").select(
-            "_g", F.col("_bucket").alias("_cut_bucket"), "_cut_hash",
+            "_g", F.col("_b").alias("_cut_bucket"), "_cut_hash",
             (F.col("_quota") - F.coalesce("_through", "_below")).alias("_gap"),
         ),
         "ends",
     )
-    behind = (F.col("_bucket") > F.col("_cut_bucket")) | (
-        (F.col("_bucket") == F.col("_cut_bucket"))
+    behind = (fine > F.col("_cut_bucket")) | (
+        (fine == F.col("_cut_bucket"))
         & (F.col("_cut_hash").isNull() | (F.col("_hash") > F.col("_cut_hash")))
     )
     off = F.abs(F.col("size") - F.col("_gap"))

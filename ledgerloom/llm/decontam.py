@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import text as T
-from ledgerloom.llm.tables import KEY, join_small, known_bytes, reserve, row_key
+from ledgerloom.llm.tables import KEY, aside, join_small, known_bytes, row_key
 from ledgerloom.session import stage
 
 #: Up to this many test terms are handed to the tasks, 8 bytes each, to drop other
@@ -272,8 +272,11 @@ def decontaminate(
     sorted ids, as strings, of the items with one; ``n_near`` proximity matches;
     ``contaminated``.  Texts without words, null ones included, are clean; rows
     alike in id and text have the same result; an empty benchmark hits nothing.
+    Input columns with these names are replaced.
     """
-    reserve(docs, ["n_words", "n_hit", "items", "n_near", "contaminated", *KEY])
+    docs, back = aside(
+        docs, ["n_words", "n_hit", "items", "n_near", "contaminated"], KEY, [id_col, text_col]
+    )
     exact, near = find_passages(docs, benchmark, n, id_col=id_col, text_col=text_col,
                                 item_col=item_col, item_text_col=item_text_col)
     places = exact.select(*KEY, "start", (F.col("start") + F.col("length")).alias("end")).distinct()
@@ -295,7 +298,7 @@ def decontaminate(
     counted = F.coalesce(F.regexp_count(text_col, F.lit(_WORD)), F.lit(0)).cast("long")
     keyed = docs.select("*", *row_key(id_col, text_col), counted.alias("n_words"))
     return join_small(keyed, result, KEY).select(
-        *docs.columns, "n_words",
+        *back, "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
-from ledgerloom.llm.tables import join_small, reserve, runs_of
+from ledgerloom.llm.tables import aside, join_small, runs_of
 from ledgerloom.session import stage
 
 BLOCK = 8
@@ -222,10 +222,13 @@ def near_duplicates(
     Null or unusable vectors (zero, null or non-finite parts), and those without a
     label, link with nothing.  Vectors of different length never link.  Rows with a
     null id count as links, but name no component unless all its ids are null; then
-    all its rows are kept.  An empty table gives no rows.
+    all its rows are kept.  An empty table gives no rows.  Input columns with the
+    names of results are replaced.
     """
-    reserve(vectors, ["node", "weight", "root", "n_links", "component_id", "kept", "_usable", "_w",
-                      "_links", "_least", "_node"])
+    vectors, back = aside(
+        vectors, ["n_links", "component_id", "kept"], ["_node", "_root", "_w", "_links", "_least"],
+        [id_col, vector_col, label_col],
+    )
     vector, label = F.col(vector_col), F.col(label_col)
     usable = _usable(vector) & label.isNotNull()
     marked = vectors.withColumn("_node", F.when(usable, F.xxhash64(label, F.size(vector), vector)))
@@ -282,7 +285,7 @@ def near_duplicates(
     )
     component = F.when(F.col("_root").isNull(), F.col(id_col)).otherwise(F.col("_least"))
     return join_small(named, least, "_root").select(
-        *vectors.columns,
+        *back,
         F.coalesce(F.col("_w") - 1 + F.col("_links"), F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),
         F.col(id_col).eqNullSafe(component).alias("kept"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.tables import KEY, join_small, reserve, row_key
+from ledgerloom.llm.tables import KEY, aside, join_small, row_key
 from ledgerloom.session import stage
 
 #: Licence names and the notices they are recognised by.
@@ -131,9 +131,13 @@ def scan(
     is resolved once.  Several licence files in a directory: the most similar
     notice, then the first name.  Texts without either have nulls, as do null and
     empty texts outside such directories; a null path inherits nothing.  Rows alike
-    in text and path share the result; an empty table gives no rows.
+    in text and path share the result; an empty table gives no rows.  Input columns
+    with the names of results are replaced.
     """
-    reserve(docs, ["license", "similarity", "license_dir", "_dir", "_license", *KEY])
+    docs, back = aside(
+        docs, ["license", "similarity", "license_dir"], ["_dir", "_license", "_from", *KEY],
+        [text_col, path_col],
+    )
     path = F.col(path_col)
     keyed = docs.select("*", *row_key(text_col, path_col), F.regexp_extract(path, "^(.*)/", 1).alias("_dir"))
     own = stage(own_licenses(keyed, templates, least, text_col, KEY), "own")
@@ -164,7 +168,7 @@ def scan(
     )
     inherited = F.col("license").isNull()
     return join_small(marked, resolved, "_dir").select(
-        *docs.columns,
+        *back,
         F.coalesce("license", "_license").alias("license"), "similarity",
         F.when(inherited, F.col("_from")).alias("license_dir"),
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import text as T
 from ledgerloom.llm.components import components
-from ledgerloom.llm.tables import KEY, join_small, reserve, row_key, runs_of
+from ledgerloom.llm.tables import KEY, join_small, row_key, runs_of
 from ledgerloom.session import stage
 
 #: 25 bands of 5 miss a pair of similarity 0.85 with probability 4e-7.
@@ -296,7 +296,6 @@ def near_duplicates(
     its rows are kept.  Rows that repeat an id and text share their fate.  An empty
     table gives no rows.  Nodes are 64-bit hashes of sets.
     """
-    reserve(docs, KEY)
     search = _Search(docs, n, percent, miss, id_col, text_col)
     buckets = search.buckets()
     stars = (

@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.ordered import number_rows
-from ledgerloom.llm.tables import reserve
+from ledgerloom.llm.tables import aside
 from ledgerloom.session import stage
 
 #: A word is a run of anything but blanks; the digits name code points.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Leading bits of the hash that each histogram of a source tells apart.
 _LEVELS = (10, 20)
-_OWN = ["_source", "_size", "_hash", "_bucket", "_below", "_cut_bucket", "_cut_hash", "_close",
-        "_whole", "size", "source_size", "target", "repeats", "taken"]
+_RESULTS = ["size", "source_size", "target", "repeats", "taken"]
+_INNER = ["_source", "_s", "_hash", "_bucket", "_cut_bucket", "_cut_hash", "_close", "_whole", "_copy"]
 
 
 def word_count(text: str) -> Column:
@@ -84,9 +84,10 @@ def mix(
     histograms of 1,024 hash buckets a source, the second within the one bucket in
     which the first says it falls, and from the rows of one bucket of that; so no
     task sorts a whole source and the texts are never shuffled.  Rows alike in id and text share a hash and hence a fate.
-    An empty table gives no rows; null sources are a source.
+    An empty table gives no rows; null sources are a source.  Input columns
+    with the names of results are replaced.
     """
-    reserve(docs, _OWN)
+    docs, back = aside(docs, _RESULTS, _INNER, [id_col, text_col, source_col])
     hashed = F.xxhash64(F.lit(seed), F.col(id_col).isNull(), F.col(id_col), F.col(text_col))
     sized = docs.withColumns({
         "_source": F.col(source_col), "_hash": hashed, "size": word_count(text_col),
@@ -110,7 +111,7 @@ def mix(
     return (
         sized.join(plan, F.col("_source").eqNullSafe(F.col("_s")))
         .withColumn("repeats", F.coalesce(repeats, F.lit(0)).cast("int"))
-        .select(*docs.columns, "size", "source_size", "target", "repeats",
+        .select(*back, "size", "source_size", "target", "repeats",
                 (F.col("size") * F.col("repeats")).alias("taken"))
     )
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ledgerloom.llm import text as T
-from ledgerloom.llm.tables import reserve
+from ledgerloom.llm.tables import aside
 
 #: Labelled documents a model is fitted on at most.
 SAMPLE = 3000
@@ -260,9 +260,10 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
     """Add ``score``, 0 to 1: the length-weighted chance that a text's lines are good.
 
     Null and empty texts have one empty line and so a score as well; without a model
-    every score is 0.5.  Rows with the same text have the same score.
+    every score is 0.5.  Rows with the same text have the same score.  An input column
+    of that name is replaced.
     """
-    reserve(docs, ["score"])
+    docs, back = aside(docs, ["score"], used=[text_col])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,4 +275,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
                 columns = [*part.columns, pa.array(value)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "score"])
 
-    return docs.mapInArrow(read, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    scored = docs.mapInArrow(
+        read, StructType([*docs.schema.fields, StructField("score", DoubleType())])
+    )
+    return scored.select(*back, "score")

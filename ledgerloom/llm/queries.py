@@ -129,4 +129,65 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_shard": op10_shard,
 }
-SQL: dict[str, str] = {}
+
+_TEMPLATES = ", ".join("('{}', '{}')".format(*t) for t in licenses.TEMPLATES)
+_TERMS = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda t: t <> '')"
+
+#: The queries that SQL can express; the others are tested against brute force.
+SQL: dict[str, str] = {
+    "op8_licenses": f"""
+WITH total AS (SELECT COUNT(*) AS n FROM documents WHERE text IS NOT NULL),
+held AS (
+  SELECT unnest(list_distinct({_TERMS.format('text')})) AS term FROM documents WHERE text IS NOT NULL
+),
+rarity AS (
+  SELECT term, ln((1 + (SELECT n FROM total)) / (1 + COUNT(*))) + 1 AS idf FROM held GROUP BY term
+),
+template_terms AS (
+  SELECT license, unnest({_TERMS.format('notice')}) AS term FROM (VALUES {_TEMPLATES}) v(license, notice)
+),
+patterns AS (
+  SELECT license, term, COUNT(*) * coalesce(ANY_VALUE(idf), ln(1 + (SELECT n FROM total)) + 1) AS w
+  FROM template_terms LEFT JOIN rarity USING (term) GROUP BY license, term
+),
+sizes AS (SELECT license, sqrt(SUM(w * w)) AS size FROM patterns GROUP BY license),
+lines AS (
+  SELECT doc_id, unnest(range(len(l))) AS line, unnest(l) AS text
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
+),
+words AS (SELECT doc_id, line, unnest({_TERMS.format('text')}) AS term FROM lines),
+weights AS (
+  SELECT doc_id, line, term, COUNT(*) * ANY_VALUE(idf) AS w
+  FROM words JOIN rarity USING (term) GROUP BY doc_id, line, term
+),
+lengths AS (SELECT doc_id, line, sqrt(SUM(w * w)) AS length FROM weights GROUP BY doc_id, line),
+dots AS (
+  SELECT doc_id, line, license, SUM(weights.w * patterns.w) AS dot
+  FROM weights JOIN patterns USING (term) GROUP BY doc_id, line, license
+),
+own AS (
+  SELECT doc_id, license, round(dot / (length * size), 6) AS similarity
+  FROM dots JOIN lengths USING (doc_id, line) JOIN sizes USING (license)
+  WHERE round(dot / (length * size), 6) >= {licenses.LEAST_COSINE}
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(dot / (length * size), 6) DESC, license) = 1
+),
+files AS (
+  SELECT doc_id, doc_id % 100 = 0 AS is_license,
+         concat_ws('/', source, CAST(doc_id // 1000 AS VARCHAR),
+                   CASE WHEN doc_id % 1000 <> 0 THEN CAST(doc_id // 100 AS VARCHAR) END) AS dir
+  FROM documents
+),
+grants AS (
+  SELECT dir AS above, license FROM files JOIN own USING (doc_id) WHERE is_license
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, license) = 1
+),
+inherited AS (
+  SELECT dir, above, grants.license AS granted
+  FROM (SELECT DISTINCT dir FROM files) JOIN grants ON dir = above OR starts_with(dir, above || '/')
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY length(above) DESC) = 1
+)
+SELECT doc_id, coalesce(license, granted) AS license, similarity,
+       CASE WHEN license IS NULL THEN above END AS license_dir
+FROM files LEFT JOIN own USING (doc_id) LEFT JOIN inherited USING (dir)
+""",
+}

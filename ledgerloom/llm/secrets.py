@@ -11,7 +11,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.tables import KEY, join_small, reserve, row_key
+from ledgerloom.llm.tables import KEY, aside, join_small, row_key
 from ledgerloom.session import stage
 
 #: At most this many strings are kept while a regex is read; beyond it the part
@@ -229,9 +229,11 @@ def find_secrets(
     Trigram queries are derived from the rules; texts that satisfy a rule's query
     are its candidates, and only those meet its regex.  A rule whose query demands
     nothing scans all texts.  Rows with the same id and text have the same result.
-    Null and empty texts have no secrets; an empty table gives no rows.
+    Null and empty texts have no secrets; an empty table gives no rows.  An input
+    column named ``secrets`` is replaced.
     """
-    reserve(docs, ["secrets", *KEY, "_n1", "_n2", *(f"_has_{r.kind}" for r in rules)])
+    inner = [*KEY, "_lower", *(f"_has_{r.kind}" for r in rules)]
+    docs, back = aside(docs, ["secrets"], inner, [id_col, text_col])
     keyed = docs.select("*", *row_key(id_col, text_col))
     queries = {f"_has_{r.kind}": trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q is not True}
@@ -247,7 +249,7 @@ def find_secrets(
         may = F.col(f"_has_{rule.kind}") if f"_has_{rule.kind}" in indexed else _quick(rule, text)
         spans = F.when(may, _spans(text, rule)).otherwise(none)
         found.append(F.transform(spans, _named(number, rule.kind)))
-    return keyed.select(*docs.columns, F.array_sort(F.concat(*found)).alias("secrets"))
+    return keyed.select(*back, F.array_sort(F.concat(*found)).alias("secrets"))
 
 
 def joined(secrets: Column) -> Column:

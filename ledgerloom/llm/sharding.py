@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ledgerloom.llm.tables import KEY, join_small, reserve, with_key
+from ledgerloom.llm.tables import KEY, aside, join_small, with_key
 from ledgerloom.session import stage
 
-_OWN = ["shard", "grown_shard", "bucket", "part", "place", "slot", "_n", "_parts", "_base", *KEY]
+_RESULTS = ["shard", "slot", "grown_shard"]
+_INNER = ["bucket", "part", "place", "_best", "_n", "_parts", "_base", *KEY]
 #: Bytes a row takes besides its text.
 ROW_BYTES = 16
 
@@ -72,9 +73,10 @@ def shard(
 
     Adds ``shard`` (decided by the id and the shard count alone), ``grown_shard``
     (with one more shard), and ``slot``, the gapless place in the shard.  Null ids
-    are one id; null texts have no bytes; an empty table gives no rows.
+    are one id; null texts have no bytes; an empty table gives no rows.  Input columns
+    with the names of results are replaced; files keep them under another name.
     """
-    reserve(docs, _OWN)
+    docs, back = aside(docs, _RESULTS, _INNER, [id_col, text_col])
     best, grown = _rendezvous(id_col, shards, seed)
     bytes_of = (F.coalesce(F.octet_length(text_col), F.lit(0)) + ROW_BYTES).cast("long")
     placed = with_key(docs, id_col, text_col).withColumn("_best", best).withColumns({
@@ -115,5 +117,5 @@ def shard(
         "bases",
     )
     return join_small(written, bases, ["shard", "bucket", "part"], "inner").select(
-        *docs.columns, "shard", (F.col("_base") + F.col("place")).alias("slot"), "grown_shard",
+        *back, "shard", (F.col("_base") + F.col("place")).alias("slot"), "grown_shard",
     )

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import text as T
-from ledgerloom.llm.tables import KEY, join_small, reserve, row_key, runs_of
+from ledgerloom.llm.tables import KEY, aside, join_small, row_key, runs_of
 from ledgerloom.session import stage
 
 #: Bytes of the gram that stands for a window.
@@ -239,9 +239,12 @@ def remove_repeats(
     windows compared by 128 bits of hash (family and window).
 
     Null texts are empty.  Texts shorter than ``length`` lose nothing.  Repeated
-    rows repeat each other's text.  An empty table gives no rows.
+    rows repeat each other's text.  An empty table gives no rows.  Input columns with
+    the names of results are replaced.
     """
-    reserve(docs, ["n_bytes", "removed", "n_removed", "kept", *KEY, "_n", "_least", "_runs", "_all"])
+    docs, back = aside(
+        docs, ["n_bytes", "removed", "n_removed", "kept"], [*KEY, "_runs", "_all"], [id_col, text_col]
+    )
     keyed = docs.select("*", *row_key(text_col))
     long_enough = F.octet_length(text_col) >= length
     texts = keyed.where(long_enough).select(*KEY, F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -316,7 +319,7 @@ def remove_repeats(
     )
     total = F.aggregate("removed", F.lit(0), lambda s, r: s + r["high"] - r["low"])
     return marked.select(
-        *docs.columns, size.cast("long").alias("n_bytes"), "removed",
+        *back, size.cast("long").alias("n_bytes"), "removed",
         total.cast("long").alias("n_removed"),
         F.when(F.size("removed") == 0, content).otherwise(_kept(content, F.col("removed"))).alias("kept"),
     )

@@ -50,12 +50,24 @@ def join_small(df: DataFrame, staged: DataFrame, on, how: str = "left") -> DataF
     return df.join(side, on, how)
 
 
-def reserve(df: DataFrame, names: Sequence[str]) -> None:
-    """Refuse input columns that clash with the operator's own ones."""
-    lowered = {c.lower() for c in df.columns}
-    clash = [n for n in names if n.lower() in lowered]
-    if clash:
-        raise ValueError(f"input columns clash with the operator's own: {clash}")
+def aside(
+    df: DataFrame, results: Sequence[str], inner: Sequence[str] = (), used: Sequence[str] = ()
+) -> tuple[DataFrame, list[Column]]:
+    """Rename input columns that clash with an operator's own, and how to name them back.
+
+    ``used`` columns stay as they are.  An input column with the name of a result is
+    not named back: the result takes its place.
+    """
+    own = {n.lower() for n in (*results, *inner)}
+    taken = {n.lower() for n in results}
+    names = [
+        c if c in used or c.lower() not in own else f"_aside{i}" for i, c in enumerate(df.columns)
+    ]
+    back = [
+        F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)
+        if c in used or c.lower() not in taken
+    ]
+    return df.toDF(*names), back
 
 
 def runs_of(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:

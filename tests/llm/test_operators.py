@@ -375,7 +375,7 @@ def test_trigram_queries():
 
 def test_sharding(spark):
     docs = frame(spark, [*ODD, *((2000 + i, prose(5)) for i in range(400))])
-    written = sharding.shard(docs, shards=7, bucket_bytes=4000)
+    written = sharding.shard(docs, shards=7, bucket_bytes=20_000)
     got = written.collect()
     assert rows(written, "doc_id", "text", "h") == rows(docs, "doc_id", "text", "h")
     slots = {}
@@ -384,9 +384,9 @@ def test_sharding(spark):
         assert 0 <= r.shard < 7 and r.grown_shard in (r.shard, 7)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert any(r.grown_shard == 7 for r in got)
-    grown = sharding.shard(docs, shards=8, bucket_bytes=4000)
+    grown = sharding.shard(docs, shards=8, bucket_bytes=20_000)
     assert rows(grown, "doc_id", "text", "shard") == rows(written, "doc_id", "text", "grown_shard")
-    again = sharding.shard(docs.repartition(5), shards=7, bucket_bytes=4000)
+    again = sharding.shard(docs.repartition(5), shards=7, bucket_bytes=20_000)
     assert rows(again, "doc_id", "text", "shard", "slot") == rows(written, "doc_id", "text", "shard", "slot")
     assert sharding.shard(nothing(spark)).count() == 0
 
@@ -403,11 +403,22 @@ def test_fisher_yates():
     assert sharding.fisher_yates(0, [1]).tolist() == []
 
 
-@pytest.mark.parametrize("call", [
-    lambda d: substrings.remove_repeats(d.withColumn("kept", F.lit(1))),
-    lambda d: quality.score(d.withColumn("Score", F.lit(1)), None),
-    lambda d: secrets.find_secrets(d.withColumn("secrets", F.lit(1))),
+@pytest.mark.parametrize("call, result", [
+    (lambda d: substrings.remove_repeats(d), "kept"),
+    (lambda d: quality.score(d, None), "score"),
+    (lambda d: secrets.find_secrets(d), "secrets"),
+    (lambda d: sharding.shard(d, shards=3), "shard"),
+    (lambda d: mixing.mix(d, mixing.ranked_weights(d, "source", (1,))), "size"),
+    (lambda d: licenses.scan(d), "license"),
 ])
-def test_own_result_columns_must_be_free(spark, call):
-    with pytest.raises(ValueError, match="clash"):
-        call(frame(spark))
+def test_results_replace_columns_of_their_name(spark, call, result):
+    df = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
+    df = df.withColumns({
+        name: F.lit("input") for name in
+        ("path", "source", "kept", "Score", "secrets", "shard", "size", "license", "_key1", "node", "root")
+    })
+    found = call(df)
+    assert found.count() == 2
+    assert found.where(F.col(result).cast("string") == "input").count() == 0
+    others = [c for c in df.columns if c.lower() != result and c not in ("doc_id", "text")]
+    assert found.select(others).distinct().collect() == [tuple("input" for _ in others)]

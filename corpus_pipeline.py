@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontam, minhash, mixing, packing, quality
 from ledgerloom.llm.queries import SOURCE_WEIGHTS
 from ledgerloom.llm.tables import KEY, join_small, table, with_key
-from ledgerloom.session import stage
+from ledgerloom.session import scratch, stage, workspace
+
+#: What stages read; any other column passes through under a name of its own.
+_READ = ("doc_id", "text", "source")
+
+
+def passing(stage_of: Callable) -> Callable:
+    """Let the other columns pass a stage whatever they are called."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c in _READ else f"_passing{i}" for i, c in enumerate(docs.columns)]
+        return stage_of(spark, docs.toDF(*names), sf_dir).toDF(*docs.columns)
+
+    run.__name__, run.__doc__ = stage_of.__name__, stage_of.__doc__
+    return run
 
 
+@passing
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose lines the classifier takes for good."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model).where("score >= 0.7").drop("score")
 
 
+@passing
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest id."""
     groups = minhash.near_duplicates(docs, n=5, percent=80)
@@ -24,12 +42,14 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return join_small(with_key(docs, "doc_id", "text"), gone, KEY, "left_anti").select(*docs.columns)
 
 
+@passing
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of a benchmark item."""
     found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), n=10)
     return found.where("not contaminated").select(*docs.columns)
 
 
+@passing
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources by weight: each document as often as the mix takes it."""
     weights = mixing.ranked_weights(docs, "source", SOURCE_WEIGHTS)
@@ -57,5 +77,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs.select(*docs.columns, F.size("doc_ids").alias("n_segments"))
+        path = f"{workspace(spark)}/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+        # What a stage staged for itself goes when its result is written.
+        with scratch(spark):
+            function(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -12,7 +12,8 @@ from ledgerloom.functions.ordered import running_total
 def value_shares(df: DataFrame, column: str) -> DataFrame:
     """Rows and share of all rows per value."""
     counts = df.groupBy(column).agg(F.count("*").alias("row_count"))
-    total = df.agg(F.count("*")).scalar()
+    # The sum of the counts, so the rows are read once.
+    total = counts.agg(F.sum("row_count")).scalar()
     return counts.withColumn("share", F.col("row_count") / total)
 
 

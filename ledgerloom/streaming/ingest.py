@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from datetime import UTC, datetime
 from hashlib import sha256
 
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom import schemas
+from ledgerloom.operators.dedup import run_totals
 from ledgerloom.operators.marts import DAILY_GRAIN, daily_spend
+from ledgerloom.operators.runs import audit_row
 from ledgerloom.plans.ingest import Warehouse, write_batch
 from ledgerloom.session import configure, scratch
 from ledgerloom.sources.landing import SOURCE_FILE, SOURCE_ROW, file_name
@@ -46,13 +49,26 @@ def ingest_stream(
     The checkpoint remembers the files, and names the stream in its run ids, so
     streams into one warehouse never share one.  A batch repeated after a failure
     carries the same run id, replaces its quarantine partition and skips the
-    ids it already loaded.
+    ids it already loaded.  Each batch leaves an audit row.
     """
     stream_id = sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
 
     def load(batch: DataFrame, batch_id: int) -> None:
+        run_id, at = f"stream-{stream_id}-{batch_id:08d}", datetime.now(UTC)
+        started = time.monotonic()
         with scratch(batch.sparkSession):
-            write_batch(house, batch, f"stream-{stream_id}-{batch_id:08d}", datetime.now(UTC))
+            counts = write_batch(house, batch, run_id, at)
+            totals = run_totals(counts).first().asDict()
+            files = counts.count()
+        shape = schemas.INGESTION_RUNS
+        counters = dict.fromkeys((f.name for f in shape if f.dataType.typeName() == "long"), 0)
+        counters |= {n: v for n, v in totals.items() if n in counters}
+        counters |= {"files_checked": files, "files_processed": files, "files_ingested": files}
+        house.log("ingestion_runs", audit_row(
+            batch.sparkSession, shape, run_id=run_id, started_at=at,
+            completed_at=datetime.now(UTC), status="completed",
+            elapsed_seconds=time.monotonic() - started, **counters,
+        ))
 
     configure(spark)
     return (

@@ -37,6 +37,7 @@ class Rule:
         return F.when(~self.passes, F.lit(self.message))
 
 
+# The texts of the rules, which quarantined records carry.
 def filled(name: str) -> Rule:
     return Rule(
         f"{name} is null or empty",

@@ -194,6 +194,7 @@ def monthly_summary_matches(stg: DataFrame, mart: DataFrame) -> DataFrame:
 
 
 # --- the warehouse suite ----------------------------------------------------
+# The names of checks and of the columns they return.
 
 
 def row_count_staging(transactions: DataFrame, stg: DataFrame) -> DataFrame:

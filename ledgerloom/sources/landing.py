@@ -157,6 +157,7 @@ def schema_errors(files: DataFrame, expected=schemas.LANDING) -> DataFrame:
         )
         for f in expected
     ]
+    # The texts of findings, here and above.
     found = F.concat_ws(
         "; ", _name_list("Missing columns", missing), _name_list("Unexpected columns", extra),
         *type_errors,

@@ -65,16 +65,15 @@ def landing_frame(spark, rows):
 
 # id, amount, currency, category, account, type, status, date
 MODEL_ROWS = [
-    ("txn-001", 50.0, "USD", "Groceries", "ACC-00001", "debit", "completed", "2026-01-15"),
-    ("txn-002", 25.0, "USD", "Dining", "ACC-00001", "debit", "completed", "2026-01-15"),
-    ("txn-003", 30.0, "EUR", "Groceries", "ACC-00002", "debit", "completed", "2026-01-15"),
-    ("txn-004", 100.0, "USD", "Shopping", "ACC-00001", "debit", "completed", "2026-01-16"),
-    ("txn-005", 75.0, "USD", "Groceries", "ACC-00002", "debit", "completed", "2026-02-01"),
-    ("txn-006", 200.0, "USD", "Income", "ACC-00001", "credit", "completed", "2026-01-15"),
-    ("txn-007", 150.0, "USD", "Income", "ACC-00002", "credit", "completed", "2026-02-01"),
-    ("txn-008", 999.0, "USD", "Shopping", "ACC-00001", "debit", "failed", "2026-01-15"),
-    ("txn-009", 45.0, "USD", "Transport", "ACC-00002", "debit", "pending", "2026-01-16"),
-    ("txn-010", 500.0, "EUR", "Income", "ACC-00002", "credit", "completed", "2026-01-15"),
+    ("m1", 12.0, "GBP", "Bread", "ACC-00001", "debit", "completed", "2026-01-10"),
+    ("m2", 8.0, "GBP", "Bread", "ACC-00001", "debit", "completed", "2026-01-10"),
+    ("m3", 40.0, "GBP", "Tools", "ACC-00001", "debit", "completed", "2026-01-11"),
+    ("m4", 300.0, "GBP", "Wages", "ACC-00001", "credit", "completed", "2026-01-11"),
+    ("m5", 7.0, "GBP", "Tools", "ACC-00001", "debit", "failed", "2026-01-11"),
+    ("m6", 60.0, "USD", "Rent", "ACC-00002", "debit", "completed", "2026-01-10"),
+    ("m7", 6.0, "USD", "Bread", "ACC-00002", "debit", "pending", "2026-01-11"),
+    ("m8", 90.0, "USD", "Rent", "ACC-00002", "debit", "completed", "2026-02-02"),
+    ("m9", 110.0, "JPY", "Wages", "ACC-00002", "credit", "completed", "2026-02-02"),
 ]
 
 

@@ -37,17 +37,17 @@ def test_profiles(spark):
     got = {r.account_id: r for r in V.account_profiles(staged_frame(spark)).collect()}
     one, two = got["ACC-00001"], got["ACC-00002"]
     assert (one.primary_currency, one.primary_category, one.transaction_count,
-            one.total_spend) == ("USD", "Shopping", 5, 1374.0)
+            one.total_spend) == ("GBP", "Bread", 5, 367.0)
     assert (two.primary_currency, two.primary_category, two.transaction_count,
-            two.total_spend) == ("USD", "Groceries", 5, 800.0)
-    assert one.first_seen == D(2026, 1, 15)
+            two.total_spend) == ("USD", "Rent", 4, 266.0)
+    assert one.first_seen == D(2026, 1, 10)
 
 
 def test_row_hash_is_over_plain_text(spark):
     import hashlib
 
     row = V.account_profiles(staged_frame(spark)).where("account_id = 'ACC-00001'").first()
-    text = "USD|Shopping|5|1374.0|2026-01-15|2026-01-16"
+    text = "GBP|Bread|5|367.0|2026-01-10|2026-01-11"
     assert row.row_hash == hashlib.md5(text.encode()).hexdigest()
 
 

@@ -21,6 +21,10 @@ from ledgerloom.session import stage
 GRAM = 64
 #: Window starts worked on at once.
 _SEGMENT = 1 << 21
+#: Bytes of texts worked on at once; a byte takes some 200 while it is.
+_SLICE_BYTES = 1 << 18
+#: Rows of families compared at once, unless one family has more.
+_FAMILY_ROWS = 4000
 #: Bits of a position inside a segment; the rest orders grams by hash.
 _PLACE_BITS = 24
 _KEYS = ", ".join(f"{k} long" for k in KEY)
@@ -80,7 +84,7 @@ def _occurrences(length: int):
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in T.slices(batch, "text"):
+            for part in T.slices(batch, "text", _SLICE_BYTES):
                 owner, gram, context, start, count, at = _anchors(*T.raw(part.column("text")), length)
                 rows = pa.array(owner)
                 yield pa.RecordBatch.from_pydict({
@@ -104,7 +108,7 @@ def _families(length: int):
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in T.slices(batch, "text"):
+            for part in T.slices(batch, "text", _SLICE_BYTES):
                 data, offsets = T.raw(part.column("text"))
                 runs = part.column("runs")
                 per = runs.value_lengths().to_numpy(zero_copy_only=False)
@@ -165,13 +169,13 @@ def _repeated(length: int):
         })
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Whole families, some thousand rows of them at a time.
+        # Whole families, several at a time.
         held, size = [], 0
         for family in runs_of(batches, ["family"]):
             if family.num_rows > 1:
                 held.append(family)
                 size += family.num_rows
-            if size > 20_000:
+            if size > _FAMILY_ROWS:
                 yield cover(pa.concat_tables(held))
                 held, size = [], 0
         if held:

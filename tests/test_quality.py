@@ -64,14 +64,14 @@ FAULTS = {
         "stg_transactions": t["stg_transactions"].withColumn("currency", F.lit("XYZ"))},
     "row_count_staging": lambda t: {"transactions": doubled(t["transactions"])},
     "fct_unique_transaction_id": lambda t: {
-        "fct_transactions": doubled(t["fct_transactions"].limit(9))},
+        "fct_transactions": doubled(t["fct_transactions"].limit(8))},
     "fct_no_null_account_sk": lambda t: {
         "fct_transactions": t["fct_transactions"].withColumn(
             "account_sk", F.lit(None).cast("long"))},
     "fct_no_unknown_account_sk": lambda t: {
         "fct_transactions": t["fct_transactions"].withColumn(
             "account_sk", F.lit(-1).cast("long"))},
-    "fct_row_count_matches_staging": lambda t: {"fct_transactions": t["fct_transactions"].limit(9)},
+    "fct_row_count_matches_staging": lambda t: {"fct_transactions": t["fct_transactions"].limit(8)},
     "dim_accounts_single_current": lambda t: {
         "dim_accounts": t["dim_accounts"].unionByName(
             t["dim_accounts"].limit(1).withColumn("valid_from", F.lit(instant("2026-03-01"))))},

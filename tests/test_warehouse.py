@@ -70,7 +70,11 @@ def test_failed_build_keeps_the_dimension(built, monkeypatch):
 
 
 def test_catalog(built):
-    tables, columns = W.build_catalog(built, AT)
+    spark = built.spark
+    models = spark.createDataFrame(
+        [("fct_transactions", "facts", "stg_transactions, dim_accounts", "")], C.MODEL_METADATA)
+    keys = spark.createDataFrame([("dim_accounts", "account_sk", "A version.", True)], C.COLUMN_METADATA)
+    tables, columns = W.build_catalog(built, AT, columns_metadata=keys, models=models)
     got = {r.table_name: r for r in tables.collect()}
     assert got["transactions"].zone == "raw"
     assert got["transactions"].row_count == 5
@@ -83,7 +87,7 @@ def test_catalog(built):
     views = columns.where("table_name = 'stg_transactions'")
     assert views.count() == 13
     assert views.where("sample_values IS NOT NULL").count() == 0
-    again, _ = W.build_catalog(built, AT)
+    again, _ = W.build_catalog(built, AT, columns_metadata=keys, models=models)
     assert rows_of(again) == rows_of(tables)
 
 

@@ -23,7 +23,7 @@ GRAM = 64
 _SEGMENT = 1 << 21
 #: Bytes of texts worked on at once; a byte takes some 200 while it is.
 _SLICE_BYTES = 1 << 18
-#: Rows of families compared at once, unless one family has more.
+#: Rows of families compared at once; a family with more meets in no task.
 _FAMILY_ROWS = 4000
 #: Bits of a position inside a segment; the rest orders grams by hash.
 _PLACE_BITS = 24
@@ -97,12 +97,13 @@ def _occurrences(length: int):
     return read
 
 
-def _families(length: int):
+def _families(length: int, names_only: bool = False):
     """Texts with wanted runs to the bytes of their windows, by what is next to the anchor.
 
     A window has at least ``half`` bytes on one side of its anchor.  Windows with
     as many on the left go by those bytes, the others by as many on the right, so
-    that only runs that agree around the anchor meet.
+    that only runs that agree around the anchor meet.  ``names_only`` gives each
+    row's family alone.
     """
     half = (length - GRAM) // 2
 
@@ -127,6 +128,10 @@ def _families(length: int):
                     if not len(some):
                         continue
                     near = T.span_hashes(T.BYTE[data], side[some], side[some] + half)
+                    family = T.mix(near ^ gram[some].astype(np.int64).view(_U)).view(np.int64)
+                    if names_only:
+                        yield pa.RecordBatch.from_pydict({"family": family})
+                        continue
                     rows = pa.array(owner[some])
                     blobs = [
                         data[a:b].tobytes()
@@ -134,7 +139,7 @@ def _families(length: int):
                                         begin[some] + high[some] + length - 1, strict=True)
                     ]
                     yield pa.RecordBatch.from_pydict({
-                        "family": T.mix(near ^ gram[some].astype(np.int64).view(_U)).view(np.int64),
+                        "family": family,
                         **{k: part.column(k).take(rows) for k in KEY},
                         "start": pa.array(start[some] + low[some], pa.int32()),
                         "bytes": pa.array(blobs, pa.binary()),
@@ -143,16 +148,41 @@ def _families(length: int):
     return read
 
 
+def _windows(column, length: int):
+    """Run, place in the run and hash of each window of the given runs."""
+    data, offsets = T.raw(column)
+    count = np.diff(offsets) - length + 1
+    owner = np.repeat(np.arange(len(count)), count)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    at = offsets[owner] + place
+    return owner, place, T.span_hashes(T.BYTE[data], at, at + length)
+
+
+def _window_rows(length: int):
+    """Runs of families to their windows, one row for each."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in T.slices(batch, "bytes", _SLICE_BYTES):
+                owner, place, hashes = _windows(part.column("bytes"), length)
+                rows = pa.array(owner)
+                start = part.column("start").take(rows)
+                yield pa.RecordBatch.from_pydict({
+                    **{k: part.column(k).take(rows) for k in ("family", *KEY)},
+                    "window": hashes.view(np.int64), "start": start,
+                    "low": pa.array(start.to_numpy() + place, pa.int32()),
+                })
+
+    return read
+
+
 def _repeated(length: int):
     """Families of runs to the byte runs that windows with equals cover."""
 
     def cover(table: pa.Table) -> pa.RecordBatch:
-        data, offsets = T.raw(table.column("bytes").combine_chunks().cast(pa.large_binary()))
-        count = np.diff(offsets) - length + 1
-        owner = np.repeat(np.arange(len(count)), count)
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        at = offsets[owner] + place
-        hashes = T.span_hashes(T.BYTE[data], at, at + length)
+        owner, place, hashes = _windows(
+            table.column("bytes").combine_chunks().cast(pa.large_binary()), length
+        )
         hashes = T.mix(hashes ^ table.column("family").to_numpy().view(_U)[owner])
         _, which, times = np.unique(hashes, return_inverse=True, return_counts=True)
         hit = np.flatnonzero(times[which] > 1)
@@ -172,12 +202,13 @@ def _repeated(length: int):
         # Whole families, several at a time.
         held, size = [], 0
         for family in runs_of(batches, ["family"]):
-            if family.num_rows > 1:
-                held.append(family)
-                size += family.num_rows
-            if size > _FAMILY_ROWS:
+            if family.num_rows < 2:
+                continue
+            if held and size + family.num_rows > _FAMILY_ROWS:
                 yield cover(pa.concat_tables(held))
                 held, size = [], 0
+            held.append(family)
+            size += family.num_rows
         if held:
             yield cover(pa.concat_tables(held))
 
@@ -240,7 +271,9 @@ def remove_repeats(
     done with.  Runs whose bytes are all equal are repeated as wholes; map-side
     counts find them, so a passage that a third of all texts shares is no hot group.
     Of runs that share an anchor but differ, one of each kind is read again and its
-    windows compared by 128 bits of hash (family and window).
+    windows compared by 128 bits of hash (family and window).  A family of more than
+    ``_FAMILY_ROWS`` runs, as at the edges of a passage in many texts, never meets in
+    one task: its windows are rows, which map-side counts and a join compare.
 
     Null texts are empty.  Texts shorter than ``length`` lose nothing.  Repeated
     rows repeat each other's text.  An empty table gives no rows.  Input columns with
@@ -290,16 +323,55 @@ def remove_repeats(
         (F.col("start") + F.col("windows") + length - 1).alias("high"),
     )
 
-    wanted = stage(
-        kinds.select(*(F.col(f"_p.{c}").alias(c) for c in (*KEY, "start", "windows", "at")), "gram")
-        .groupBy(*KEY).agg(F.collect_list(F.struct("gram", "start", "windows", "at")).alias("runs")),
-        "wanted",
-    )
-    named = stage(wanted.select(*KEY), "named")
-    families = (
-        join_small(single, named, KEY, "left_semi").join(wanted, KEY)
-        .mapInArrow(_families(length), f"family long, {_KEYS}, start int, bytes binary")
+    def read_again(kinds: DataFrame) -> DataFrame:
+        wanted = stage(
+            kinds.select(*(F.col(f"_p.{c}").alias(c) for c in (*KEY, "start", "windows", "at")), "gram")
+            .groupBy(*KEY).agg(F.collect_list(F.struct("gram", "start", "windows", "at")).alias("runs")),
+            "wanted",
+        )
+        named = stage(wanted.select(*KEY), "named")
+        return join_small(single, named, KEY, "left_semi").join(wanted, KEY)
+
+    family_rows = f"family long, {_KEYS}, start int, bytes binary"
+    again = read_again(kinds)
+    families = again.mapInArrow(_families(length), family_rows)
+    # A kind has at most two rows in a family, so few grams can have a large one.
+    crowded = stage(
+        kinds.groupBy("gram").agg(F.count("*").alias("_n"))
+        .where(F.col("_n") > _FAMILY_ROWS // 2).select("gram"),
+        "crowded",
     )
+    if crowded.take(1):
+        there = read_again(join_small(kinds, crowded, "gram", "left_semi"))
+        hot = stage(
+            there.mapInArrow(_families(length, names_only=True), "family long")
+            .groupBy("family").agg(F.count("*").alias("_n"))
+            .where(F.col("_n") > _FAMILY_ROWS).select("family"),
+            "hot",
+        )
+        if hot.take(1):
+            windows = stage(
+                join_small(there.mapInArrow(_families(length), family_rows), hot, "family", "left_semi")
+                .mapInArrow(
+                    _window_rows(length), f"family long, {_KEYS}, window long, start int, low int"
+                ),
+                "windows",
+            )
+            alike = stage(
+                windows.groupBy("family", "window").agg(F.count("*").alias("_n"))
+                .where("_n > 1").select("family", "window"),
+                "alike",
+            )
+            # A run has few windows; those of it that are repeated become one row or two.
+            equal = (
+                join_small(windows, alike, ["family", "window"], "left_semi")
+                .groupBy(*KEY, "start")
+                .agg(F.collect_list(F.struct("low", (F.col("low") + length).alias("high"))).alias("runs"))
+                .select(*KEY, "runs")
+                .mapInArrow(_merged, f"{_KEYS}, runs array<struct<low:int,high:int>>")
+            )
+            covered = covered.union(equal.select(*KEY, F.inline("runs")))
+            families = join_small(families, hot, "family", "left_anti")
     partly = (
         families.repartition("family").sortWithinPartitions("family")
         .mapInArrow(_repeated(length), f"{_KEYS}, low int, high int")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import sys
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -128,6 +129,31 @@ def test_segments_of_long_texts_agree(spark, monkeypatch):
     assert got == [w[:4] for w in brute.repeats(docs, 200)]
 
 
+def test_large_families_meet_in_no_task(spark, monkeypatch):
+    whole, bound = substrings._repeated, 20
+
+    def watched(length):
+        cover = whole(length)
+
+        def read(batches):
+            held = list(batches)
+            sizes = Counter(f for b in held for f in b.column("family").to_pylist())
+            assert max(sizes.values(), default=0) <= bound
+            yield from cover(iter(held))
+
+        return read
+
+    monkeypatch.setattr(substrings, "_FAMILY_ROWS", bound)
+    monkeypatch.setattr(substrings, "_repeated", watched)
+    head = prose(80)
+    docs = [(i, prose(30) + head + prose(30)) for i in range(60)]
+    # Some share more than the passage, so windows across its edges repeat as well.
+    docs += [(100 + i, docs[i][1][40:] + prose(12)) for i in range(5)] + [(200, prose(90))]
+    found = substrings.remove_repeats(frame(spark, docs), length=200)
+    got = rows(found, "doc_id", "n_bytes", "n_removed", F.size("removed"), "kept")
+    assert sorted(((*r[:4], bytes(r[4])) for r in got), key=repr) == brute.repeats(docs, 200)
+
+
 def test_packing_is_lossless(spark):
     df = frame(spark).repartition(2)
     packed = packing.pack(df, length=64, group_tokens=5000).collect()

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.llm import decontam, minhash, mixing, packing, quality
 from ledgerloom.llm.queries import SOURCE_WEIGHTS
@@ -36,10 +40,39 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @passing
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id."""
-    groups = minhash.near_duplicates(docs, n=5, percent=80)
-    gone = stage(groups.where("not kept").select(*KEY).distinct(), "gone")
-    return join_small(with_key(docs, "doc_id", "text"), gone, KEY, "left_anti").select(*docs.columns)
+    """One row of each near-duplicate group: least id, nulls last, then least key.
+
+    Of rows that repeat its id and text, the one whose other columns hash least stays.
+    Texts without words belong to no group and all stay.
+    """
+    groups = stage(
+        minhash.groups(docs, n=5, percent=80).where("root is not null").select("root", "id", *KEY),
+        "groups",
+    )
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", *KEY)).alias("_first")
+    shared = stage(
+        groups.groupBy("root").agg(first, F.count("*").alias("_n")).where("_n > 1")
+        .select("root", *(F.col(f"_first.{k}").alias(f"_of{k}") for k in KEY)),
+        "shared",
+    )
+    is_first = reduce(and_, (F.col(k) == F.col(f"_of{k}") for k in KEY))
+    copies = stage(
+        join_small(groups, shared, "root", "inner").groupBy(*KEY)
+        .agg(F.max(is_first).alias("first"), F.count("*").alias("_n")),
+        "copies",
+    )
+    gone = stage(copies.where("not first").select(*KEY), "gone")
+    left = join_small(with_key(docs, "doc_id", "text"), gone, KEY, "left_anti")
+    repeated = stage(copies.where("first and _n > 1").select(*KEY), "repeated")
+    if not repeated.take(1):
+        return left.select(*docs.columns)
+    others = [
+        F.col(f.name) for f in docs.schema
+        if f.name not in ("doc_id", "text") and not isinstance(f.dataType, (T.MapType, T.VariantType))
+    ]
+    one = F.min_by(F.struct(*docs.columns), F.xxhash64(F.lit(0), *others)).alias("_row")
+    once = join_small(left, repeated, KEY, "left_semi").groupBy(*KEY).agg(one).select("_row.*")
+    return join_small(left, repeated, KEY, "left_anti").select(*docs.columns).unionByName(once)
 
 
 @passing

@@ -268,7 +268,7 @@ def _with_roots(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(
+def groups(
     docs: DataFrame,
     n: int = 5,
     percent: int = 85,
@@ -276,25 +276,10 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Group texts whose sets of word n-grams have a Jaccard similarity of ``percent``.
+    """The groups of ``near_duplicates`` by a name that ids have no part in.
 
-    Returns one row for each input row: its key, the id, ``n_shingles``,
-    ``component_id`` (the smallest id of its group) and ``kept``.
-
-    Texts with equal sets are one node.  Nodes meet in buckets of banded MinHash
-    signatures.  In each bucket, every node is compared with one centre, so a bucket
-    gives one pair a node, not all pairs.  Pairs that batches of the signature make
-    improbable (posterior below ``miss``) are dropped; full sets confirm the rest.
-    Then only buckets whose nodes are still in several components are searched
-    between the components, tile by tile and with the same two tests, and give a
-    forest of links, never pairs.  Nothing is capped.  Each node first tries the centre it shares most bands with; pairs that
-    are by then connected need no more proof.
-
-    Texts without words, null ones included, have no shingles and link with nothing;
-    each is kept as its own group.  Rows with a null id group like others, but never
-    name a group; if a group has no other ids, its ``component_id`` is null and all
-    its rows are kept.  Rows that repeat an id and text share their fate.  An empty
-    table gives no rows.  Nodes are 64-bit hashes of sets.
+    Returns one row for each input row: its key, ``id``, ``node``, ``n_shingles`` and
+    ``root``, which the rows of a group share and which is null without shingles.
     """
     search = _Search(docs, n, percent, miss, id_col, text_col)
     buckets = search.buckets()
@@ -341,9 +326,40 @@ def near_duplicates(
         links = stage(links.union(across), "links")
         labels = components(links)
 
-    named = join_small(search.rows.drop("signature"), labels, "node").withColumn(
+    return join_small(search.rows.drop("signature"), labels, "node").withColumn(
         "root", F.coalesce("root", "node")
     )
+
+
+def near_duplicates(
+    docs: DataFrame,
+    n: int = 5,
+    percent: int = 85,
+    miss: float = 1e-6,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """Group texts whose sets of word n-grams have a Jaccard similarity of ``percent``.
+
+    Returns one row for each input row: its key, the id, ``n_shingles``,
+    ``component_id`` (the smallest id of its group) and ``kept``.
+
+    Texts with equal sets are one node.  Nodes meet in buckets of banded MinHash
+    signatures.  In each bucket, every node is compared with one centre, so a bucket
+    gives one pair a node, not all pairs.  Pairs that batches of the signature make
+    improbable (posterior below ``miss``) are dropped; full sets confirm the rest.
+    Then only buckets whose nodes are still in several components are searched
+    between the components, tile by tile and with the same two tests, and give a
+    forest of links, never pairs.  Nothing is capped.  Each node first tries the centre it shares most bands with; pairs that
+    are by then connected need no more proof.
+
+    Texts without words, null ones included, have no shingles and link with nothing;
+    each is kept as its own group.  Rows with a null id group like others, but never
+    name a group; if a group has no other ids, its ``component_id`` is null and all
+    its rows are kept.  Rows that repeat an id and text share their fate.  An empty
+    table gives no rows.  Nodes are 64-bit hashes of sets.
+    """
+    named = groups(docs, n, percent, miss, id_col, text_col)
     smallest = named.where("root is not null").groupBy("root").agg(F.min("id").alias("_least"))
     smallest = stage(smallest, "smallest")
     component = F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("_least"))

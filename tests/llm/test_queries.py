@@ -6,6 +6,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path[:0] = [str(Path(__file__).parent)]
 
@@ -70,6 +71,28 @@ def test_whole_tables(spark, docs, name):
     assert ids == {i for i, _ in docs}
 
 
+def test_one_row_of_each_near_group_stays(spark):
+    texts = [" ".join(f"{name}{i}" for i in range(60)) for name in "abcde"]
+    near = [t + " more" for t in texts]
+    data = [
+        (1, texts[0], "x"), (1, texts[0], "y"), (2, near[0], "x"),  # a feed read twice
+        (3, texts[1], "x"), (3, near[1], "x"),  # two near texts under one id
+        (None, texts[2], "x"), (None, near[2], "x"), (None, texts[2], "x"),  # no id at all
+        (None, texts[3], "x"), (5, near[3], "x"), (3, texts[4], "x"),
+        (6, "", "x"), (None, None, "x"), (None, None, "x"),  # without words
+    ]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    df = df.withColumn("more", F.create_map("source", "doc_id"))
+    left = corpus_pipeline.keep_distinct(spark, df, SF)
+    assert left.columns == df.columns
+    got = [(r.doc_id, r.text) for r in left.collect()]
+    group = [next((t for t in texts if r[1] and r[1].startswith(t)), r[1]) for r in got]
+    assert sorted(map(str, group)) == sorted([*texts, "", "None", "None"])
+    assert {(i, g) for (i, _), g in zip(got, group, strict=True)} == {
+        (1, texts[0]), (3, texts[1]), (None, texts[2]), (5, texts[3]), (3, texts[4]), (6, ""), (None, None),
+    }
+
+
 def test_pipeline(spark, docs):
     kept = table(spark, SF, "documents")
     columns, at = kept.columns, [kept.count()]

@@ -38,7 +38,8 @@ _GIVEN = (
     "benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels",
     "lineitem", "nation", "orders", "pages", "part", "region", "supplier",
 )
-#: Given tables whose columns are all plain numbers, instants and one-line text.
+#: Given tables whose columns are all plain numbers, instants and one-line text.  The
+#: queries with SQL keep to them; those named ``..._all`` take every given table.
 _PLAIN = ("customer", "lineitem", "nation", "orders", "part", "region", "supplier")
 
 
@@ -457,6 +458,12 @@ def column_profile(spark, sf):
     return C.column_profile(tables, keys={("nation", "n_nationkey")})
 
 
+@query
+def column_profile_all(spark, sf):
+    """The columns of every given table; SQL cannot state these samples."""
+    return C.column_profile(_given(spark, sf), _VIEWS, keys={("nation", "n_nationkey")})
+
+
 @query
 def zone_infer(spark, sf):
     names = td.transactions(spark, sf).select(
@@ -495,16 +502,19 @@ def zone_rollup(spark, sf):
     return C.zone_rollup(_catalog(spark, sf))
 
 
-def _catalog_columns(spark, sf):
+def _all_catalog_columns(spark, sf, left_out=()):
     return C.overlay_columns(
         C.column_profile(
-            {n: df for n, df in _given(spark, sf).items() if n not in set(_GIVEN) - set(_PLAIN)},
-            _VIEWS,
+            {n: df for n, df in _given(spark, sf).items() if n not in left_out}, _VIEWS
         ),
         spark.createDataFrame(_ABOUT_COLUMNS, C.COLUMN_METADATA),
     )
 
 
+def _catalog_columns(spark, sf):
+    return _all_catalog_columns(spark, sf, set(_GIVEN) - set(_PLAIN))
+
+
 @query
 def catalog_columns_report(spark, sf):
     return C.all_columns(_catalog_columns(spark, sf), _catalog(spark, sf)).where(
@@ -512,11 +522,23 @@ def catalog_columns_report(spark, sf):
     )
 
 
+@query
+def catalog_columns_report_all(spark, sf):
+    """The report over every given table, the account dimension included."""
+    return C.all_columns(_all_catalog_columns(spark, sf), _catalog(spark, sf))
+
+
 @query
 def column_name_policy(spark, sf):
     return Q.column_names(_catalog_columns(spark, sf))
 
 
+@query
+def column_name_policy_all(spark, sf):
+    """The policy over every given table."""
+    return Q.column_names(_all_catalog_columns(spark, sf))
+
+
 # --- run analytics ----------------------------------------------------------
 
 
@@ -592,6 +614,17 @@ def manifest_pending(spark, sf):
     return M.pending_files(files, manifest).select("file_path")
 
 
+@query
+def manifest_pending_all(spark, sf):
+    """Files left when every finding of the audit counts."""
+    files = stage(hash_files(landing_files(spark, sf)), "files")
+    manifest = spark.createDataFrame([], schemas.FILE_MANIFEST)
+    manifest = M.update_manifest(
+        manifest, M.manifest_entries(files, "run-1", AT, schema_errors(files).select("file_path", "error"))
+    )
+    return M.pending_files(files, manifest).select("file_path")
+
+
 def _landing_folder(spark, sf) -> str:
     """Landing files whose (name, row) order is the total order of the rows."""
     folder = _new_folder(spark, "landing_files")

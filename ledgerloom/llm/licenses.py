@@ -22,6 +22,39 @@ TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MPL-2.0", "Subject to the terms of the Mozilla Public License, v. 2.0."),
 )
+#: Longer passages; of the longest licences, what they open with.
+PASSAGES = (
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND "
+     "CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file "
+     "except in compliance with the License. You may obtain a copy of the License at "
+     "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
+     "software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR "
+     "CONDITIONS OF ANY KIND, either express or implied."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are "
+     "permitted provided that the following conditions are met: Redistributions of source code must retain "
+     "the above copyright notice, this list of conditions and the following disclaimer. Redistributions in "
+     "binary form must reproduce the above copyright notice, this list of conditions and the following "
+     "disclaimer in the documentation and/or other materials provided with the distribution. Neither the "
+     "name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+     "products derived from this software without specific prior written permission."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software "
+     "Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license "
+     "document, but changing it is not allowed."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of "
+     "the GNU General Public License as published by the Free Software Foundation, either version 3 of the "
+     "License, or (at your option) any later version."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software "
+     "and associated documentation files (the Software), to deal in the Software without restriction, "
+     "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+     "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+     "subject to the following conditions: The above copyright notice and this permission notice shall be "
+     "included in all copies or substantial portions of the Software."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a "
+     "copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+)
+_SPDX = r"(?i)SPDX-License-Identifier:\s*([a-z0-9.+-]+)"
+_HEADING = r"(?im)^[^a-z0-9\n]*(?:the )?(mit) license(?: \(mit\))?[^a-z0-9\n]*$"
 #: A line carries the licence of the template it is most like, from this cosine on.
 LEAST_COSINE = 0.75
 _SEPARATORS = "[^a-z0-9]+"
@@ -116,16 +149,103 @@ def own_licenses(
     )
 
 
+def named_licenses(
+    docs: DataFrame, templates: Sequence[tuple[str, str]], text_col: str, key: Sequence[str]
+) -> DataFrame:
+    """(key..., license, similarity) of texts that name a template's licence: SPDX or a heading."""
+    names = docs.sparkSession.createDataFrame(
+        sorted({(license, license.lower()) for license, _ in templates}), "license string, _name string"
+    )
+    found = F.concat(
+        *(F.regexp_extract_all(F.lower(text_col), F.lit(p), F.lit(1)) for p in (_SPDX, _HEADING))
+    )
+    bare = F.transform(found, lambda n: F.regexp_replace(n, r"(-only|-or-later|\+)?\.?$", ""))
+    name = F.explode(bare).alias("_name")
+    return docs.where(F.contains(F.lower(text_col), F.lit("license"))).select(*key, name).join(
+        F.broadcast(names), "_name"
+    ).select(*key, "license", F.lit(1.0).alias("similarity"))
+
+
+def passage_licenses(
+    docs: DataFrame, passages: Sequence[tuple[str, str]], least: float, text_col: str, key: Sequence[str]
+) -> DataFrame:
+    """(key..., license, similarity) of texts with a run of terms like a passage, across lines.
+
+    The runs are as long as the passage and start with a term of it.  The cosine of a
+    run is at most the share of the passage's length that the terms they have in common
+    make up, so only texts with enough of its terms are cut into runs.
+    """
+    spark: SparkSession = docs.sparkSession
+    texts = docs.select(*key, F.col(text_col).alias("text")).where("text is not null")
+    total = texts.count()
+    listed = spark.createDataFrame(
+        [(i, *p) for i, p in enumerate(passages)], "passage int, license string, notice string"
+    )
+    counted = (
+        listed.select("passage", "license", F.size(terms(F.col("notice"))).alias("_long"),
+                      F.explode(terms(F.col("notice"))).alias("term"))
+        .groupBy("passage", "license", "_long", "term").agg(F.count("*").alias("n"))
+    )
+    vocabulary = stage(counted.select("term").distinct(), "vocabulary")
+    known = stage(_frequencies(texts, vocabulary), "frequencies")
+    patterns = _weighted(counted, known, total).select(
+        "passage", "license", "_long", "term", F.col("weight").alias("_w")
+    )
+    sizes = patterns.groupBy("passage").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_size"))
+    patterns = stage(patterns.join(sizes, "passage"), "patterns")
+
+    held = texts.select(*key, F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    whole = (least * F.col("_size")) ** 2 * (1 - 1e-9)
+    likely = stage(
+        join_small(held, patterns, "term", "inner")
+        .groupBy(*key, "passage", "_long", "_size").agg(F.sum(F.col("_w") * F.col("_w")).alias("_held"))
+        .where(F.col("_held") >= whole).select(*key, "passage", "_long", "_size"),
+        "likely",
+    )
+    named = stage(likely.select(*key).distinct(), "named")
+    cut = stage(
+        join_small(texts, named, key, "left_semi").dropDuplicates([*key])
+        .select(*key, terms(F.col("text")).alias("terms")),
+        "cut",
+    )
+    others = stage(cut.select(F.explode("terms").alias("term")).distinct(), "terms")
+    rare = stage(_frequencies(texts, others), "frequencies")
+    own = patterns.groupBy("passage").agg(F.collect_set("term").alias("_own"))
+    starts = F.filter(
+        F.sequence(F.lit(1), F.size("terms")),
+        lambda i: F.array_contains("_own", F.element_at("terms", i)),
+    )
+    runs = (
+        likely.join(cut, [*key]).join(F.broadcast(own), "passage")
+        .select(*key, "passage", "_long", "terms", F.explode(starts).alias("start"))
+        .select(*key, "passage", "start", F.explode(F.slice("terms", F.col("start"), F.col("_long"))).alias("term"))
+        .groupBy(*key, "passage", "start", "term").agg(F.count("*").alias("n"))
+    )
+    weighed = join_small(_weighted(runs, rare, total), patterns, ["passage", "term"])
+    return (
+        weighed.groupBy(*key, "passage", "start").agg(
+            F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_length"),
+            F.sum(F.col("weight") * F.col("_w")).alias("_dot"),
+            F.max("_size").alias("_size"), F.max("license").alias("license"),
+        )
+        .withColumn("similarity", F.round(F.col("_dot") / (F.col("_length") * F.col("_size")), 6))
+        .where(F.col("similarity") >= least).select(*key, "license", "similarity")
+    )
+
+
 def scan(
     docs: DataFrame,
     templates: Sequence[tuple[str, str]] = TEMPLATES,
     least: float = LEAST_COSINE,
     text_col: str = "text",
     path_col: str = "path",
+    passages: Sequence[tuple[str, str]] = PASSAGES,
 ) -> DataFrame:
     """Add ``license``, ``similarity``, and ``license_dir`` where it is inherited.
 
-    Any line of a text can carry a notice.  A document without one of its own takes
+    Any line of a text can carry a notice; so can any run of terms as long as a notice
+    or one of the ``passages``, within a line or across lines; and an SPDX identifier or
+    a line that only names the MIT licence counts as similarity 1.  A document without one of its own takes
     that of the licence file in the nearest directory above it (its own directory
     first), found by joining paths: directories are few next to documents, and each
     is resolved once.  Several licence files in a directory: the most similar
@@ -140,7 +260,17 @@ def scan(
     )
     path = F.col(path_col)
     keyed = docs.select("*", *row_key(text_col, path_col), F.regexp_extract(path, "^(.*)/", 1).alias("_dir"))
-    own = stage(own_licenses(keyed, templates, least, text_col, KEY), "own")
+    found = (
+        own_licenses(keyed, templates, least, text_col, KEY)
+        .unionByName(named_licenses(keyed, templates, text_col, KEY))
+        .unionByName(passage_licenses(keyed, [*templates, *passages], least, text_col, KEY))
+    )
+    likest = F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("_b")
+    own = stage(
+        found.groupBy(*KEY).agg(likest)
+        .select(*KEY, F.col("_b.license").alias("license"), (-F.col("_b.s")).alias("similarity")),
+        "own",
+    )
     marked = join_small(keyed, own, KEY)
 
     name = F.regexp_extract(path, "([^/]*)$", 1)

@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontam, embeddings, licenses, minhash, mixing, packing, quality, secrets, sharding, substrings
+from ledgerloom.llm import (
+    collocations,
+    decontam,
+    embeddings,
+    licenses,
+    minhash,
+    mixing,
+    packing,
+    quality,
+    secrets,
+    sharding,
+    substrings,
+    topk,
+)
 from ledgerloom.llm.tables import table
 
 #: Weights of the sources in code point order, repeating.
@@ -117,6 +130,17 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of each language whose words keep company most."""
+    docs = table(spark, sf_dir, "documents").select("lang", "text")
+    return collocations.collocations(docs, longest=5, least=100, first=2000)
+
+
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five vectors of highest product with every fiftieth."""
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embeddings": op1_embeddings,
     "op2_substrings": op2_substrings,
@@ -128,6 +152,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_secrets": op9_secrets,
     "op10_shard": op10_shard,
+    "op12_collocations": op12_collocations,
+    "op13_topk": op13_topk,
 }
 
 _TEMPLATES = ", ".join("('{}', '{}')".format(*t) for t in licenses.TEMPLATES)
@@ -189,5 +215,62 @@ inherited AS (
 SELECT doc_id, coalesce(license, granted) AS license, similarity,
        CASE WHEN license IS NULL THEN above END AS license_dir
 FROM files LEFT JOIN own USING (doc_id) LEFT JOIN inherited USING (dir)
+""",
+    "op12_collocations": """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL
+),
+words AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]'), lambda w: w <> '') AS w FROM pieces
+),
+totals AS (SELECT lang, CAST(SUM(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+places AS (
+  SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i
+  FROM words, (VALUES (1), (2), (3), (4), (5)) s(size) WHERE len(w) >= size
+),
+counts AS (
+  SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, COUNT(*) AS f
+  FROM places GROUP BY ALL HAVING COUNT(*) >= 100
+),
+cuts AS (
+  SELECT lang, phrase, size, f AS a, k, array_to_string(string_split(phrase, ' ')[:k], ' ') AS front,
+         array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM counts WHERE size > 1)
+),
+scored AS (
+  SELECT c.lang, c.phrase, c.size, a, l.f AS l, r.f AS r, n,
+         CAST((CAST(1000 AS HUGEINT) * a * n) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score, k
+  FROM cuts c JOIN counts l ON l.lang = c.lang AND l.phrase = front
+  JOIN counts r ON r.lang = c.lang AND r.phrase = rest JOIN totals t ON t.lang = c.lang
+),
+worst AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+       phrase, a, l, r, n, score
+FROM worst s
+WHERE NOT EXISTS (
+  SELECT 1 FROM counts o
+  WHERE o.lang = s.lang AND o.size > s.size AND 100 * o.f >= 100 * s.a
+    AND contains(' ' || o.phrase || ' ', ' ' || s.phrase || ' ')
+)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+""",
+    "op13_topk": """
+WITH scaled AS (
+  SELECT vec_id, row_number() OVER () AS line,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)
+SELECT q.vec_id AS query_id,
+       CAST(row_number() OVER (PARTITION BY q.line ORDER BY list_dot_product(q.v, c.v) DESC, c.vec_id) AS INTEGER) AS rank,
+       c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+FROM scaled q JOIN scaled c ON q.line <> c.line AND len(q.v) = len(c.v)
+WHERE q.vec_id % 50 = 0
+QUALIFY row_number() OVER (PARTITION BY q.line ORDER BY list_dot_product(q.v, c.v) DESC, c.vec_id) <= 5
 """,
 }

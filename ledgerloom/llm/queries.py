@@ -20,6 +20,7 @@ from ledgerloom.llm import (
     sharding,
     substrings,
     topk,
+    turns,
 )
 from ledgerloom.llm.tables import table
 
@@ -130,6 +131,12 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each damaged conversation lacks, and its cheapest repair."""
+    given = table(spark, sf_dir, "conversations")
+    return turns.with_absent(turns.repair(turns.damage(given)), given)
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The phrases of each language whose words keep company most."""
     docs = table(spark, sf_dir, "documents").select("lang", "text")
@@ -152,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_secrets": op9_secrets,
     "op10_shard": op10_shard,
+    "op11_conversations": op11_conversations,
     "op12_collocations": op12_collocations,
     "op13_topk": op13_topk,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +21,16 @@ _ENDS = np.zeros(256, bool)
 _ENDS[list(b".,;:!?\n\x0b\x0c\r")] = True
 _BLANK = _ENDS.copy()
 _BLANK[list(b" \t")] = True
-#: One window of words in so many ends a chunk; a chunk has so many words at most.
-_PERIOD, _LONGEST = 32, 1024
-#: A text is read in parts of about this many bytes.
-_PART = 1 << 21
+
+
+class Sizes(NamedTuple):
+    """How texts are parsed; results do not depend on it."""
+
+    part: int = 1 << 21  # bytes of a text read at once, about
+    period: int = 32  # one window of words in so many ends a chunk
+    most: int = 1024  # words a chunk has at most before its last window
+
+
 #: The table of frequent phrases that tasks get has at most this many bits.
 _FILTER_BITS = 1 << 27
 #: Phrase occurrences counted at once in a task.
@@ -36,9 +43,9 @@ def _words(data: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at[::2], at[1::2]
 
 
-def _parts(text: bytes, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+def _parts(text: bytes, overlap: int, part: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
     """A text in parts that share ``overlap`` words: bytes, word starts and ends, is last."""
-    start, size = 0, _PART
+    start, size = 0, part
     while True:
         data = np.frombuffer(text, np.uint8, min(size, len(text) - start), start)
         first, behind = _words(data, _BLANK)
@@ -51,10 +58,10 @@ def _parts(text: bytes, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray,
         # The last word may go on behind the part.
         first, behind = first[:-1], behind[:-1]
         yield data[: behind[-1]], first, behind, False
-        start, size = start + int(first[len(first) - overlap]), _PART
+        start, size = start + int(first[len(first) - overlap]), part
 
 
-def _chunks_of_part(data, first, behind, last, longest):
+def _chunks_of_part(data, first, behind, last, longest, sizes):
     """Chunks of a part as texts, and how many words at their front they count.
 
     Words are joined by a blank within a piece and by a line feed between pieces.
@@ -71,13 +78,13 @@ def _chunks_of_part(data, first, behind, last, longest):
     border[1:count] = ending[first[1:]] > ending[behind[:-1]]
     own = count if last else count - overlap
     windows = np.arange(max(0, min(own, count - overlap + 1)))
-    ends = T.run_hashes(hashes, windows, overlap) % _U(_PERIOD) == 0
+    ends = T.run_hashes(hashes, windows, overlap) % _U(sizes.period) == 0
     begin = np.union1d([0], np.flatnonzero(ends))
     # Where no window ends a chunk for long, it is cut by its length.
     gaps = np.diff(begin, append=own)
-    cuts = (gaps - 1) // _LONGEST
+    cuts = (gaps - 1) // sizes.most
     if cuts.any():
-        more = np.repeat(begin, cuts) + _LONGEST * (
+        more = np.repeat(begin, cuts) + sizes.most * (
             np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts) + 1
         )
         begin = np.sort(np.concatenate([begin, more]))
@@ -101,20 +108,20 @@ def _chunks_of_part(data, first, behind, last, longest):
     return texts, until - begin
 
 
-def _parse(longest: int):
+def _parse(longest: int, sizes: Sizes):
     """Texts to chunks: (group, chunk, own), own words at the front being counted."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, owns, rows, held = [], [], [], 0
             for row, value in enumerate(batch.column("text").cast(pa.large_binary())):
-                for piece in _parts(value.as_py(), longest - 1):
-                    found, own = _chunks_of_part(*piece, longest)
+                for piece in _parts(value.as_py(), longest - 1, sizes.part):
+                    found, own = _chunks_of_part(*piece, longest, sizes)
                     texts += found
                     owns.append(own)
                     rows.append(np.full(len(found), row))
                     held += len(piece[0])
-                    if held >= _PART:
+                    if held >= sizes.part:
                         yield _chunk_rows(batch, rows, texts, owns)
                         texts, owns, rows, held = [], [], [], 0
             if texts:
@@ -293,7 +300,7 @@ def _filter(frequent: DataFrame):
 
 
 def phrase_counts(
-    docs: DataFrame, text_col: str, group: Column, longest: int, least: int
+    docs: DataFrame, text_col: str, group: Column, longest: int, least: int, sizes: Sizes
 ) -> DataFrame:
     """How often each phrase of 1 to ``longest`` words occurs, if ``least`` times or more.
 
@@ -302,7 +309,7 @@ def phrase_counts(
     """
     given = docs.select(group.alias("group"), F.col(text_col).alias("text"))
     chunks = given.where("text is not null").mapInArrow(
-        _parse(longest), "group string, chunk string, own int"
+        _parse(longest, sizes), "group string, chunk string, own int"
     )
     parsed = stage(chunks.groupBy("group", "chunk", "own").agg(F.count("*").alias("n")), "chunks")
     steps = [(1,), (2,), tuple(range(3, longest + 1))]
@@ -325,6 +332,12 @@ def _inside(skipped: Column, words: Column) -> Column:
     return F.array_join(F.slice(F.split("phrase", " "), skipped + 1, words), " ")
 
 
+def score() -> Column:
+    """The floor of 1000 ``a`` ``total`` / (``l`` ``r``), in integers of 38 digits."""
+    a, total, left, right = (f"cast({c} as decimal(19,0))" for c in ("1000 * a", "total", "l", "r"))
+    return F.expr(f"{a} * {total} div ({left} * {right})")
+
+
 def collocations(
     docs: DataFrame,
     text_col: str = "text",
@@ -334,6 +347,7 @@ def collocations(
     least: int = 100,
     absorbed: int = 100,
     first: int = 2000,
+    sizes: Sizes = Sizes(),
 ) -> DataFrame:
     """The phrases of 2 to ``longest`` words whose words keep company most, by group.
 
@@ -364,7 +378,7 @@ def collocations(
     group = F.lit(no_group)
     if group_col:
         group = F.coalesce(F.col(group_col).cast("string"), group)
-    counts = phrase_counts(docs, text_col, group, longest, least)
+    counts = phrase_counts(docs, text_col, group, longest, least, sizes)
     totals = counts.where("n = 0").select(F.col("group").alias("_g"), F.col("count").alias("total"))
     known = counts.where("n > 0").select("group", "phrase", "count")
     candidates = counts.where("n > 1").select(
@@ -391,13 +405,10 @@ def collocations(
     })
     left = known.toDF("group", "left", "l")
     right = known.toDF("group", "right", "r")
-    wide = "decimal(19,0)"
     scored = (
         cuts.join(left, ["group", "left"]).join(right, ["group", "right"])
         .join(totals, F.col("group") == F.col("_g"))
-        .withColumn("score", F.expr(
-            f"cast(1000 * a as {wide}) * cast(total as {wide}) div (cast(l as {wide}) * cast(r as {wide}))"
-        ))
+        .withColumn("score", score())
     )
     worst = (
         scored.groupBy("group", "phrase", "a", F.col("total").alias("n"))

@@ -122,50 +122,63 @@ def _closing(run_date: Column, contiguous: bool) -> Column:
     return _midnight(run_date if contiguous else F.date_sub(run_date, 1))
 
 
-def scd2_merge(
-    current: DataFrame,
+def scd2_step(
+    open_rows: DataFrame,
     incoming: DataFrame,
     run_date: date,
     run_id: str,
+    top: Column | int,
     key: str = "account_id",
     hash_col: str = "row_hash",
     contiguous: bool = False,
-) -> DataFrame:
-    """The dimension after one build: changed rows closed, new versions added.
+) -> tuple[DataFrame, DataFrame]:
+    """What one build does to the open versions: those it ends, and those open after it.
 
-    Keys absent from ``incoming`` stay as they are, and merging the same
-    profiles again changes nothing.  Closed history is passed through without
-    any join; only current rows meet the profiles.
+    Keys absent from ``incoming`` stay as they are, and the same profiles again change
+    nothing.  Closed history is not looked at: ``top`` is the highest key given so far.
     """
     day = F.lit(run_date)
-    open_rows = current.where(F.col("is_current"))
     held = open_rows.groupBy(key).agg(
         F.min(hash_col).alias("_low"), F.max(hash_col).alias("_high")
     )
     differs = (F.col("_low") != F.col(hash_col)) | (F.col("_high") != F.col(hash_col))
     verdict = incoming.join(held, key, "left")
 
-    stale = verdict.where(differs).select(key, F.lit(True).alias("_stale"))
-    closed = open_rows.join(stale, key, "left").withColumns({
-        "valid_to": F.when(F.col("_stale"), _closing(day, contiguous)).otherwise(F.col("valid_to")),
-        "is_current": F.col("_stale").isNull(),
+    stale = verdict.where(differs).select(key)
+    ended = open_rows.join(stale, key, "left_semi").withColumns({
+        "valid_to": _closing(day, contiguous), "is_current": F.lit(False),
     })
-
     new = verdict.where(F.col("_low").isNull() | differs).select(*incoming.columns)
-    top = current.agg(F.coalesce(F.max("account_sk"), F.lit(0))).scalar()
     added = number_rows(new, [key], "account_sk", top).withColumns({
         "valid_from": _midnight(day),
         "valid_to": F.lit(None).cast("timestamp"),
         "is_current": F.lit(True),
         "run_id": F.lit(run_id),
     })
-
     columns = schemas.DIM_ACCOUNTS.names
-    return (
-        current.where(~F.col("is_current")).select(*columns)
-        .unionByName(closed.select(*columns))
-        .unionByName(added.select(*columns))
+    kept = open_rows.join(stale, key, "left_anti").select(*columns)
+    return ended.select(*columns), kept.unionByName(added.select(*columns))
+
+
+def scd2_merge(
+    current: DataFrame,
+    incoming: DataFrame,
+    run_date: date,
+    run_id: str,
+    key: str = "account_id",
+    hash_col: str = "row_hash",
+    contiguous: bool = False,
+) -> DataFrame:
+    """The dimension after one build: changed rows closed, new versions added.
+
+    Closed history is passed through without any join; see :func:`scd2_step`.
+    """
+    top = current.agg(F.coalesce(F.max("account_sk"), F.lit(0))).scalar()
+    ended, remaining = scd2_step(
+        current.where("is_current"), incoming, run_date, run_id, top, key, hash_col, contiguous
     )
+    closed = current.where(~F.col("is_current")).select(*schemas.DIM_ACCOUNTS.names)
+    return closed.unionByName(ended).unionByName(remaining)
 
 
 def scd2_from_snapshots(

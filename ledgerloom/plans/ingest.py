@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom import schemas
-from ledgerloom.operators.dedup import KEY, dedup_first, ingest_counts, known_keys, run_totals
+from ledgerloom.operators.dedup import KEY, dedup_first, ingest_counts, run_totals
 from ledgerloom.operators.rows import (
     REASON,
     REASONS,
@@ -28,6 +28,7 @@ from ledgerloom.operators.rows import (
 from ledgerloom.operators.runs import audit_row, latest_events, run_started
 from ledgerloom.session import configure, scratch, stage
 from ledgerloom.sources import manifest as M
+from ledgerloom.sources.key_index import KeyIndex
 from ledgerloom.sources.landing import hash_files, landing_files, read_audited, schema_errors
 from ledgerloom.sources.tables import (
     append_partitioned,
@@ -35,6 +36,7 @@ from ledgerloom.sources.tables import (
     publish,
     read_partitioned,
     replace_partitions,
+    update,
 )
 
 MONTH = "transaction_month"
@@ -100,6 +102,27 @@ class Warehouse:
     def publish(self, table: str, df: DataFrame, sort=()) -> DataFrame:
         return publish(df, self.path(table), sort)
 
+    def update(self, table: str, schema, change) -> DataFrame:
+        """Replace a table by what ``change`` makes of it, keeping other writers' changes."""
+        return update(self.spark, self.path(table), schema, change)
+
+    def known_ids(self) -> KeyIndex:
+        """The index of loaded ids, brought up to date with the raw table.
+
+        A warehouse without one gets it from the rows it has.  Runs that ended between
+        loading and indexing are read again by their run id; nothing else is.
+        """
+        index = KeyIndex(self.spark, self.path("known_ids"), KEY)
+        loaded = self.transactions().select(KEY, F.col("run_id").alias("part"))
+        if not index.exists():
+            index.rebuild(loaded)
+        for run_id in index.unfinished():
+            ids = stage(loaded.where(F.col("part") == run_id), "unfinished")
+            if ids.take(1):
+                index.add(ids, run_id)
+                index.end(run_id)
+        return index
+
 
 def write_batch(
     house: Warehouse, landed: DataFrame, run_id: str, at: datetime
@@ -107,10 +130,11 @@ def write_batch(
     """Validate, quarantine, deduplicate, enrich and append one batch; counts per file.
 
     The judged batch is written once, apart by verdict, so that quarantine,
-    keys and counts each read only the columns they need.  History is scanned
-    once, for its id column.  Loading drops ids history already has, and
-    quarantine replaces its run's partition: a repeated batch leaves the same
-    tables.
+    keys and counts each read only the columns they need.  Ids are looked up in the
+    index of known ids, which reads few of its buckets and never the history itself.
+    Loading drops ids history already has, and quarantine replaces its run's
+    partition: a repeated batch leaves the same tables.  A run is noted as open from
+    before it loads until its ids are in the index, so no loaded id gets lost.
     """
     verdict = validate(landed)
     judged = stage(
@@ -118,8 +142,9 @@ def write_batch(
         "judged", partition_by=[VALID],
     )
     valid, invalid = split(judged)
-    history = house.transactions().select(KEY, (F.col("run_id") == run_id).alias("own"))
-    known = stage(known_keys(valid, history), "known_keys")
+    index = house.known_ids()
+    found = index.known(valid.select(KEY))
+    known = stage(found.select(KEY, (F.col("part") == run_id).alias("own")), "known_keys")
 
     def count() -> DataFrame:
         # A repeat of this run must not count its own earlier rows as history.
@@ -134,8 +159,13 @@ def write_batch(
         )
 
     def load() -> None:
-        fresh = dedup_first(valid).join(known, KEY, "left_anti")
+        fresh = stage(dedup_first(valid).join(known, KEY, "left_anti"), "fresh")
+        own = known.where("own").select(KEY)
+        index.begin(run_id)
         house.append_transactions(enrich(fresh, run_id, at))
+        # A repeat adds what its first attempt had loaded, too: parts are replaced.
+        index.add(fresh.select(KEY).unionAll(own), run_id)
+        index.end(run_id)
 
     # The three read the same staged tables and do not wait for each other.
     with ThreadPoolExecutor(max_workers=3) as pool:
@@ -189,8 +219,13 @@ def _ingest(
     manifest = house.published("file_manifest", schemas.FILE_MANIFEST)
     metadata = house.published("manifest_metadata", schemas.MANIFEST_METADATA)
     if full_refresh:
-        manifest = house.publish("file_manifest", M.reset_manifest(manifest, run_id, at))
-        metadata = house.publish("manifest_metadata", M.drop_watermark(metadata, source_dir))
+        manifest = house.update(
+            "file_manifest", schemas.FILE_MANIFEST, lambda held: M.reset_manifest(held, run_id, at)
+        )
+        metadata = house.update(
+            "manifest_metadata", schemas.MANIFEST_METADATA,
+            lambda held: M.drop_watermark(held, source_dir),
+        )
 
     watermark = M.read_watermark(metadata, source_dir) if mode == "watermark" else None
     checked = landing_files(spark, source_dir).count()
@@ -205,16 +240,18 @@ def _ingest(
     if not chosen:
         return counters
 
-    manifest = house.publish(
-        "file_manifest", M.update_manifest(manifest, M.manifest_entries(pending, run_id, at))
-    )
+    begun = M.manifest_entries(pending, run_id, at)
+    house.update("file_manifest", schemas.FILE_MANIFEST, lambda held: M.update_manifest(held, begun))
     audit = stage(schema_errors(pending), "audit")
     counts = write_batch(house, read_audited(spark, audit), run_id, at)
     totals = run_totals(counts).first().asDict()
 
     entries = stage(M.manifest_entries(pending, run_id, at, audit), "entries")
-    house.publish("file_manifest", M.update_manifest(manifest, entries))
-    house.publish("manifest_metadata", M.advance_watermark(metadata, entries, source_dir, at))
+    house.update("file_manifest", schemas.FILE_MANIFEST, lambda held: M.update_manifest(held, entries))
+    house.update(
+        "manifest_metadata", schemas.MANIFEST_METADATA,
+        lambda held: M.advance_watermark(held, entries, source_dir, at),
+    )
 
     failed = audit.where(F.col("error").isNotNull()).count()
     return counters | totals | {

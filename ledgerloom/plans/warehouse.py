@@ -22,11 +22,22 @@ from ledgerloom.operators.marts import (
 )
 from ledgerloom.operators.rows import staging
 from ledgerloom.operators.runs import audit_row, check_result_rows, run_started
-from ledgerloom.operators.scd2 import account_history, account_profiles, scd2_counts, scd2_merge
+from ledgerloom.operators.scd2 import account_history, account_profiles, scd2_counts, scd2_step
 from ledgerloom.operators.suite import CRITICAL, WARN, Check, run_suite, suite_status
 from ledgerloom.plans.ingest import Warehouse
 from ledgerloom.session import configure, scratch, stage
-from ledgerloom.sources.tables import committed_path, read_partitioned
+from ledgerloom.sources.files import delete
+from ledgerloom.sources.tables import (
+    KEPT,
+    Version,
+    commit,
+    expire,
+    has_version,
+    head,
+    read_partitioned,
+    read_parts,
+    write_part,
+)
 
 DAILY, MONTHLY, DIM, FCT = (
     "daily_spend_by_category",
@@ -34,6 +45,10 @@ DAILY, MONTHLY, DIM, FCT = (
     "dim_accounts",
     "fct_transactions",
 )
+#: The two parts of the dimension.
+_CLOSED, _OPEN = "closed", "open"
+#: Parts of closed versions; of more, the younger half is merged into one.
+CLOSED_PARTS = 64
 
 
 def stg_transactions(house: Warehouse) -> DataFrame:
@@ -86,14 +101,10 @@ def build_dimension(
     """
     spark = configure(house.spark)
     run_id, started = run_id or uuid.uuid4().hex, time.monotonic()
-    current = house.published(DIM, schemas.DIM_ACCOUNTS)
     with scratch(spark):
         profiles = stage(account_profiles(stg_transactions(house)), "profiles")
-        merged = house.publish(
-            DIM, scd2_merge(current, profiles, run_date, run_id, contiguous=contiguous),
-            ["account_id", "valid_from"],
-        )
-        counts = scd2_counts(merged, profiles, run_id).first()
+        remaining = _commit_build(house, profiles, run_date, run_id, contiguous)
+        counts = scd2_counts(remaining, profiles, run_id).first()
     row = audit_row(
         spark, schemas.DIM_BUILD_RUNS, run_id=run_id,
         accounts_processed=counts.accounts_processed, new_versions=counts.new_versions,
@@ -104,6 +115,45 @@ def build_dimension(
     return row
 
 
+def _commit_build(
+    house: Warehouse, profiles: DataFrame, run_date: date, run_id: str, contiguous: bool
+) -> DataFrame:
+    """Write the versions a build ends and those open after it; returns the latter.
+
+    The dimension is closed versions in parts that are only ever added, and one
+    snapshot of the open ones.  A version of the table names both and the highest key
+    given, so a build reads and writes open rows alone.  If another build was committed
+    meanwhile, this one is made again on top of it.
+    """
+    spark, root, shape = house.spark, house.path(DIM), schemas.DIM_ACCOUNTS
+    order = ["account_id", "valid_from"]
+    while True:
+        last = head(spark, root) or Version()
+        held = read_parts(spark, root, last.folders(_OPEN), shape)
+        top = last.notes.get("top", 0)
+        ended, remaining = scd2_step(held, profiles, run_date, run_id, top, contiguous=contiguous)
+        closed, written = list(last.folders(_CLOSED)), []
+        ended = stage(ended, "ended")
+        if ended.take(1):
+            written.append(write_part(ended, root, order))
+            closed.append(written[-1])
+        if len(closed) > CLOSED_PARTS:
+            young = closed[CLOSED_PARTS // 2 :]
+            written.append(write_part(read_parts(spark, root, young, shape), root, order))
+            closed = closed[: CLOSED_PARTS // 2] + written[-1:]
+        written.append(write_part(remaining, root, order))
+        after = read_parts(spark, root, written[-1:], shape)
+        given = after.agg(F.max("account_sk").alias("top")).first().top or 0
+        made = Version(
+            last.number + 1, {_CLOSED: closed, _OPEN: written[-1:]}, {"top": max(top, given)}
+        )
+        if commit(spark, root, made):
+            expire(spark, root, KEPT)
+            return after
+        for folder in written:
+            delete(spark, f"{root}/{folder}")
+
+
 def build_fact(house: Warehouse) -> DataFrame:
     dim = house.published(DIM, schemas.DIM_ACCOUNTS)
     return house.publish(FCT, fact_table(stg_transactions(house), dim))
@@ -122,7 +172,7 @@ def model_tables(house: Warehouse) -> dict[str, DataFrame]:
     built = {
         name: house.published(name, shape)
         for name, shape in shapes.items()
-        if committed_path(house.spark, house.path(name))
+        if has_version(house.spark, house.path(name))
     }
     return built | {"stg_transactions": stg, "transactions": house.transactions()}
 

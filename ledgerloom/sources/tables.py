@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import uuid
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.sources.files import child_names, exists, touch
+from ledgerloom.sources.files import child_names, delete, exists, read_text, write_once
 
-_VERSION = "version="
-#: Readers skip names that start with an underscore.
-_MARKER = "_COMMITTED"
+#: Folder of the files that name what a version of a table consists of.
+_LOG = "_log"
+#: The part of a table that has one part only.
+_ROWS = "rows"
+#: Versions of a table that stay readable.
+KEPT = 16
 #: Quoted and unchanged in both directions, with line breaks inside values.
 _CSV = {
     "header": True,
@@ -58,54 +64,139 @@ def read_partitioned(
     return spark.read.schema(shape).parquet(path).select(*shape.names)
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    return sorted(
-        int(name[len(_VERSION):]) for name in child_names(spark, root) if name.startswith(_VERSION)
-    )
+@dataclass(frozen=True)
+class Version:
+    """What a published table consists of: folders of rows, by part, and notes."""
 
+    number: int = 0
+    parts: dict[str, list[str]] = field(default_factory=dict)
+    notes: dict[str, int] = field(default_factory=dict)
 
-def _version_path(root: str, version: int) -> str:
-    return f"{root}/{_VERSION}{version:08d}"
+    def folders(self, part: str = _ROWS) -> list[str]:
+        return self.parts.get(part, [])
 
 
-def publish(df: DataFrame, root: str, sort: Sequence[str] = ()) -> DataFrame:
-    """Replace a table as a whole: write the next version, then read from it.
+def _log_path(root: str, number: int) -> str:
+    return f"{root}/{_LOG}/{number:010d}"
 
-    A version counts only once it carries our own marker, written last and
-    whatever committer Spark uses, so a failed write leaves the previous version
-    in place, and a job may read the table it replaces.
+
+def _numbers(spark: SparkSession, root: str) -> list[int]:
+    names = child_names(spark, f"{root}/{_LOG}")
+    return sorted(int(name) for name in names if name.isdigit())
+
+
+def read_version(spark: SparkSession, root: str, number: int) -> Version:
+    held = json.loads(read_text(spark, _log_path(root, number)))
+    return Version(number, held["parts"], held["notes"])
+
+
+def head(spark: SparkSession, root: str) -> Version | None:
+    """The last committed version, or None before the first."""
+    numbers = _numbers(spark, root)
+    return read_version(spark, root, numbers[-1]) if numbers else None
+
+
+def commit(spark: SparkSession, root: str, version: Version) -> bool:
+    """Make a version the table, unless another writer has taken its number.
+
+    A version is one small file that names the folders it consists of.  It appears at
+    once or not at all, and its number can be taken only once, so a writer that lost
+    must read the table again: no version replaces one its writer has not seen.
     """
-    spark = df.sparkSession
-    taken = _versions(spark, root)
-    path = _version_path(root, taken[-1] + 1 if taken else 1)
+    text = json.dumps({"parts": version.parts, "notes": version.notes}, sort_keys=True)
+    return write_once(spark, _log_path(root, version.number), text)
+
+
+def write_part(df: DataFrame, root: str, sort: Sequence[str] = ()) -> str:
+    """Write rows into a new folder of a table, which no version names yet."""
+    name = f"data/{uuid.uuid4().hex}"
     out = df.sortWithinPartitions(*sort) if sort else df
-    out.write.parquet(path)
-    touch(spark, f"{path}/{_MARKER}")
-    return spark.read.schema(df.schema).parquet(path)
+    out.write.parquet(f"{root}/{name}")
+    return name
+
+
+def read_parts(
+    spark: SparkSession, root: str, names: Sequence[str], schema: T.StructType
+) -> DataFrame:
+    if not names:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*(f"{root}/{name}" for name in names))
 
 
-def committed_path(spark: SparkSession, root: str) -> str | None:
-    """Folder of the last committed version of a published table.
+def publish(df: DataFrame, root: str, sort: Sequence[str] = (), keep: int = KEPT) -> DataFrame:
+    """Replace a table as a whole, whatever it was; returns a reader of the rows written.
 
-    None before the first version is begun.  Versions of which none is committed
-    are an error: an empty table in their place would lose what was there.
+    A failed write leaves the previous version in place, and a job may read the table
+    it replaces.  Of two writers at the same time the later commit is the table, and
+    the other's version stays readable before it.
     """
-    versions = _versions(spark, root)
-    for version in reversed(versions):
-        path = _version_path(root, version)
-        if exists(spark, f"{path}/{_MARKER}"):
-            return path
-    if versions:
-        raise RuntimeError(f"{root} has {len(versions)} versions, but none is committed")
-    return None
+    spark = df.sparkSession
+    folder = write_part(df, root, sort)
+    while True:
+        last = head(spark, root) or Version()
+        if commit(spark, root, Version(last.number + 1, {_ROWS: [folder]})):
+            break
+    expire(spark, root, keep)
+    return read_parts(spark, root, [folder], df.schema)
+
+
+def update(
+    spark: SparkSession,
+    root: str,
+    schema: T.StructType,
+    change: Callable[[DataFrame], DataFrame],
+    keep: int = KEPT,
+) -> DataFrame:
+    """Replace a table by what ``change`` makes of it, losing no other writer's change.
+
+    If another version was committed meanwhile, the change is made again on that one.
+    """
+    while True:
+        last = head(spark, root) or Version()
+        folder = write_part(change(read_parts(spark, root, last.folders(), schema)), root)
+        if commit(spark, root, Version(last.number + 1, {_ROWS: [folder]})):
+            expire(spark, root, keep)
+            return read_parts(spark, root, [folder], schema)
+        delete(spark, f"{root}/{folder}")
+
+
+def expire(spark: SparkSession, root: str, keep: int) -> None:
+    """Forget all but the last ``keep`` versions, with the folders that only they name.
+
+    Folders that no version has named yet belong to writers at work and stay.
+    """
+    numbers = _numbers(spark, root)
+    old, kept = numbers[:-keep], numbers[-keep:]
+    if not old:
+        return
+    used = {n for v in kept for names in read_version(spark, root, v).parts.values() for n in names}
+    for number in old:
+        try:
+            parts = read_version(spark, root, number).parts
+        except Exception:
+            if number in _numbers(spark, root):
+                raise
+            continue  # another writer has just expired it
+        for name in {n for names in parts.values() for n in names} - used:
+            delete(spark, f"{root}/{name}")
+        delete(spark, _log_path(root, number))
+
+
+def has_version(spark: SparkSession, root: str) -> bool:
+    return bool(_numbers(spark, root))
 
 
 def latest(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
-    """The last committed version of a published table, or no rows."""
-    path = committed_path(spark, root)
-    if path is None:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    """The last committed version of a published table, or no rows.
+
+    Rows of which no version is committed are an error: an empty table in their
+    place would lose what was there.
+    """
+    version = head(spark, root)
+    if version is None and child_names(spark, f"{root}/data"):
+        raise RuntimeError(f"{root} has rows, but no version of it is committed")
+    names = [n for group in version.parts.values() for n in group] if version else []
+    return read_parts(spark, root, names, schema)
 
 
 def replace_table(df: DataFrame, name: str, sort: Sequence[str] = ()) -> DataFrame:

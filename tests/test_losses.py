@@ -80,10 +80,10 @@ def test_csv_keeps_odd_text_and_microseconds(spark, tmp_path):
     assert rows_of(back) == rows_of(df)
 
 
-def test_versions_without_a_marker_are_an_error(spark, tmp_path):
+def test_rows_without_a_version_are_an_error(spark, tmp_path):
     first = S.publish(spark.range(3).toDF("x"), str(tmp_path / "t"))
-    (tmp_path / "t" / "version=00000001" / "_COMMITTED").unlink()
-    with pytest.raises(RuntimeError, match="none is committed"):
+    (tmp_path / "t" / "_log" / f"{1:010d}").unlink()
+    with pytest.raises(RuntimeError, match="no version of it is committed"):
         S.latest(spark, str(tmp_path / "t"), first.schema)
 
 

@@ -144,7 +144,7 @@ def test_publish_reads_what_it_replaces(spark, tmp_path):
     first = S.publish(spark.range(3).toDF("x"), root)
     S.publish(first.withColumn("x", F.col("x") + 10), root)
     assert rows_of(S.latest(spark, root, first.schema)) == [(10,), (11,), (12,)]
-    (tmp_path / "t" / "version=00000002" / "_COMMITTED").unlink()
+    (tmp_path / "t" / "_log" / f"{2:010d}").unlink()
     assert rows_of(S.latest(spark, root, first.schema)) == [(0,), (1,), (2,)]
 
 

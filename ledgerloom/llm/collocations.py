@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import text as T
+from ledgerloom.llm.tables import join_small
 from ledgerloom.session import stage
 
 _U = np.uint64
@@ -379,7 +380,7 @@ def collocations(
     if group_col:
         group = F.coalesce(F.col(group_col).cast("string"), group)
     counts = phrase_counts(docs, text_col, group, longest, least, sizes)
-    totals = counts.where("n = 0").select(F.col("group").alias("_g"), F.col("count").alias("total"))
+    totals = stage(counts.where("n = 0").select("group", F.col("count").alias("total")), "totals")
     known = counts.where("n > 0").select("group", "phrase", "count")
     candidates = counts.where("n > 1").select(
         "group", F.col("n").alias("size"), "phrase", F.col("count").alias("a")
@@ -406,8 +407,7 @@ def collocations(
     left = known.toDF("group", "left", "l")
     right = known.toDF("group", "right", "r")
     scored = (
-        cuts.join(left, ["group", "left"]).join(right, ["group", "right"])
-        .join(totals, F.col("group") == F.col("_g"))
+        join_small(cuts.join(left, ["group", "left"]).join(right, ["group", "right"]), totals, "group")
         .withColumn("score", score())
     )
     worst = (

@@ -29,7 +29,14 @@ from ledgerloom.operators.runs import audit_row, latest_events, run_started
 from ledgerloom.session import configure, scratch, stage
 from ledgerloom.sources import manifest as M
 from ledgerloom.sources.key_index import KeyIndex
-from ledgerloom.sources.landing import hash_files, landing_files, read_audited, schema_errors
+from ledgerloom.sources.landing import (
+    SOURCE_FILE,
+    damaged_files,
+    hash_files,
+    landing_files,
+    read_audited,
+    schema_errors,
+)
 from ledgerloom.sources.tables import (
     append_partitioned,
     latest,
@@ -125,9 +132,12 @@ class Warehouse:
 
 
 def write_batch(
-    house: Warehouse, landed: DataFrame, run_id: str, at: datetime
-) -> DataFrame:
-    """Validate, quarantine, deduplicate, enrich and append one batch; counts per file.
+    house: Warehouse, landed: DataFrame, run_id: str, at: datetime, audit: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Validate, quarantine, deduplicate, enrich and append the files of one audit.
+
+    Returns counts per file, and the files that broke while they were read, of which
+    no row is kept.
 
     The judged batch is written once, apart by verdict, so that quarantine,
     keys and counts each read only the columns they need.  Ids are looked up in the
@@ -141,6 +151,10 @@ def write_batch(
         verdict.withColumn(REASON, F.when(~F.col(VALID), F.col(REASON))).drop(REASONS),
         "judged", partition_by=[VALID],
     )
+    damaged = stage(damaged_files(judged, audit), "damaged")
+    if damaged.take(1):
+        broken = damaged.select(F.col("file_path").alias(SOURCE_FILE))
+        judged = judged.join(broken, SOURCE_FILE, "left_anti").select(*judged.columns)
     valid, invalid = split(judged)
     index = house.known_ids()
     found = index.known(valid.select(KEY))
@@ -171,7 +185,7 @@ def write_batch(
     with ThreadPoolExecutor(max_workers=3) as pool:
         jobs = [pool.submit(copy_context().run, job) for job in (count, reject, load)]
         counts, *_ = [job.result() for job in jobs]
-    return counts
+    return counts, damaged
 
 
 def run_ingest(
@@ -240,22 +254,33 @@ def _ingest(
     if not chosen:
         return counters
 
+    return counters | load_files(house, pending, run_id, at, source_dir)
+
+
+def load_files(
+    house: Warehouse, pending: DataFrame, run_id: str, at: datetime, source_dir: str
+) -> dict[str, int]:
+    """Audit, read and load the listed files, and tell the manifest what became of each.
+
+    Files that do not conform, or that break while they are read, fail alone.
+    """
     begun = M.manifest_entries(pending, run_id, at)
     house.update("file_manifest", schemas.FILE_MANIFEST, lambda held: M.update_manifest(held, begun))
     audit = stage(schema_errors(pending), "audit")
-    counts = write_batch(house, read_audited(spark, audit), run_id, at)
+    counts, damaged = write_batch(house, read_audited(house.spark, audit), run_id, at, audit)
     totals = run_totals(counts).first().asDict()
 
-    entries = stage(M.manifest_entries(pending, run_id, at, audit), "entries")
+    unread = damaged.withColumnRenamed("error", "_unread")
+    verdicts = audit.join(unread, "file_path", "left").select(
+        "file_path", F.coalesce("error", "_unread").alias("error")
+    )
+    entries = stage(M.manifest_entries(pending, run_id, at, verdicts), "entries")
     house.update("file_manifest", schemas.FILE_MANIFEST, lambda held: M.update_manifest(held, entries))
     house.update(
         "manifest_metadata", schemas.MANIFEST_METADATA,
         lambda held: M.advance_watermark(held, entries, source_dir, at),
     )
-
-    failed = audit.where(F.col("error").isNotNull()).count()
-    return counters | totals | {
-        "files_processed": chosen,
-        "files_ingested": chosen - failed,
-        "files_failed": failed,
+    files, failed = entries.agg(F.count("*"), F.count_if(F.col("status") == "failed")).first()
+    return totals | {
+        "files_processed": files, "files_ingested": files - failed, "files_failed": failed,
     }

@@ -44,6 +44,11 @@ def landing_files(
     if newer_than is not None:
         cut = datetime.fromtimestamp(newer_than, UTC)
         files = files.where(F.col("modificationTime") > F.lit(cut))
+    return listed(files)
+
+
+def listed(files: DataFrame) -> DataFrame:
+    """Name, path, size and time of files as Spark's binary source gives them."""
     return files.select(
         F.element_at(F.split("path", "/"), -1).alias("file_path"),
         F.col("path"),
@@ -83,7 +88,9 @@ _ACCEPTED = {
     "timestamp": ("timestamp", "timestamp_ns"),
     "double": ("double", "float", "int32", "int64"),
 }
-_FOOTERS = "path string, columns array<string>, kinds array<string>, failure string"
+_FOOTERS = (
+    "path string, columns array<string>, kinds array<string>, row_count long, failure string"
+)
 
 
 def _kind(field_type, stored: str) -> str:
@@ -110,17 +117,19 @@ def _read_footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 with open_input(path) as source:
                     footer = pq.ParquetFile(source)
                     schema, leaves = footer.schema_arrow, footer.schema
+                    count = footer.metadata.num_rows
                 stored = {leaf.path: leaf.physical_type for leaf in leaves}
                 kinds = [_kind(f.type, stored.get(f.name, "")) for f in schema]
-                rows.append((path, schema.names, kinds, None))
+                rows.append((path, schema.names, kinds, count, None))
             except OSError as failure:
                 # Arrow reports a damaged footer without an error number.
                 if failure.errno is not None:
                     raise
-                rows.append((path, [], [], str(failure) or type(failure).__name__))
+                rows.append((path, [], [], None, str(failure) or type(failure).__name__))
             except pa.ArrowInvalid as failure:  # a broken file is a finding
-                rows.append((path, [], [], str(failure) or type(failure).__name__))
-        yield pd.DataFrame(rows, columns=["path", "columns", "kinds", "failure"])
+                rows.append((path, [], [], None, str(failure) or type(failure).__name__))
+        yield pd.DataFrame(rows, columns=["path", "columns", "kinds", "row_count", "failure"]).astype(
+            {"row_count": "Int64"})
 
 
 def _name_list(label: str, names: Column) -> Column:
@@ -136,7 +145,8 @@ def schema_errors(files: DataFrame, expected=schemas.LANDING) -> DataFrame:
     Column names must match exactly.  Types are judged only when no column is
     missing: any timestamp unit or zone is accepted, and 32- or 64-bit
     integers and floats where a double is expected.  ``error`` is NULL for a
-    file that conforms; only footers are read.
+    file that conforms, and ``row_count`` is what its footer says; only footers
+    are read.
     """
     footers = _spread(files.select("path")).mapInPandas(_read_footers, _FOOTERS)
     names = F.array(*(F.lit(f.name) for f in expected))
@@ -169,6 +179,7 @@ def schema_errors(files: DataFrame, expected=schemas.LANDING) -> DataFrame:
         error.alias("error"),
         kind_of("amount").alias("amount_kind"),
         kind_of("timestamp").alias("timestamp_kind"),
+        "row_count",
     )
 
 
@@ -183,6 +194,11 @@ def conform(df: DataFrame, expected=schemas.LANDING) -> DataFrame:
     )
 
 
+#: A file that breaks while it is read gives the rows before the break; whoever reads
+#: compares their number with the footer's (``damaged_files``).
+_READING = {"pathGlobFilter": "*.parquet", "ignoreCorruptFiles": "true"}
+
+
 def file_name() -> Column:
     """Name of the file a row comes from, as the listing has it (Spark escapes it)."""
     # Decoding a URL would turn a plus into a blank.
@@ -190,7 +206,7 @@ def file_name() -> Column:
 
 
 def _with_position(reader, paths: list[str]) -> DataFrame:
-    raw = reader.option("pathGlobFilter", "*.parquet").parquet(*paths)
+    raw = reader.options(**_READING).parquet(*paths)
     return raw.select(
         "*",
         file_name().alias(SOURCE_FILE),
@@ -244,3 +260,19 @@ def read_audited(spark: SparkSession, audit: DataFrame) -> DataFrame:
     for scan in rest:
         first = first.unionByName(scan)
     return first
+
+
+def damaged_files(rows: DataFrame, audit: DataFrame) -> DataFrame:
+    """Accepted files of which not all rows could be read, with the error to record.
+
+    Spark gives no reason, so the error tells how many rows there were.  A store that
+    failed for a moment looks the same; a failed file is read again by the next run.
+    """
+    read = rows.groupBy(F.col(SOURCE_FILE).alias("file_path")).agg(F.count("*").alias("_read"))
+    found = F.coalesce("_read", F.lit(0))
+    return (
+        audit.where(F.col("error").isNull()).join(read, "file_path", "left")
+        .where(found != F.col("row_count"))
+        .select("file_path", F.format_string(
+            "Damaged file: %d of %d rows could be read", found, F.col("row_count")).alias("error"))
+    )

@@ -11,30 +11,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom import schemas
-from ledgerloom.operators.dedup import run_totals
 from ledgerloom.operators.marts import DAILY_GRAIN, daily_spend
 from ledgerloom.operators.runs import audit_row
-from ledgerloom.plans.ingest import Warehouse, write_batch
-from ledgerloom.session import configure, scratch
-from ledgerloom.sources.landing import SOURCE_FILE, SOURCE_ROW, file_name
+from ledgerloom.plans.ingest import Warehouse, load_files
+from ledgerloom.session import configure, scratch, stage
+from ledgerloom.sources.landing import hash_files, listed
+from ledgerloom.sources.manifest import pending_files
 from ledgerloom.sources.tables import read_partitioned
 
 BATCH = "batch_id"
+#: Fixed: what Spark's binary source gives of a file; its content is never asked for.
+_BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
 def landing_stream(spark: SparkSession, directory: str, files_per_batch: int = 1000) -> DataFrame:
-    """New landing files as a stream, each row with its file name and row number."""
+    """New landing files as a stream of the listing: name, path, size and time.
+
+    The files themselves are read by the batch that loads them, after the audit of
+    their footers; a stream of their rows would break at the first bad file.
+    """
     stream = (
-        spark.readStream.schema(schemas.LANDING)
+        spark.readStream.format("binaryFile").schema(_BINARY_FILE)
         .option("pathGlobFilter", "*.parquet")
         .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(directory)
-    )
-    return stream.select(
-        "*",
-        file_name().alias(SOURCE_FILE),
-        F.col("_metadata.row_index").alias(SOURCE_ROW),
+        .load(directory)
     )
+    return listed(stream)
 
 
 def ingest_stream(
@@ -46,24 +48,27 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Load every file not picked up before, through the batch operators, then stop.
 
-    The checkpoint remembers the files, and names the stream in its run ids, so
-    streams into one warehouse never share one.  A batch repeated after a failure
-    carries the same run id, replaces its quarantine partition and skips the
-    ids it already loaded.  Each batch leaves an audit row.
+    Each batch audits, reads and records its files as a run does, so a bad file fails
+    alone and enters the manifest.  The checkpoint remembers the files, and names the
+    stream in its run ids, so streams into one warehouse never share one.  A batch
+    repeated after a failure carries the same run id, replaces its quarantine partition
+    and skips the ids it already loaded.  Each batch leaves an audit row.
     """
     stream_id = sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
 
     def load(batch: DataFrame, batch_id: int) -> None:
         run_id, at = f"stream-{stream_id}-{batch_id:08d}", datetime.now(UTC)
         started = time.monotonic()
-        with scratch(batch.sparkSession):
-            counts = write_batch(house, batch, run_id, at)
-            totals = run_totals(counts).first().asDict()
-            files = counts.count()
         shape = schemas.INGESTION_RUNS
         counters = dict.fromkeys((f.name for f in shape if f.dataType.typeName() == "long"), 0)
-        counters |= {n: v for n, v in totals.items() if n in counters}
-        counters |= {"files_checked": files, "files_processed": files, "files_ingested": files}
+        with scratch(batch.sparkSession):
+            files = stage(hash_files(batch), "files")
+            held = house.published("file_manifest", schemas.FILE_MANIFEST)
+            pending = stage(pending_files(files, held), "pending")
+            listed_files, chosen = files.count(), pending.count()
+            counters |= {"files_checked": listed_files, "files_skipped": listed_files - chosen}
+            if chosen:
+                counters |= load_files(house, pending, run_id, at, directory)
         house.log("ingestion_runs", audit_row(
             batch.sparkSession, shape, run_id=run_id, started_at=at,
             completed_at=datetime.now(UTC), status="completed",

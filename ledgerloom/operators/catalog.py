@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Mapping, Sequence
+from collections.abc import Collection, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.functions.smallest import smallest
 from ledgerloom.functions.text import json_list, number_text
 
 BASE_TABLE, VIEW = "BASE TABLE", "VIEW"
@@ -79,23 +80,6 @@ def _orderable(kind: T.DataType) -> bool:
     return not isinstance(kind, (T.MapType, T.VariantType))
 
 
-def _smallest(df: DataFrame, names: Sequence[str], k: int) -> list[Column]:
-    """The ``k`` smallest distinct values of every column, as ``k`` one-row structs.
-
-    Each pass is one scan that keeps one value per column and task, looking
-    only above the value of the pass before; nothing is shuffled by value.
-    """
-    found: list[Column] = []
-    for _ in range(k):
-        if found:
-            above = df.select("*", found[-1].alias("_low"))
-            mins = [F.min(F.when(F.col(n) > F.col("_low")[n], F.col(n))).alias(n) for n in names]
-        else:
-            above, mins = df, [F.min(n).alias(n) for n in names]
-        found.append(above.agg(F.struct(*mins).alias("low")).scalar())
-    return found
-
-
 _COLUMN_PROFILE = (
     "table_name string, column_name string, ordinal_position int, data_type string, "
     "is_nullable boolean, is_pk boolean, sample_values string"
@@ -103,17 +87,14 @@ _COLUMN_PROFILE = (
 
 
 def _samples(df: DataFrame, k: int) -> DataFrame:
-    """One row: per column, up to ``k`` sample values as a JSON array of text."""
+    """One row: per column, up to ``k`` sample values as a JSON array of text, in one scan."""
     fields = {f.name: f.dataType for f in df.schema if _orderable(f.dataType)}
-    lows = _smallest(df, list(fields), k)
-    found = df.sparkSession.range(1).select(*(low.alias(f"_low{i}") for i, low in enumerate(lows)))
 
     def sample(name: str) -> Column:
-        values = F.array(*(F.col(f"_low{i}")[name] for i in range(len(lows))))
-        texts = F.transform(F.array_compact(values), _as_text(fields[name]))
+        texts = F.transform(name, _as_text(fields[name]))
         return F.when(F.size(texts) > 0, json_list(texts)).alias(name)
 
-    return found.select(*(sample(name) for name in fields))
+    return smallest(df, list(fields), k).select(*(sample(name) for name in fields))
 
 
 def column_profile(
@@ -146,8 +127,14 @@ def column_profile(
 
 
 def _as_text(kind: T.DataType):
-    if isinstance(kind, T.DoubleType):
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
         return number_text
+    if isinstance(kind, T.ArrayType):
+        item = _as_text(kind.elementType)
+        return lambda value: F.concat(
+            F.lit("["),
+            F.array_join(F.transform(value, lambda x: F.coalesce(item(x), F.lit("NULL"))), ", "), F.lit("]"),
+        )
     return lambda value: value.cast("string")
 
 
@@ -257,10 +244,3 @@ def all_columns(catalog_columns: DataFrame, catalog_tables: DataFrame) -> DataFr
             F.coalesce("sample_values", F.lit("")).alias("sample_values"),
         )
     )
-
-
-def session_tables(spark: SparkSession) -> tuple[dict[str, DataFrame], set[str]]:
-    """Tables and views registered in the session's current database."""
-    found = spark.catalog.listTables()
-    tables = {t.name: spark.table(t.name) for t in found}
-    return tables, {t.name for t in found if t.tableType in ("VIEW", "TEMPORARY")}

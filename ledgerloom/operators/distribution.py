@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.exact import exact_sum
-from ledgerloom.functions.ordered import running_total
 
 
 def value_shares(df: DataFrame, column: str) -> DataFrame:
@@ -21,26 +22,62 @@ def distinct_count(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count_distinct(column).alias("distinct_count"))
 
 
-def median(df: DataFrame, column: str) -> DataFrame:
-    """Exact median as one row.
+#: Values that one task may sort.
+_FEW = 2_000
+#: Rank accuracy of a sketch: one part in so many.
+_SKETCH = 1_000
+
+
+def rank_values(df: DataFrame, column: str, ranks: Sequence[int]) -> list:
+    """The values at the given 1-based ranks, exact, without sorting the column.
 
-    Values are counted first and put in global order by range partitions, so
-    no task holds more than its range; the middle is where the running count
-    crosses half.
+    Each round a quantile sketch names an interval around a rank, and one count says
+    how many values lie below it and in it.  Sketches of parts merge, so a round is one
+    scan with a small state from each task, and each leaves about a 500th of the
+    values, however they are spread; the last few are sorted as one short array.
     """
-    counts = (
-        df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_rows"))
-    )
-    ordered = running_total(counts, [column], "_rows", "_upto")
-    total = df.agg(F.count(column)).scalar()
-    # 1-based ranks of the middle row, or of the two middle rows.
-    low, high = F.floor((total + 1) / 2), F.floor((total + 2) / 2)
-    first = F.col("_upto") - F.col("_rows") + 1
-
-    def at(rank):
-        return F.max(F.when((first <= rank) & (rank <= F.col("_upto")), F.col(column)))
-
-    return ordered.agg(((at(low) + at(high)) / 2).alias("median"))
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("v"))
+    found = []
+    for rank in ranks:
+        inside, below = values, 0
+        n = inside.count()
+        while True:
+            if n <= _FEW:
+                held = inside.agg(F.sort_array(F.collect_list("v")).alias("v")).first().v
+                found.append(held[rank - below - 1])
+                break
+            at = (rank - below) / n
+            shares = [max(0.0, at - 2 / _SKETCH), min(1.0, at + 2 / _SKETCH)]
+            low, high = inside.agg(F.percentile_approx("v", shares, _SKETCH * 2).alias("q")).first().q
+            under, upto, equal = inside.agg(
+                F.count_if(F.col("v") < low), F.count_if(F.col("v") <= high), F.count_if(F.col("v") == low)
+            ).first()
+            if below + under < rank <= below + under + equal:
+                found.append(low)
+                break
+            if not below + under < rank <= below + upto:
+                # A sketch that missed its accuracy: take the side the rank is on.
+                left = rank <= below + under
+                inside = inside.where(F.col("v") < low if left else F.col("v") > high)
+                below, n = (below, under) if left else (below + upto, n - upto)
+                continue
+            inside = inside.where(F.col("v").between(low, high))
+            below, n = below + under, upto - under
+            if low == high:
+                found.append(low)
+                break
+    return found
+
+
+def median(df: DataFrame, column: str) -> DataFrame:
+    """Exact median as one row; NULL without values."""
+    total = df.agg(F.count(column)).first()[0]
+    middle = None
+    if total:
+        ranks = sorted({(total + 1) // 2, (total + 2) // 2})
+        values = rank_values(df, column, ranks)
+        middle = (values[0] + values[-1]) / 2
+    return df.sparkSession.range(1).select(F.lit(middle).cast("double").alias("median"))
 
 
 def shape(df: DataFrame, column: str) -> DataFrame:

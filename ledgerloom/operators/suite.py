@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import value_text
@@ -33,26 +33,11 @@ class Check:
     description: str = ""
 
 
-def sample_json(violations: DataFrame, n: int = SAMPLES) -> DataFrame:
-    """Up to ``n`` violations as one JSON array of objects; NULL for none."""
-    texts = violations.select(
-        *(value_text(f.name, f.dataType).alias(f.name) for f in violations.schema)
-    )
-    rows = texts.limit(n).agg(F.collect_list(F.struct("*")).alias("rows"))
-    options = {"ignoreNullFields": "false"}
-    return rows.select(
-        F.when(F.size("rows") > 0, F.to_json("rows", options)).alias("sample_violations")
-    )
-
-
 def _outcome(check: Check, samples: int) -> tuple:
     started = time.monotonic()
     count, sample, failure = 0, None, None
     try:
-        violations = check.violations()
-        count = violations.count()
-        if count:
-            sample = sample_json(violations, samples).first().sample_violations
+        count, sample = count_and_sample(check.violations(), samples)
         status = FAIL if count else PASS
     except Exception as error:  # one broken check must not stop the others
         status, count, failure = ERROR, 0, str(error)
@@ -60,33 +45,36 @@ def _outcome(check: Check, samples: int) -> tuple:
             time.monotonic() - started, failure)
 
 
+def count_and_sample(violations: DataFrame, n: int = SAMPLES) -> tuple[int, str | None]:
+    """How many violations there are, and the first ``n`` of them, in one job.
+
+    They are ordered by the text of their columns, so a rerun shows the same ones; a
+    task passes on ``n`` rows at most.  They come as a JSON array of objects, NULL for none.
+    """
+    texts = violations.select(
+        *(value_text(f.name, f.dataType).alias(f.name) for f in violations.schema)
+    )
+    seen = Observation()
+    whole = F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row")
+    order = [F.asc_nulls_first(name) for name in texts.columns]
+    first = texts.observe(seen, F.count(F.lit(1)).alias("n")).orderBy(*order).limit(n).select(whole).collect()
+    rows = [row.row for row in first]
+    return seen.get.get("n", len(rows)), f"[{','.join(rows)}]" if rows else None
+
+
 def run_suite(
     spark: SparkSession, checks: Sequence[Check], samples: int = SAMPLES, parallel: int = 4
 ) -> DataFrame:
     """One result row per check, in the given order.
 
     Violations are counted where they are; only counts and a few samples come
-    back.  Independent checks are submitted side by side.
+    back, from one job a check.  Independent checks are submitted side by side.
     """
     with ThreadPoolExecutor(max_workers=parallel) as pool:
         rows = list(pool.map(lambda check: _outcome(check, samples), checks))
     return spark.createDataFrame(rows, RESULTS)
 
 
-def violation_counts(checks: Sequence[Check]) -> DataFrame:
-    """The suite as one lazy query: status and count per check, without samples."""
-    results = None
-    for check in checks:
-        row = check.violations().agg(F.count("*").alias("violation_count")).select(
-            F.lit(check.name).alias("check_name"),
-            F.lit(check.severity).alias("severity"),
-            F.when(F.col("violation_count") > 0, FAIL).otherwise(PASS).alias("status"),
-            "violation_count",
-        )
-        results = row if results is None else results.unionByName(row)
-    return results
-
-
 def suite_status(results: DataFrame) -> DataFrame:
     """Counters and overall status of a run.
 

@@ -279,6 +279,13 @@ catalog AS (
 _W_CATALOG = _with(_profiles(_RUN_DATES), _dim(1), _catalog())
 
 _TABLE_COLUMNS = {
+    "benchmark": "item_id:BIGINT text:VARCHAR",
+    "conversations": "conv_id:BIGINT turn:BIGINT role:VARCHAR text:VARCHAR",
+    "documents": "doc_id:BIGINT text:VARCHAR lang:VARCHAR source:VARCHAR n_chars:BIGINT",
+    "embeddings": "vec_id:BIGINT embedding:FLOAT[] label:INTEGER",
+    "events": "event_id:BIGINT ts:TIMESTAMP user_id:BIGINT event_type:VARCHAR value:DOUBLE props:VARCHAR",
+    "labels": "doc_id:BIGINT quality:INTEGER toxic:INTEGER",
+    "pages": "page_id:BIGINT url:VARCHAR html:VARCHAR",
     "customer": "c_custkey:BIGINT c_name:VARCHAR c_nationkey:INTEGER c_acctbal:DOUBLE c_mktsegment:VARCHAR",
     "lineitem": "l_orderkey:BIGINT l_partkey:BIGINT l_suppkey:BIGINT l_linenumber:INTEGER "
                 "l_quantity:DOUBLE l_extendedprice:DOUBLE l_discount:DOUBLE l_tax:DOUBLE "
@@ -298,7 +305,14 @@ _STG_TYPES = (
 )
 
 
-def _columns(table: str, text: str, sampled: bool) -> list[str]:
+_DIM_TYPES = (
+    "account_sk:BIGINT account_id:VARCHAR primary_currency:VARCHAR primary_category:VARCHAR "
+    "transaction_count:BIGINT total_spend:DOUBLE first_seen:DATE last_seen:DATE row_hash:VARCHAR "
+    "valid_from:TZ valid_to:TZ is_current:BOOLEAN run_id:VARCHAR"
+)
+
+
+def _columns(table: str, text: str, sampled: bool, source: str | None = None) -> list[str]:
     rows = []
     for position, item in enumerate(text.split(), start=1):
         name, kind = item.split(":")
@@ -307,7 +321,7 @@ def _columns(table: str, text: str, sampled: bool) -> list[str]:
         if sampled:
             sample = (
                 f"(SELECT '[' || string_agg(to_json(CAST(v AS VARCHAR)), ', ' ORDER BY v) || ']' "
-                f"FROM (SELECT DISTINCT {name} AS v FROM {table} WHERE {name} IS NOT NULL "
+                f"FROM (SELECT DISTINCT {name} AS v FROM {source or table} WHERE {name} IS NOT NULL "
                 "ORDER BY v LIMIT 3))"
             )
         rows.append(
@@ -318,15 +332,18 @@ def _columns(table: str, text: str, sampled: bool) -> list[str]:
     return rows
 
 
+def _column_profile() -> str:
+    return _with(_profiles(_RUN_DATES), _dim(1)) + " " + " UNION ALL ".join([
+        *(row for table, text in _TABLE_COLUMNS.items() for row in _columns(table, text, True)),
+        *_columns("dim_accounts", _DIM_TYPES, True, "dim"),
+        *_columns("stg_transactions", _STG_TYPES, False),
+    ])
+
+
 _PK = {("nation", "n_nationkey")}
-_COLUMN_PROFILE = " UNION ALL ".join(
-    row for table, text in _TABLE_COLUMNS.items() for row in _columns(table, text, True)
-)
+_COLUMN_PROFILE = _column_profile()
 _PK = {("stg_transactions", "transaction_id")}
-_COLUMN_REPORT = " UNION ALL ".join([
-    *(row for t, text in _TABLE_COLUMNS.items() for row in _columns(t, text, True)),
-    *_columns("stg_transactions", _STG_TYPES, False),
-])
+_COLUMN_REPORT = _column_profile()
 
 _SUITE = """
 suite AS (
@@ -350,7 +367,8 @@ suite AS (
   UNION ALL SELECT 'mart_not_empty', 'critical',
     (SELECT COUNT(*) FROM (SELECT (SELECT COUNT(*) FROM daily) AS c UNION ALL
      SELECT (SELECT COUNT(*) FROM monthly) UNION ALL SELECT (SELECT COUNT(*) FROM fct)) WHERE c = 0)
-  UNION ALL SELECT 'row_count_staging', 'critical', 0
+  UNION ALL SELECT 'row_count_staging', 'critical', (SELECT CASE WHEN (SELECT COUNT(*) FROM src) <>
+    (SELECT COUNT(*) FROM (SELECT transaction_id FROM src)) THEN 1 ELSE 0 END)
   UNION ALL SELECT 'unique_daily_spend_grain', 'critical', (SELECT COUNT(*) FROM (
     SELECT 1 FROM daily GROUP BY transaction_date, category, currency HAVING COUNT(*) > 1))
   UNION ALL SELECT 'unique_monthly_summary_grain', 'critical', (SELECT COUNT(*) FROM (
@@ -416,6 +434,10 @@ def _schema_audit() -> str:
         FROM audited"""
 
 
+_W_FILES = f"""{_W_SRC}, files AS (
+          SELECT source_file AS file_path, CAST(substr(source_file, 7, 4) AS INTEGER) AS y, COUNT(*) AS n,
+            epoch(MAX(ts)) AS mtime FROM src GROUP BY source_file)"""
+
 _PIPELINE = f"SELECT {_LANDED}, transaction_date FROM firsts"
 
 ORACLE_SQL: dict[str, str] = {
@@ -644,14 +666,22 @@ ORACLE_SQL: dict[str, str] = {
           CAST(SUM(column_count) AS BIGINT) AS total_columns FROM catalog GROUP BY zone""",
     "catalog_columns_report": f"""WITH c AS ({_COLUMN_REPORT})
         SELECT table_name, CASE table_name WHEN 'stg_transactions' THEN 'staging' WHEN 'orders' THEN 'raw'
-          ELSE 'mart' END AS zone,
+          WHEN 'dim_accounts' THEN 'dimension' ELSE 'mart' END AS zone,
           column_name, data_type, is_nullable, is_pk,
           CASE WHEN is_pk THEN 'Order and line number.' ELSE '' END AS description,
           coalesce(sample_values, '') AS sample_values FROM c""",
-    "column_name_policy": """
-        SELECT table_name, column_name FROM (VALUES ('customer', 'c_name'), ('nation', 'n_name'),
-          ('part', 'p_name'), ('region', 'r_name'), ('stg_transactions', 'merchant_name'),
-          ('supplier', 's_name')) v(table_name, column_name)""",
+    "column_name_policy": f"""WITH c AS ({_COLUMN_REPORT})
+        SELECT table_name, column_name FROM c
+        WHERE regexp_matches(lower(column_name), 'name|email|phone|ssn|dob|birth|address|social')""",
+    "catalog_built": f"""{_W_MARTS}, built AS (
+          SELECT 'transactions' AS table_name, 'BASE TABLE' AS table_type, 'raw' AS zone,
+            (SELECT COUNT(*) FROM src) AS row_count, 13 AS column_count
+          UNION ALL SELECT 'stg_transactions', 'VIEW', 'staging', NULL, 13
+          UNION ALL SELECT 'daily_spend_by_category', 'BASE TABLE', 'mart', (SELECT COUNT(*) FROM daily), 6
+          UNION ALL SELECT 'monthly_account_summary', 'BASE TABLE', 'mart', (SELECT COUNT(*) FROM monthly), 7
+          UNION ALL SELECT 'quarantine', 'BASE TABLE', 'raw',
+            (SELECT COUNT(*) FROM src WHERE currency IS NULL), 6)
+        SELECT *, TIMESTAMP '2003-01-01' AS last_built_at FROM built""",
     "run_timeline": f"""{_W_RUNS}
         SELECT 'ingestion' AS run_type, run_id, started_at, status,
           records_loaded || ' records' AS key_metric, ROUND(elapsed_seconds, 2) AS elapsed_seconds
@@ -682,8 +712,62 @@ ORACLE_SQL: dict[str, str] = {
     "all_check_results": f"""{_W_RUNS} SELECT run_id, check_name, severity, status, violation_count,
           ROUND(elapsed_seconds, 4) AS elapsed_seconds FROM check_results""",
     "schema_audit": _schema_audit(),
-    # Every file fails the audit, and only the errors of these two are kept.
-    "manifest_pending": "SELECT * FROM (VALUES ('labels.parquet'), ('lineitem.parquet')) v(file_path)",
+    "landing_listing": " UNION ALL ".join(
+        f"SELECT '{name}.parquet' AS file_path, true AS same_hash, "
+        f"(SELECT COUNT(*) FROM (DESCRIBE {name})) > 0 AS same_size" for name in _FILES
+    ),
+    "manifest_pending": f"SELECT file_path FROM ({_schema_audit()}) WHERE error IS NOT NULL",
+    "manifest_states": f"""{_W_FILES}
+        SELECT 'first' AS step, file_path, n AS file_size_bytes,
+          CASE WHEN y = 1996 THEN 'failed' ELSE 'success' END AS status, 'run-1' AS run_id,
+          CASE WHEN y = 1996 THEN 'damaged' END AS error_message FROM files WHERE y < 1999
+        UNION ALL SELECT 'second', file_path, n + CASE WHEN y = 1997 THEN 1 ELSE 0 END, 'success',
+          CASE WHEN y IN (1997, 1996) OR y >= 1999 THEN 'run-2' ELSE 'run-1' END, NULL FROM files
+        UNION ALL SELECT 'reset', file_path, n + CASE WHEN y = 1997 THEN 1 ELSE 0 END, 'pending', 'run-3', NULL
+        FROM files""",
+    "manifest_pending_modes": f"""{_W_FILES},
+        mark AS (SELECT MAX(mtime) AS m FROM files WHERE y < 1999 AND y <> 1996)
+        SELECT mode, file_path FROM files, (VALUES ('hash'), ('stat'), ('watermark'), ('full_refresh')) v(mode)
+        WHERE mode = 'full_refresh' OR (mode IN ('hash', 'stat') AND (y IN (1997, 1996) OR y >= 1999))
+          OR (mode = 'watermark' AND mtime > (SELECT m FROM mark))""",
+    "watermark_steps": f"""{_W_FILES},
+        steps AS (
+          SELECT 'first' AS step, (SELECT MAX(mtime) FROM files WHERE y < 1999 AND y <> 1996) AS m
+          UNION ALL SELECT 'second', (SELECT MAX(mtime) FROM files)
+          UNION ALL SELECT 'nothing read', (SELECT MAX(mtime) FROM files)
+          UNION ALL SELECT 'only 1997', (SELECT mtime FROM files WHERE y = 1997))
+        SELECT step, 'landing' AS source_dir, m AS watermark_mtime FROM steps""",
+    "audit_rows": f"""{_W_FIRST}
+        SELECT run_id, TIMESTAMP '2003-01-01' AS started_at, 'completed' AS status,
+          CASE WHEN run_id = 'run-1' THEN (SELECT COUNT(*) FROM firsts) ELSE 0 END AS records_loaded,
+          CASE WHEN run_id = 'run-1' THEN (SELECT COUNT(*) FROM invalid) ELSE 0 END AS records_quarantined,
+          CASE WHEN run_id = 'run-1' THEN (SELECT COUNT(*) FROM valid) - (SELECT COUNT(*) FROM firsts)
+               ELSE 0 END AS duplicates_skipped,
+          true AS files_add_up, true AS has_ended
+        FROM (VALUES ('run-1'), ('run-2')) v(run_id)""",
+    "own_run_timeline": f"""{_W_SUITE}, {_DIRTY.strip()}, {_FIRST.strip()}
+        SELECT 'ingestion' AS run_type, 'run-1' AS run_id, 'completed' AS status,
+          (SELECT COUNT(*) FROM firsts) || ' records' AS key_metric
+        UNION ALL SELECT 'transform', 'models-1', 'completed', '2 models'
+        UNION ALL SELECT 'check', 'check-1',
+          CASE WHEN COUNT(*) FILTER (WHERE status = 'fail' AND severity = 'critical') > 0 THEN 'failed'
+               WHEN COUNT(*) FILTER (WHERE status = 'fail') > 0 THEN 'warn' ELSE 'passed' END,
+          COUNT(*) FILTER (WHERE status = 'pass') || '/' || COUNT(*) || ' passed' FROM rated""",
+    "month_slice": f"""{_W_SRC} SELECT transaction_id, transaction_date, run_id FROM src
+        WHERE transaction_date BETWEEN DATE '1997-02-15' AND DATE '1997-04-02'""",
+    "table_replaced": f"{_W_MARTS} SELECT * FROM daily WHERE transaction_count > 1",
+    "table_order": f"{_W_MARTS} SELECT transaction_date, category, currency, true AS in_order FROM daily",
+    "check_samples": f"""{_W_ALL},
+        unknown AS (SELECT transaction_id, currency FROM src WHERE currency NOT IN ('USD', 'EUR', 'GBP', 'JPY')),
+        twice AS (SELECT transaction_id, COUNT(*) AS n FROM fct GROUP BY 1 HAVING COUNT(*) > 1)
+        SELECT 'accepted_values_currency' AS check_name, (SELECT COUNT(*) FROM unknown) AS violation_count,
+          (SELECT '[' || string_agg('{{"transaction_id":"' || transaction_id || '","currency":"' || currency || '"}}',
+             ',' ORDER BY transaction_id, currency) || ']'
+           FROM (SELECT * FROM unknown ORDER BY transaction_id, currency LIMIT 5)) AS sample_violations
+        UNION ALL SELECT 'fct_unique_transaction_id', (SELECT COUNT(*) FROM twice),
+          (SELECT '[' || string_agg('{{"transaction_id":"' || transaction_id || '","occurrence_count":"' || n || '"}}',
+             ',' ORDER BY transaction_id) || ']' FROM (SELECT * FROM twice ORDER BY transaction_id LIMIT 5))
+        UNION ALL SELECT 'unique_daily_spend_grain', 0, NULL""",
     "ingest_pipeline": f"{_W_FIRST} {_PIPELINE}",
     "ingest_pipeline_quarantine": f"""{_W_DIRTY}
         SELECT row_number() OVER (ORDER BY {_ORDER_NULLS}) AS quarantine_id,

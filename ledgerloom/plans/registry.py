@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import UTC, date, datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,11 +23,12 @@ from ledgerloom.operators import scd2 as V
 from ledgerloom.operators.suite import run_suite, suite_status
 from ledgerloom.plans import testdata as td
 from ledgerloom.plans.ingest import Warehouse, run_ingest
-from ledgerloom.plans.warehouse import warehouse_checks
+from ledgerloom.plans.warehouse import build_catalog, build_models, check_warehouse, warehouse_checks
 from ledgerloom.session import configure, stage, workspace
 from ledgerloom.sources import manifest as M
+from ledgerloom.sources.key_index import KeyIndex
 from ledgerloom.sources.landing import hash_files, landing_files, schema_errors
-from ledgerloom.sources.tables import export, read_export
+from ledgerloom.sources.tables import export, publish, read_export, read_table, replace_table, replace_view
 from ledgerloom.streaming import ingest as Stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,9 +40,6 @@ _GIVEN = (
     "benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels",
     "lineitem", "nation", "orders", "pages", "part", "region", "supplier",
 )
-#: Given tables whose columns are all plain numbers, instants and one-line text.  The
-#: queries with SQL keep to them; those named ``..._all`` take every given table.
-_PLAIN = ("customer", "lineitem", "nation", "orders", "part", "region", "supplier")
 
 
 def query(build: Query) -> Query:
@@ -122,8 +121,11 @@ def dedup_first(spark, sf):
 def dedup_cross_batch(spark, sf):
     landed = td.landing(spark, sf)
     old, new = "batch_1998.parquet", F.col("source_file") > "batch_1998.parquet"
+    index = KeyIndex(spark, _new_folder(spark, "known_ids"), D.KEY)
     history = landed.where(F.col("source_file") <= old)
-    return D.drop_existing(D.dedup_first(landed.where(new), order=td.ROW_ORDER), history)
+    index.rebuild(history.select(D.KEY, F.col("source_file").alias("part")))
+    fresh = stage(D.dedup_first(landed.where(new), order=td.ROW_ORDER), "fresh")
+    return fresh.join(index.known(fresh), D.KEY, "left_anti")
 
 
 @query
@@ -333,6 +335,15 @@ def check_suite(spark, sf):
     return _suite(spark, sf).select("check_name", "severity", "status", "violation_count")
 
 
+@query
+def check_samples(spark, sf):
+    """The first violations of two checks, as a run reports them."""
+    tables = td.warehouse_tables(spark, sf)
+    wanted = ("accepted_values_currency", "fct_unique_transaction_id", "unique_daily_spend_grain")
+    checks = [c for c in warehouse_checks(tables, AT) if c.name in wanted]
+    return run_suite(spark, checks).select("check_name", "violation_count", "sample_violations")
+
+
 @query
 def suite_rating(spark, sf):
     return suite_status(_suite(spark, sf))
@@ -454,13 +465,6 @@ def table_profile(spark, sf):
 
 @query
 def column_profile(spark, sf):
-    tables = {name: df for name, df in _given(spark, sf).items() if name in _PLAIN}
-    return C.column_profile(tables, keys={("nation", "n_nationkey")})
-
-
-@query
-def column_profile_all(spark, sf):
-    """The columns of every given table; SQL cannot state these samples."""
     return C.column_profile(_given(spark, sf), _VIEWS, keys={("nation", "n_nationkey")})
 
 
@@ -502,30 +506,16 @@ def zone_rollup(spark, sf):
     return C.zone_rollup(_catalog(spark, sf))
 
 
-def _all_catalog_columns(spark, sf, left_out=()):
+def _catalog_columns(spark, sf):
     return C.overlay_columns(
-        C.column_profile(
-            {n: df for n, df in _given(spark, sf).items() if n not in left_out}, _VIEWS
-        ),
+        C.column_profile(_given(spark, sf), _VIEWS),
         spark.createDataFrame(_ABOUT_COLUMNS, C.COLUMN_METADATA),
     )
 
 
-def _catalog_columns(spark, sf):
-    return _all_catalog_columns(spark, sf, set(_GIVEN) - set(_PLAIN))
-
-
 @query
 def catalog_columns_report(spark, sf):
-    return C.all_columns(_catalog_columns(spark, sf), _catalog(spark, sf)).where(
-        ~F.col("table_name").isin("dim_accounts")
-    )
-
-
-@query
-def catalog_columns_report_all(spark, sf):
-    """The report over every given table, the account dimension included."""
-    return C.all_columns(_all_catalog_columns(spark, sf), _catalog(spark, sf))
+    return C.all_columns(_catalog_columns(spark, sf), _catalog(spark, sf))
 
 
 @query
@@ -534,9 +524,16 @@ def column_name_policy(spark, sf):
 
 
 @query
-def column_name_policy_all(spark, sf):
-    """The policy over every given table."""
-    return Q.column_names(_all_catalog_columns(spark, sf))
+def catalog_built(spark, sf):
+    """The catalog of a loaded warehouse after two full rebuilds, its audit tables aside."""
+    house = Warehouse(spark, _new_folder(spark, "warehouse"))
+    house.append_transactions(td.transactions(spark, sf))
+    for _ in range(2):
+        build_models(house)
+        tables, _columns = build_catalog(house, AT)
+    return tables.where("zone <> 'metadata' AND NOT endswith(table_name, '_runs')").select(
+        "table_name", "table_type", "zone", "row_count", "column_count", "last_built_at"
+    )
 
 
 # --- run analytics ----------------------------------------------------------
@@ -594,7 +591,14 @@ def all_check_results(spark, sf):
 
 @query
 def landing_listing(spark, sf):
-    return hash_files(landing_files(spark, sf)).select("file_path", "file_size_bytes", "file_hash")
+    """Each file, and whether its size and its hash, read in pieces, are those of its bytes."""
+    files = hash_files(landing_files(spark, sf))
+    whole = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(sf)
+    told = whole.select("path", "length", F.sha2("content", 256).alias("sha"))
+    return files.join(told, "path").select(
+        "file_path", (F.col("file_hash") == F.col("sha")).alias("same_hash"),
+        (F.col("file_size_bytes") == F.col("length")).alias("same_size"),
+    )
 
 
 @query
@@ -604,25 +608,152 @@ def schema_audit(spark, sf):
 
 @query
 def manifest_pending(spark, sf):
-    """Files left after those accepted by an audit of their schema are marked done."""
+    """Files left after those an audit of their schema accepts are marked done."""
     files = stage(hash_files(landing_files(spark, sf)), "files")
     manifest = spark.createDataFrame([], schemas.FILE_MANIFEST)
-    errors = schema_errors(files).select(
-        "file_path", F.when(F.col("file_path").startswith("l"), F.col("error")).alias("error")
-    )
+    errors = schema_errors(files).select("file_path", "error")
     manifest = M.update_manifest(manifest, M.manifest_entries(files, "run-1", AT, errors))
     return M.pending_files(files, manifest).select("file_path")
 
 
+def _deliveries(spark, sf):
+    """The yearly files of the landed rows; the first list ends with 1998, and 1997 changes."""
+    files = td.landing(spark, sf).groupBy(F.col("source_file").alias("file_path")).agg(
+        F.count("*").alias("file_size_bytes"), F.max("timestamp").cast("double").alias("file_mtime")
+    )
+
+    def listed(extra):
+        size = F.col("file_size_bytes") + extra
+        return files.select(
+            "file_path", F.col("file_path").alias("path"), size.alias("file_size_bytes"), "file_mtime",
+            F.sha2(F.concat_ws("|", "file_path", size), 256).alias("file_hash"),
+        )
+
+    is_changed = F.col("file_path") == "batch_1997.parquet"
+    first = listed(F.lit(0)).where(F.col("file_path") < "batch_1999.parquet")
+    return stage(first, "files"), stage(listed(F.when(is_changed, 1).otherwise(0)), "files")
+
+
+def _manifests(spark, sf):
+    """The manifest after a run in which 1996 failed, after the next one, and when reset."""
+    first, second = _deliveries(spark, sf)
+    none = spark.createDataFrame([], schemas.FILE_MANIFEST)
+    broken = F.when(F.col("file_path") == "batch_1996.parquet", "damaged").alias("error")
+    held = stage(
+        M.update_manifest(none, M.manifest_entries(first, "run-1", AT, first.select("file_path", broken))),
+        "manifest",
+    )
+    pending = M.pending_files(second, held)
+    sound = second.select("file_path", F.lit(None).cast("string").alias("error"))
+    then = M.update_manifest(held, M.manifest_entries(pending, "run-2", AT, sound))
+    return second, {"first": held, "second": then, "reset": M.reset_manifest(then, "run-3", AT)}
+
+
+@query
+def manifest_states(spark, sf):
+    _, states = _manifests(spark, sf)
+    return reduce(DataFrame.unionByName, (
+        held.select(F.lit(step).alias("step"), "file_path", "file_size_bytes", "status", "run_id", "error_message")
+        for step, held in states.items()
+    ))
+
+
+@query
+def manifest_pending_modes(spark, sf):
+    """What each mode leaves to read after the first run."""
+    files, states = _manifests(spark, sf)
+    held = states["first"]
+    meta = spark.createDataFrame([], schemas.MANIFEST_METADATA)
+    mark = M.read_watermark(M.advance_watermark(meta, held, "landing", AT), "landing")
+    left = {
+        "hash": M.pending_files(files, held),
+        "stat": M.pending_files(M.changed_files(files, held), held, mode="stat"),
+        "watermark": M.pending_files(files, held, mark, mode="watermark"),
+        "full_refresh": M.pending_files(files, held, full_refresh=True),
+    }
+    return reduce(DataFrame.unionByName, (
+        df.select(F.lit(mode).alias("mode"), "file_path") for mode, df in left.items()
+    ))
+
+
+@query
+def watermark_steps(spark, sf):
+    """The watermark after each run; one whose only success is old moves it down."""
+    files, states = _manifests(spark, sf)
+    meta = spark.createDataFrame([], schemas.MANIFEST_METADATA)
+    old = files.where(F.col("file_path") == "batch_1997.parquet")
+    no_error = old.select("file_path", F.lit(None).cast("string").alias("error"))
+    found = []
+    for step, entries in (
+        ("first", states["first"]), ("second", states["second"]),
+        ("nothing read", states["first"].where("status = 'failed'")),
+        ("only 1997", M.manifest_entries(old, "run-4", AT, no_error)),
+    ):
+        meta = stage(M.advance_watermark(meta, entries, "landing", AT), "metadata")
+        found.append(meta.select(F.lit(step).alias("step"), "source_dir", "watermark_mtime"))
+    found.append(M.drop_watermark(meta, "landing").select(F.lit("dropped"), "source_dir", "watermark_mtime"))
+    return reduce(DataFrame.union, found)
+
+
+@query
+def audit_rows(spark, sf):
+    """What two runs over the same files leave in the audit table."""
+    house = Warehouse(spark, _new_folder(spark, "warehouse"))
+    folder = _landing_folder(spark, sf)
+    for run_id in ("run-1", "run-2"):
+        run_ingest(house, folder, run_id, AT)
+    runs = house.runs("ingestion_runs", schemas.INGESTION_RUNS)
+    return runs.select(
+        "run_id", "started_at", "status", "records_loaded", "records_quarantined", "duplicates_skipped",
+        (F.col("files_checked") == F.col("files_skipped") + F.col("files_processed")).alias("files_add_up"),
+        (F.col("completed_at") > F.col("started_at")).alias("has_ended"),
+    )
+
+
 @query
-def manifest_pending_all(spark, sf):
-    """Files left when every finding of the audit counts."""
-    files = stage(hash_files(landing_files(spark, sf)), "files")
-    manifest = spark.createDataFrame([], schemas.FILE_MANIFEST)
-    manifest = M.update_manifest(
-        manifest, M.manifest_entries(files, "run-1", AT, schema_errors(files).select("file_path", "error"))
+def own_run_timeline(spark, sf):
+    """The timeline of runs as their own audit tables have it."""
+    house = Warehouse(spark, _new_folder(spark, "warehouse"))
+    run_ingest(house, _landing_folder(spark, sf), "run-1", AT)
+    build_models(house, "models-1")
+    check_warehouse(house, td.warehouse_tables(spark, sf), "check-1", AT)
+    line = R.timeline(*(
+        house.runs(f"{kind}_runs", getattr(schemas, f"{kind.upper()}_RUNS"))
+        for kind in ("ingestion", "transform", "check")
+    ))
+    return line.select("run_type", "run_id", "status", "key_metric")
+
+
+@query
+def month_slice(spark, sf):
+    """A range of dates of the raw table as it lies on disk, by month."""
+    house = Warehouse(spark, _new_folder(spark, "warehouse"))
+    house.append_transactions(td.transactions(spark, sf))
+    return house.transactions("1997-02-15", "1997-04-02").select("transaction_id", "transaction_date", "run_id")
+
+
+@query
+def table_replaced(spark, sf):
+    """The daily mart through a view of a table that replaced another."""
+    name = f"mart_{uuid.uuid4().hex}"
+    mart = A.daily_spend(td.stg(spark, sf))
+    replace_table(mart.limit(3), name)
+    replace_table(mart, name, A.DAILY_GRAIN)
+    replace_view(read_table(spark, name).where("transaction_count > 1"), f"{name}_view")
+    return read_table(spark, f"{name}_view")
+
+
+@query
+def table_order(spark, sf):
+    """Whether each row of the written daily mart stands behind the one before in its file."""
+    root = _new_folder(spark, "mart")
+    publish(A.daily_spend(td.stg(spark, sf)), root, A.DAILY_GRAIN)
+    rows = spark.read.parquet(f"{root}/data/*").select(
+        *A.DAILY_GRAIN, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
     )
-    return M.pending_files(files, manifest).select("file_path")
+    grain = F.struct(*A.DAILY_GRAIN)
+    before = F.lag(grain).over(Window.partitionBy("_file").orderBy("_row"))
+    return rows.select(*A.DAILY_GRAIN, F.coalesce(before < grain, F.lit(True)).alias("in_order"))
 
 
 def _landing_folder(spark, sf) -> str:
@@ -668,7 +799,7 @@ def stream_daily_spend(spark, sf):
     rows.repartition(8, "transaction_date").write.parquet(files)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(files)
     out = _new_folder(spark, "daily_spend")
-    Stream.write_daily_spend(stream, out, _new_folder(spark, "progress")).awaitTermination()
+    Stream.write_daily_spend(stream, out, _new_folder(spark, "progress"), every=2).awaitTermination()
     return Stream.read_daily_spend(spark, out)
 
 

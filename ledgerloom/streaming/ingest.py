@@ -15,9 +15,18 @@ from ledgerloom.operators.marts import DAILY_GRAIN, daily_spend
 from ledgerloom.operators.runs import audit_row
 from ledgerloom.plans.ingest import Warehouse, load_files
 from ledgerloom.session import configure, scratch, stage
+from ledgerloom.sources.files import child_names, delete
 from ledgerloom.sources.landing import hash_files, listed
 from ledgerloom.sources.manifest import pending_files
-from ledgerloom.sources.tables import read_partitioned
+from ledgerloom.sources.tables import (
+    Version,
+    commit,
+    expire,
+    head,
+    read_partitioned,
+    read_parts,
+    write_part,
+)
 
 BATCH = "batch_id"
 #: Fixed: what Spark's binary source gives of a file; its content is never asked for.
@@ -101,11 +110,27 @@ def daily_spend_stream(stream: DataFrame) -> DataFrame:
     return daily_spend(stream)
 
 
-def write_daily_spend(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the changed groups of every batch; a repeated batch replaces its own."""
+#: Batches whose states are kept one by one before they become a base.
+COMPACTED_EVERY = 16
+_BASE, _THROUGH = "_base", "through"
+_STATES = (
+    "transaction_date date, category string, currency string, total_amount double, "
+    "transaction_count long, avg_amount double, batch_id long"
+)
+
+
+def write_daily_spend(
+    stream: DataFrame, path: str, checkpoint: str, every: int = COMPACTED_EVERY
+) -> StreamingQuery:
+    """Keep the changed groups of every batch; a repeated batch replaces its own.
+
+    After ``every`` batches their states are folded into the base.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+        if batch_id - _base(stream.sparkSession, path)[1] >= every:
+            compact_daily_spend(stream.sparkSession, path, batch_id)
 
     return (
         daily_spend_stream(stream)
@@ -117,16 +142,45 @@ def write_daily_spend(stream: DataFrame, path: str, checkpoint: str) -> Streamin
     )
 
 
-def read_daily_spend(spark: SparkSession, path: str) -> DataFrame:
-    """The mart as of the last batch: the newest state of each group."""
-    shape = (
-        "transaction_date date, category string, currency string, total_amount double, "
-        "transaction_count long, avg_amount double, batch_id long"
-    )
-    empty = spark.createDataFrame([], shape)
-    states = read_partitioned(spark, path, empty.schema)
-    values = [c for c in states.columns if c not in (*DAILY_GRAIN, BATCH)]
+def _base(spark: SparkSession, path: str) -> tuple[Version, int]:
+    """The base and the last batch that is in it."""
+    base = head(spark, f"{path}/{_BASE}") or Version(notes={_THROUGH: -1})
+    return base, base.notes[_THROUGH]
+
+
+def _states(spark: SparkSession, path: str) -> DataFrame:
+    """The newest state of each group, from the base and the batches after it."""
+    base, through = _base(spark, path)
+    shape = spark.createDataFrame([], _STATES).schema
+    later = read_partitioned(spark, path, shape).where(F.col(BATCH) > through)
+    known = read_parts(spark, f"{path}/{_BASE}", base.folders(), shape)
+    values = [c for c in shape.names if c not in (*DAILY_GRAIN, BATCH)]
     newest = F.max(F.struct(BATCH, *values)).alias("s")
-    return states.groupBy(*DAILY_GRAIN).agg(newest).select(
-        *DAILY_GRAIN, *(F.col(f"s.{name}").alias(name) for name in values)
+    return known.unionByName(later).groupBy(*DAILY_GRAIN).agg(newest).select(
+        *DAILY_GRAIN, *(F.col(f"s.{name}").alias(name) for name in (*values, BATCH))
     )
+
+
+def compact_daily_spend(spark: SparkSession, path: str, through: int) -> None:
+    """Fold all states into a base that holds the batches up to ``through``.
+
+    The base counts from its commit on.  States of batches go once the base before,
+    too, held them, so that a reader that began on that one still finds its files; a
+    batch repeated later writes states that no reader looks at.
+    """
+    base, before = _base(spark, path)
+    root = f"{path}/{_BASE}"
+    folder = write_part(_states(spark, path).where(F.col(BATCH) <= through), root)
+    made = Version(base.number + 1, {"rows": [folder]}, {_THROUGH: through})
+    if not commit(spark, root, made):
+        delete(spark, f"{root}/{folder}")
+        return
+    expire(spark, root, 2)
+    for name in child_names(spark, path):
+        if name.startswith(f"{BATCH}=") and int(name.partition("=")[2]) <= before:
+            delete(spark, f"{path}/{name}")
+
+
+def read_daily_spend(spark: SparkSession, path: str) -> DataFrame:
+    """The mart as of the last batch: the newest state of each group."""
+    return _states(spark, path).drop(BATCH)

@@ -28,7 +28,7 @@ def smallest(column) -> list | None:
 
 
 def test_every_column_is_profiled(spark):
-    got = {(r.table_name, r.column_name): r for r in QUERIES["column_profile_all"](spark, SF).collect()}
+    got = {(r.table_name, r.column_name): r for r in QUERIES["column_profile"](spark, SF).collect()}
     want = {(t, c) for t, data in GIVEN.items() for c in data.column_names}
     assert {k for k in got if k[0] not in DERIVED} == want
     assert {k[0] for k in got} == {*GIVEN, *DERIVED}
@@ -46,15 +46,13 @@ def test_every_column_is_profiled(spark):
 
 
 def test_report_and_policy_see_every_table(spark):
-    report = {(r.table_name, r.column_name) for r in QUERIES["catalog_columns_report_all"](spark, SF).collect()}
+    report = {(r.table_name, r.column_name) for r in QUERIES["catalog_columns_report"](spark, SF).collect()}
     assert {t for t, _ in report} == {*GIVEN, *DERIVED}
-    found = {(r.table_name, r.column_name) for r in QUERIES["column_name_policy_all"](spark, SF).collect()}
-    part = {(r.table_name, r.column_name) for r in QUERIES["column_name_policy"](spark, SF).collect()}
-    names = {"name"} | {c for _, c in part}
-    assert part <= found <= report
-    assert {k for k in report if k[1] in names} <= found
+    found = {(r.table_name, r.column_name) for r in QUERIES["column_name_policy"](spark, SF).collect()}
+    assert found <= report
+    assert {k for k in report if "name" in k[1]} <= found
 
 
 def test_every_finding_keeps_its_file_pending(spark):
-    got = {r.file_path for r in QUERIES["manifest_pending_all"](spark, SF).collect()}
+    got = {r.file_path for r in QUERIES["manifest_pending"](spark, SF).collect()}
     assert got == {f"{t}.parquet" for t in GIVEN}

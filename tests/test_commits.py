@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from conftest import rows_of, staged_frame
 from ledgerloom import schemas
+from ledgerloom.operators.marts import daily_spend
 from ledgerloom.plans import warehouse as W
 from ledgerloom.plans.ingest import Warehouse
 from ledgerloom.sources import tables as S
 from ledgerloom.sources.files import write_once
+from ledgerloom.streaming.ingest import read_daily_spend, write_daily_spend
 
 
 def test_a_name_is_taken_once(spark, tmp_path):
@@ -64,6 +66,28 @@ def test_old_versions_go_with_their_rows(spark, tmp_path):
     assert S.latest(spark, root, spark.range(1).toDF("x").schema).count() == 6
 
 
+def test_states_of_a_stream_become_a_base(spark, tmp_path):
+    rows = staged_frame(spark)
+    ids = [r.transaction_id for r in rows.select("transaction_id").orderBy("transaction_id").collect()]
+    files, out = tmp_path / "files", tmp_path / "mart"
+    for i in ids:
+        rows.where(F.col("transaction_id") == i).coalesce(1).write.mode("append").parquet(str(files))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(files))
+    write_daily_spend(stream, str(out), str(tmp_path / "progress"), every=3).awaitTermination()
+    assert rows_of(read_daily_spend(spark, str(out))) == rows_of(daily_spend(rows))
+    through = S.head(spark, str(out / "_base")).notes["through"]
+    assert through == 8
+    batches = sorted(int(p.name.split("=")[1]) for p in out.glob("batch_id=*"))
+    assert batches[0] == 6  # what the base before held is gone
+    # A batch that is done again after the base holds it changes nothing.
+    wrong = spark.read.parquet(str(out / "batch_id=8")).withColumn("total_amount", F.lit(-1.0))
+    wrong.write.mode("overwrite").parquet(str(out / "batch_id=2"))
+    found = read_daily_spend(spark, str(out))
+    assert rows_of(found) == rows_of(daily_spend(rows))
+    scanned = found._jdf.queryExecution().executedPlan().toString()
+    assert "batch_id#" in scanned and f"> {through}" in scanned
+
+
 def _files(root: Path) -> dict[str, int]:
     return {str(p): p.stat().st_mtime_ns for p in root.rglob("*.parquet")}
 

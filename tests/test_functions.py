@@ -3,12 +3,14 @@ import random
 from decimal import Decimal
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.exact import STATE, exact_sum, merge_state, state_value, sum_state
 from ledgerloom.functions.ordered import number_rows, running_total
 from ledgerloom.functions.text import json_list, number_text
-from ledgerloom.operators.distribution import median, shape
+from ledgerloom.operators import distribution
+from ledgerloom.operators.distribution import median, shape, rank_values
 
 
 def test_number_text_is_the_shortest_form(spark):
@@ -78,6 +80,20 @@ def test_median_even_odd_hot_and_null(spark):
         assert median(df, "x").first().median == np.median(values)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ranks_without_a_sort(spark, monkeypatch, seed):
+    monkeypatch.setattr(distribution, "_FEW", 50)
+    rng = np.random.default_rng(seed)
+    values = np.concatenate([
+        rng.standard_normal(3000) * 10.0 ** rng.integers(-200, 200, 3000), np.full(4000, 7.0), [np.inf, -np.inf]])
+    df = spark.createDataFrame([(float(v),) for v in values], "x double").repartition(4)
+    ranks = [1, 2, 1700, 3501, 5000, 7000, 7002]
+    assert rank_values(df, "x", ranks) == [np.sort(values)[r - 1] for r in ranks]
+    plan = median(df, "x")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+    assert median(df.limit(0), "x").first().median is None
+
+
 def test_shape(spark):
     values = [1.0, 1.0, 2.0, 3.0, 50.0]
     row = shape(spark.createDataFrame([(v,) for v in values], "x double"), "x").first()

@@ -128,15 +128,27 @@ def test_samples_are_the_smallest_distinct(spark):
     assert (got["s"].is_pk, got["s"].data_type, got["x"].ordinal_position) == (True, "VARCHAR", 2)
 
 
-def test_session_tables(spark):
+def test_samples_in_one_scan(spark):
+    df = spark.createDataFrame(
+        [([2.0, None], True, float("nan"), b"b", "é"), ([2.0, 1.0], False, -0.0, b"", "z"), ([], None, 0.0, None, ""),
+         ([2.0, None], True, 5e-5, b"a", None), (None, None, None, None, "\n")],
+        "a array<double>, b boolean, x float, raw binary, s string").repartition(3)
+    got = {r.column_name: r.sample_values for r in C.column_profile({"t": df}).collect()}
+    assert got["a"] == '["[]", "[2.0, NULL]", "[2.0, 1.0]"]'
+    assert got["b"] == '["false", "true"]'
+    assert got["x"] == '["0.0", "5e-05", "nan"]'
+    assert got["s"] == '["", "\\n", "z"]'
+    assert got["raw"] == '["", "a", "b"]'
+    plan = C._samples(df, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("RDD") == 1
+
+
+def test_replaced_tables_and_views(spark):
     S.replace_table(spark.range(3).toDF("x"), "kept", ["x"])
     S.replace_table(spark.range(2).toDF("x"), "kept")
     S.replace_view(spark.range(5).toDF("y"), "seen")
-    tables, views = C.session_tables(spark)
-    assert tables["kept"].count() == 2
+    assert S.read_table(spark, "kept").count() == 2
     assert S.read_table(spark, "seen").count() == 5
-    assert "seen" in views
-    assert "kept" not in views
 
 
 def test_publish_reads_what_it_replaces(spark, tmp_path):

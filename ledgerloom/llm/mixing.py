@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.ordered import number_rows
+from ledgerloom.functions.ordered import number_rows, running_total
 from ledgerloom.llm.tables import aside
 from ledgerloom.session import stage
 
@@ -14,7 +14,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Leading bits of the hash that each histogram of a source tells apart.
 _LEVELS = (10, 20)
 _RESULTS = ["size", "source_size", "target", "repeats", "taken"]
-_INNER = ["_source", "_s", "_hash", "_bucket", "_cut_bucket", "_cut_hash", "_close", "_whole", "_copy"]
+_INNER = ["_source", "_s", "_hash", "_cuts", "_limits", "_close", "_whole", "_copy"]
+#: Runs of documents that the partial repetition of a source is made of, at most.
+_RUNS = 4
+_FIRST, _LAST = -(1 << 63), (1 << 63) - 1
 
 
 def word_count(text: str) -> Column:
@@ -37,29 +40,32 @@ def water_fill(sources: DataFrame, max_epochs: float) -> DataFrame:
 
     All sizes are shared out by weight.  A source whose share passes
     ``max_epochs`` times its size is clamped there and its excess goes to the
-    others by weight, until no share is above.  The state between rounds is one
-    number, the level (words a unit of weight gets); it only rises, and each
-    round clamps at least one more source, so the loop ends.  Sources without
-    words get 0; nothing but sources without positive weight gives all 0.
+    others by weight, until no share is above.
+
+    What each gets is the lesser of its cap and its weight times one level.  With
+    the sources in order of cap by weight, clamping the first k of them gives the
+    level (total - their caps) / (weight of the others); the level wanted is the
+    highest of these, as clamping too few or too many only lowers it.  So two running
+    totals find it, however many sources there are.  Sources without words or
+    without positive weight get 0.
     """
     cap = F.col("source_size") * F.lit(float(max_epochs))
     total = sources.agg(F.sum("source_size")).first()[0] or 0
-    level = 0.0
-    while True:
-        clamped = cap <= F.col("weight") * F.lit(level)
-        row = sources.agg(
-            F.sum(F.when(clamped, cap)).alias("used"),
-            F.sum(F.when(~clamped, F.col("weight"))).alias("weight"),
-        ).first()
-        if not row["weight"]:
-            break
-        risen = (total - (row["used"] or 0.0)) / row["weight"]
-        if risen <= level:
-            break
-        level = risen
-    return sources.select(
-        "*", F.least(cap, F.col("weight") * F.lit(level)).alias("target")
+    shared = sources.where("weight > 0 AND source_size > 0").select(
+        cap.alias("cap"), "weight", (cap / F.col("weight")).alias("_full")
     )
+    order = ["_full", "weight"]
+    filled = running_total(running_total(shared, order, "cap", "_caps"), order, "weight", "_weights")
+    row = filled.agg(F.sum("weight").alias("w"), F.max("_full").alias("top")).first()
+    level = 0.0
+    if row.w:
+        left = F.lit(row.w) - F.col("_weights")
+        best = filled.agg(F.max(F.when(left > 0, (F.lit(float(total)) - F.col("_caps")) / left))).first()[0]
+        level = max(total / row.w, best if best is not None else 0.0)
+        if filled.agg(F.sum("cap")).first()[0] <= total:
+            level = row.top
+    share = F.when(F.col("weight") > 0, F.least(cap, F.col("weight") * F.lit(level))).otherwise(F.lit(0.0))
+    return sources.select("*", share.alias("target"))
 
 
 def mix(
@@ -79,11 +85,14 @@ def mix(
 
     Every document of a source is taken as many whole times as the target holds
     the source.  For the fraction left, documents are ordered by a seeded hash of
-    id and text, and the longest run from the front that fits is taken once more;
-    then the one document that best closes the gap.  The run's end comes from two
+    id and text, and the longest run from the front that fits is taken once more.
+    The run ends at a document too long for the gap, so the documents behind it that
+    are no longer than the gap are tried the same way, a few times over; then the one
+    document that best closes what is left.  The end of a run comes from two
     histograms of 1,024 hash buckets a source, the second within the one bucket in
     which the first says it falls, and from the rows of one bucket of that; so no
-    task sorts a whole source and the texts are never shuffled.  Rows alike in id and text share a hash and hence a fate.
+    task sorts a whole source and the texts are never shuffled.  Rows alike in id and
+    text share a hash and hence a fate.
     An empty table gives no rows; null sources are a source.  Input columns
     with the names of results are replaced.
     """
@@ -91,7 +100,7 @@ def mix(
     hashed = F.xxhash64(F.lit(seed), F.col(id_col).isNull(), F.col(id_col), F.col(text_col))
     sized = docs.withColumns({
         "_source": F.col(source_col), "_hash": hashed, "size": word_count(text_col),
-    }).withColumn("_bucket", _bucket(_LEVELS[-1]))
+    })
     keyed = stage(sized.select("_source", "_hash", "size"), "sizes")
     sources = stage(
         keyed.groupBy("_source").agg(F.sum("size").alias("source_size"))
@@ -102,11 +111,11 @@ def mix(
     )
     plan = _cuts(keyed, stage(water_fill(sources, max_epochs), "targets"))
     plan = stage(plan, "cuts").withColumnRenamed("_source", "_s")
-    once = (
-        (F.col("_bucket") < F.col("_cut_bucket"))
-        | ((F.col("_bucket") == F.col("_cut_bucket")) & (F.col("_hash") <= F.col("_cut_hash")))
-        | (F.col("_hash") == F.col("_close"))
-    )
+    size, at = F.col("size"), F.col("_hash")
+    once = at == F.col("_close")
+    for i in range(_RUNS):
+        since = F.lit(True) if i == 0 else at > F.element_at("_cuts", i)
+        once = once | (since & (at <= F.element_at("_cuts", i + 1)) & (size <= F.element_at("_limits", i + 1)))
     repeats = F.when(F.col("size") > 0, F.col("_whole") + F.coalesce(once, F.lit(False)).cast("int"))
     return (
         sized.join(plan, F.col("_source").eqNullSafe(F.col("_s")))
@@ -117,83 +126,101 @@ def mix(
 
 
 def _bucket(bits: int) -> Column:
-    return F.shiftrightunsigned("_hash", 64 - bits)
+    return F.shiftright("_hash", 64 - bits)
 
 
-def _crossings(keyed: DataFrame, goals: DataFrame) -> DataFrame:
-    """The bucket in which each source's quota ends, and the words before it."""
+def _run_end(rows: DataFrame, goals: DataFrame) -> DataFrame:
+    """Where the longest run of ``rows`` that fits each source's gap ends.
+
+    ``goals(_g, _gap, _since, _limit)``: only rows behind ``_since`` and no larger than
+    ``_limit`` count.  Returns ``_t``, ``_end`` (null: no row fits) and ``_sum``;
+    sources whose rows all fit have ``_end`` behind all.
+    """
     before = (
-        Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    within = F.lit(True)
-    crossed = goals.select(
-        F.col("_source").alias("_g"), "_quota", F.lit(0).cast("long").alias("_up"),
-        F.lit(0).cast("long").alias("_base"),
+        Window.partitionBy("_g").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     )
+    same = F.col("_source").eqNullSafe(F.col("_g"))
+    counts = (F.col("_hash") > F.col("_since")) & (F.col("size") <= F.col("_limit"))
+    goals = goals.withColumns({"_up": F.lit(0).cast("long"), "_base": F.lit(0).cast("long")})
+    crossed, within, totals = goals, F.lit(True), None
     for bits in _LEVELS:
         histogram = (
-            keyed.join(crossed, F.col("_source").eqNullSafe(F.col("_g")) & within)
-            .groupBy("_source", "_quota", "_base", _bucket(bits).alias("_bucket"))
+            rows.join(crossed, same & counts & within)
+            .groupBy(*crossed.columns, _bucket(bits).alias("_bucket"))
             .agg(F.sum("size").alias("_words"))
             .withColumn(
                 "_below", F.col("_base") + F.coalesce(F.sum("_words").over(before), F.lit(0))
             )
         )
+        if totals is None:
+            histogram = stage(histogram, "histogram")
+            totals = histogram.groupBy(F.col("_g").alias("_t")).agg(F.sum("_words").alias("_all"))
         crossed = stage(
-            histogram.where(F.col("_below") + F.col("_words") > F.col("_quota"))
-            .groupBy("_source", "_quota")
+            histogram.where(F.col("_below") + F.col("_words") > F.col("_gap"))
+            .groupBy("_g", "_gap", "_since", "_limit")
             .agg(F.min(F.struct("_bucket", "_below")).alias("_c"))
-            .select(F.col("_source").alias("_g"), "_quota",
-                    F.col("_c._bucket").alias("_up"), F.col("_c._below").alias("_base")),
+            .select("_g", "_gap", "_since", "_limit", F.col("_c._bucket").alias("_up"), F.col("_c._below").alias("_base")),
             "crossings",
         )
         within = _bucket(bits) == F.col("_up")
-    return crossed.select("_g", "_quota", F.col("_up").alias("_b"), F.col("_base").alias("_below"))
+    upto = Window.partitionBy("_g").orderBy("_hash").rangeBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    inside = (
+        rows.join(crossed, same & counts & within)
+        .withColumn("_through", F.col("_base") + F.sum("size").over(upto))
+        .where(F.col("_through") <= F.col("_gap"))
+        .groupBy("_g").agg(F.max(F.struct("_hash", "_through")).alias("_i"))
+        .select(F.col("_g").alias("_s"), "_i")
+    )
+    # A run that ends where the bucket begins ends before its first row.
+    ends = crossed.join(inside, F.col("_g").eqNullSafe(F.col("_s")), "left").select(
+        F.col("_g").alias("_t"),
+        F.coalesce("_i._hash", F.shiftleft("_up", 64 - _LEVELS[-1]) - 1).alias("_end"),
+        F.coalesce("_i._through", "_base").alias("_sum"),
+    )
+    whole = goals.select("_g").join(totals, F.col("_g").eqNullSafe(F.col("_t")), "left").join(
+        ends.select(F.col("_t").alias("_e")), F.col("_g").eqNullSafe(F.col("_e")), "left_anti"
+    )
+    return ends.unionByName(whole.select(
+        F.col("_g").alias("_t"), F.lit(_LAST).alias("_end"), F.coalesce("_all", F.lit(0)).alias("_sum")
+    ))
 
 
 def _cuts(keyed: DataFrame, targets: DataFrame) -> DataFrame:
-    """Where the last, partial repetition of each source ends."""
+    """What the last, partial repetition of each source takes: runs, and one document."""
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
     goals = targets.withColumn("_whole", F.coalesce(whole, F.lit(0)).cast("int")).withColumn(
         "_quota", F.col("target") - F.col("_whole") * F.col("source_size")
     )
-    same = F.col("_source").eqNullSafe(F.col("_g"))
-    crossed = _crossings(keyed, goals)
-    fine = _bucket(_LEVELS[-1])
-    upto = Window.partitionBy("_source").orderBy("_hash").rangeBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    inside = (
-        keyed.join(crossed, same & (fine == F.col("_b")))
-        .withColumn("_through", F.col("_below") + F.sum("size").over(upto))
-        .where(F.col("_through") <= F.col("_quota"))
-        .groupBy("_source")
-        .agg(F.max(F.struct("_hash", "_through")).alias("_i"))
-        .select(F.col("_source").alias("_t"), F.col("_i._hash").alias("_cut_hash"), "_i._through")
-    )
-    ends = stage(
-        crossed.join(inside, F.col("_g").eqNullSafe(F.col("_t")), "left").select(
-            "_g", F.col("_b").alias("_cut_bucket"), "_cut_hash",
-            (F.col("_quota") - F.coalesce("_through", "_below")).alias("_gap"),
-        ),
-        "ends",
-    )
-    behind = (fine > F.col("_cut_bucket")) | (
-        (fine == F.col("_cut_bucket"))
-        & (F.col("_cut_hash").isNull() | (F.col("_hash") > F.col("_cut_hash")))
+    sized = keyed.where("size > 0")
+    state = goals.select(
+        F.col("_source").alias("_g"), F.col("_quota").alias("_gap"), F.lit(_FIRST).alias("_since"),
+        F.lit(_LAST).alias("_limit"), F.array().cast("array<long>").alias("_cuts"),
+        F.array().cast("array<long>").alias("_limits"),
     )
+    for _ in range(_RUNS):
+        ends = _run_end(sized, state.select("_g", "_gap", "_since", "_limit"))
+        joined = state.join(ends, F.col("_g").eqNullSafe(F.col("_t")))
+        gap = F.col("_gap") - F.col("_sum")
+        state = stage(joined.select(
+            "_g", gap.alias("_gap"), F.col("_end").alias("_since"), F.floor(gap).alias("_limit"),
+            F.array_append("_cuts", F.col("_end")).alias("_cuts"),
+            F.array_append("_limits", F.col("_limit")).alias("_limits"),
+        ), "runs")
+    same = F.col("_source").eqNullSafe(F.col("_g"))
     off = F.abs(F.col("size") - F.col("_gap"))
     closing = (
-        keyed.join(ends, same)
-        .where(behind & (off < F.col("_gap")))
+        sized.join(state.select("_g", "_gap", "_since"), same & (F.col("_hash") > F.col("_since")))
+        .where(off < F.col("_gap"))
         .groupBy("_source")
         .agg(F.min(F.struct(off.alias("_off"), "_hash")).alias("_n"))
         .select(F.col("_source").alias("_t"), F.col("_n._hash").alias("_close"))
     )
     return (
-        goals.join(ends, same, "left")
+        goals.join(state.select("_g", "_cuts", "_limits"), same, "left")
         .join(closing, F.col("_source").eqNullSafe(F.col("_t")), "left")
-        .select("_source", "source_size", "target", "_whole", "_cut_bucket", "_cut_hash", "_close")
+        .select("_source", "source_size", "target", "_whole", "_cuts", "_limits", "_close")
     )
 
 

@@ -282,6 +282,67 @@ def sourced(spark):
     return spark.createDataFrame(texts, "doc_id long, text string, source string").withColumn("w", F.lit(1))
 
 
+def plain_mix(spark, docs, by):
+    """The mix again, one document after the other, from each source's target."""
+    hashed = docs.select(
+        "doc_id", "source", "text", F.xxhash64(F.lit(20), F.col("doc_id").isNull(), "doc_id", "text").alias("h")
+    ).collect()
+    sizes = {r: len((r.text or "").split()) for r in hashed}
+    taken = []
+    for source in {r.source for r in hashed}:
+        own = sorted((r for r in hashed if r.source == source), key=lambda r: r.h)
+        total, target = sum(sizes[r] for r in own), by[source].target
+        whole = int(target // total) if total else 0
+        gap, at, limit, once = target - whole * total, 0, float("inf"), set()
+        for _ in range(mixing._RUNS):
+            while at < len(own):
+                size = sizes[own[at]]
+                if 0 < size <= limit:
+                    if size > gap:
+                        break
+                    once.add(own[at].h)
+                    gap -= size
+                at += 1
+            limit = int(gap)
+        left = [(abs(sizes[r] - gap), r.h) for r in own[at:] if sizes[r] and abs(sizes[r] - gap) < gap]
+        if left:
+            once.add(min(left)[1])
+        taken += [(r.doc_id, r.source, sizes[r] * (whole + (r.h in once)) if sizes[r] else 0) for r in own]
+    return sorted(taken, key=repr)
+
+
+def test_a_long_document_does_not_keep_a_source_from_its_target(spark):
+    docs = [(i, " ".join(["word"] * 20), "a") for i in range(100)] + [(100, " ".join(["long"] * 3000), "a")]
+    docs += [(200 + i, "x " * 1000, "b") for i in range(10)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    weights = spark.createDataFrame([("a", 6500.0), ("b", 8500.0)], "source string, weight double")
+    for seed in range(3):
+        mixed = mixing.mix(df, weights, seed=seed)
+        taken, target = mixed.where("source = 'a'").agg(F.sum("taken"), F.first("target")).first()
+        assert target == pytest.approx(6500)
+        assert abs(taken - target) < 20
+
+
+def test_water_filling_equals_rounds_of_clamping(spark):
+    rng.seed(4)
+    sources = [(f"s{i}", rng.randint(0, 1000), float(rng.choice([0, 1, 2, 5, 9]))) for i in range(60)]
+    sources += [("big", 100_000, 1.0), (None, 7, 3.0)]
+    df = spark.createDataFrame(sources, "_source string, source_size long, weight double")
+    for epochs in (1.0, 1.5, 3.0):
+        got = {r._source: r.target for r in mixing.water_fill(df, epochs).collect()}
+        total, clamped = sum(s for _, s, _ in sources), set()
+        while True:
+            left = total - sum(epochs * s for i, s, _ in sources if i in clamped)
+            weight = sum(w for i, _, w in sources if i not in clamped)
+            over = {i for i, s, w in sources if i not in clamped and w and left * w / weight > epochs * s}
+            if not over:
+                break
+            clamped |= over
+        for i, s, w in sources:
+            want = epochs * s if i in clamped else left * w / weight if w else 0
+            assert got[i] == pytest.approx(want)
+
+
 def test_mixing(spark):
     docs = sourced(spark)
     weights = mixing.ranked_weights(docs, "source", (5, 2, 1))
@@ -305,6 +366,7 @@ def test_mixing(spark):
     assert mixed.count() == docs.count()
     assert mixed.where("taken > 3 * size").count() == 0
     assert rows(mixed, "doc_id", "taken") == rows(mixing.mix(docs.repartition(7), weights), "doc_id", "taken")
+    assert rows(mixed, "doc_id", "source", "taken") == plain_mix(spark, docs, by)
     repeated = mixing.repeat_rows(mixed, docs.columns)
     assert repeated.count() == mixed.agg(F.sum("repeats")).first()[0]
     none = docs.limit(0)

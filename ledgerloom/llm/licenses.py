@@ -53,6 +53,50 @@ PASSAGES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a "
      "copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
 )
+#: More families, so that none is taken for a licence that is worded like it.
+PASSAGES += (
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of "
+     "the GNU Affero General Public License as published by the Free Software Foundation, either version 3 "
+     "of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software "
+     "Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license "
+     "document, but changing it is not allowed."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse "
+     "Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of "
+     "the GNU General Public License as published by the Free Software Foundation; either version 2 of the "
+     "License, or (at your option) any later version."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software "
+     "Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license "
+     "document, but changing it is not allowed."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without "
+     "fee is hereby granted, provided that the above copyright notice and this permission notice appear in "
+     "all copies."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of "
+     "the GNU Lesser General Public License as published by the Free Software Foundation; either version "
+     "2.1 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free "
+     "Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license "
+     "document, but changing it is not allowed."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of "
+     "the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 "
+     "of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software "
+     "Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license "
+     "document, but changing it is not allowed."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to "
+     "copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or "
+     "as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+)
+#: What a notice of a family must say, and what tells that it is another one.
+TELLING = {
+    "AGPL-3.0": (("affero", "3"), ("lesser",)),
+    "GPL-2.0": (("2",), ("lesser", "library", "affero", "3")),
+    "GPL-3.0": (("3",), ("lesser", "affero")),
+    "LGPL-2.1": (("2", "1"), ("affero",)),
+    "LGPL-3.0": (("lesser", "3"), ("affero",)),
+}
+_TOLD = sorted({t for sides in TELLING.values() for terms_ in sides for t in terms_})
 _SPDX = r"(?i)SPDX-License-Identifier:\s*([a-z0-9.+-]+)"
 _HEADING = r"(?im)^[^a-z0-9\n]*(?:the )?(mit) license(?: \(mit\))?[^a-z0-9\n]*$"
 #: A line carries the licence of the template it is most like, from this cosine on.
@@ -66,6 +110,21 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _SEPARATORS), lambda t: t != "")
 
 
+def _told() -> Column:
+    """Those terms of a group of rows that tell families apart, at most all of them."""
+    return F.collect_set(F.when(F.col("term").isin(_TOLD), F.col("term")))
+
+
+def _is_told(told: str) -> Column:
+    """Whether what is told fits the licence: cosine alone hardly sees one word."""
+    fits = F.lit(True)
+    for name, (must, never) in TELLING.items():
+        wanted, other = (F.array(*map(F.lit, ts)).cast("array<string>") for ts in (must, never))
+        right = (F.size(F.array_except(wanted, told)) == 0) & ~F.arrays_overlap(told, other)
+        fits = F.when(F.col("license") == name, right).otherwise(fits)
+    return fits
+
+
 def _frequencies(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """In how many texts each wanted term occurs; all texts count."""
     held = texts.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
@@ -130,7 +189,7 @@ def own_licenses(
         _weighted(counts, stage(_frequencies(texts, others), "frequencies"), total), "weights"
     )
     square = F.sum(F.col("weight") * F.col("weight"))
-    lengths = weighed.groupBy(*key, "line").agg(F.sqrt(square).alias("_length"))
+    lengths = weighed.groupBy(*key, "line").agg(F.sqrt(square).alias("_length"), _told().alias("_told"))
     sizes = patterns.groupBy("license").agg(F.sqrt(square).alias("_size"))
     pattern = patterns.select("license", "term", F.col("weight").alias("_w")).join(sizes, "license")
     pattern = stage(pattern, "patterns")
@@ -140,7 +199,7 @@ def own_licenses(
         .agg(F.sum(F.col("weight") * F.col("_w")).alias("_dot"))
         .join(lengths, [*key, "line"])
         .withColumn("similarity", F.round(F.col("_dot") / (F.col("_length") * F.col("_size")), 6))
-        .where(F.col("similarity") >= least)
+        .where((F.col("similarity") >= least) & _is_told("_told"))
     )
     # The most similar; of equals, the first by name.
     best = F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("_b")
@@ -226,10 +285,10 @@ def passage_licenses(
         weighed.groupBy(*key, "passage", "start").agg(
             F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_length"),
             F.sum(F.col("weight") * F.col("_w")).alias("_dot"),
-            F.max("_size").alias("_size"), F.max("license").alias("license"),
+            F.max("_size").alias("_size"), F.max("license").alias("license"), _told().alias("_told"),
         )
         .withColumn("similarity", F.round(F.col("_dot") / (F.col("_length") * F.col("_size")), 6))
-        .where(F.col("similarity") >= least).select(*key, "license", "similarity")
+        .where((F.col("similarity") >= least) & _is_told("_told")).select(*key, "license", "similarity")
     )
 
 
@@ -245,7 +304,9 @@ def scan(
 
     Any line of a text can carry a notice; so can any run of terms as long as a notice
     or one of the ``passages``, within a line or across lines; and an SPDX identifier or
-    a line that only names the MIT licence counts as similarity 1.  A document without one of its own takes
+    a line that only names the MIT licence counts as similarity 1.  Families worded alike
+    (GPL, LGPL, AGPL and their versions) must also hold the words that tell them apart
+    (``TELLING``), or nothing is reported.  A document without one of its own takes
     that of the licence file in the nearest directory above it (its own directory
     first), found by joining paths: directories are few next to documents, and each
     is resolved once.  Several licence files in a directory: the most similar

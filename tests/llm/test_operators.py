@@ -447,6 +447,28 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_families_worded_alike_are_told_apart(spark):
+    """Headers and openings, wrapped and commented as they stand in files."""
+    def wrapped(text):
+        words = text.split()
+        return "\n".join(" * " + " ".join(words[i : i + 9]) for i in range(0, len(words), 9))
+
+    texts = [
+        (name, f"/*\n{wrapped(text)}\n */\n{prose(30)}") for name, text in licenses.PASSAGES
+        if "GPL" in name or name in ("ISC", "Unlicense", "EPL-2.0", "MPL-2.0")
+    ]
+    gpl = next(t for n, t in licenses.PASSAGES if n == "GPL-3.0" and t.startswith("This"))
+    texts += [
+        (None, gpl.replace("version 3", "version 4")), (None, gpl.replace("either version 3 of the License, or", "any")),
+        ("GPL-2.0", gpl.replace("version 3", "version 2")), ("AGPL-3.0", gpl.replace("GNU General", "GNU Affero General")),
+        ("LGPL-3.0", gpl.replace("GNU General", "GNU Lesser General").replace("program", "library")),
+    ]
+    docs = [(i, t, f"r/{i}.c") for i, (_, t) in enumerate(texts)] + [(100 + i, prose(60), f"p/{i}") for i in range(60)]
+    got = dict(rows(licenses.scan(spark.createDataFrame(docs, "doc_id long, text string, path string")), "doc_id", "license"))
+    assert [got[i] for i in range(len(texts))] == [name for name, _ in texts]
+    assert not any(got[100 + i] for i in range(60))
+
+
 def test_licenses_across_lines_in_lines_and_in_full(spark):
     full = {name: text for name, text in licenses.PASSAGES if name in ("MIT", "BSD-3-Clause", "MPL-2.0")}
 

@@ -165,7 +165,8 @@ def asof_join(
         F.lit(None).alias("_begin"),
     ).unionByName(starts)
     month = F.coalesce(F.trunc("_at", "MM"), F.lit("0001-01-01").cast("date"))
-    rows = rows.withColumn("_month", month)
+    # Dealt out by month too: a window alone would be content with the key.
+    rows = rows.withColumn("_month", month).repartition(key, "_month")
     inside = (
         Window.partitionBy(key, "_month").orderBy("_at", F.col("_begin").isNull())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)

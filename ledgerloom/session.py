@@ -26,8 +26,6 @@ _SETTINGS = {
     # an extra exchange: one account may own a third of all facts.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # A table clustered by bucket meets others on (bucket, key) without a shuffle.
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     # Unlike INT96, this type has statistics that let scans skip row groups.
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
     # The JVM never compiles a method above 8000 bytes of bytecode; a stage that

@@ -9,6 +9,8 @@ shuffled: the batch goes to the buckets.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 from hashlib import sha256
@@ -36,6 +38,22 @@ _MERGED = "merged"
 _PART, _BUCKET, _BLOCK = "part", "bucket", "block"
 
 
+@contextmanager
+def _joined_by_bucket(spark: SparkSession) -> Iterator[None]:
+    """Let tables clustered by bucket meet others on (bucket, key) without a shuffle.
+
+    Only while a lookup runs: elsewhere a join on more keys than its input is
+    clustered by, such as one on a salt, must deal its rows out anew.
+    """
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    held = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, held)
+
+
 @dataclass(frozen=True)
 class KeyIndex:
     """Keys by the run (part) that brought them; one key may be in several parts."""
@@ -167,9 +185,7 @@ class KeyIndex:
 
     # --- looking up -----------------------------------------------------------
 
-    def suspects(self, keys: DataFrame) -> DataFrame:
-        """Those distinct keys that the filter of some part passes: (key, bucket)."""
-        version = self._shape()
+    def _suspects(self, keys: DataFrame, version: Version) -> DataFrame:
         batch = self._placed(keys.select(self.key).distinct(), version).withColumns(
             {_BLOCK: self._block(version)} | {f"b{i}": bit for i, bit in enumerate(self._bits())}
         )
@@ -179,20 +195,29 @@ class KeyIndex:
         found = self._read(version, "filters").drop(_PART).join(batch, [_BUCKET, _BLOCK])
         return found.where(passed).select(self.key, _BUCKET).distinct()
 
+    def suspects(self, keys: DataFrame) -> DataFrame:
+        """Those distinct keys that the filter of some part passes: (key, bucket)."""
+        with _joined_by_bucket(self.spark):
+            return stage(self._suspects(keys, self._shape()), "suspects")
+
+    def lookup(self, suspects: DataFrame, buckets: list[int]) -> DataFrame:
+        """The suspects that the given buckets hold, with their parts; not run yet."""
+        return (
+            self._read(self._shape(), "keys").where(F.col(_BUCKET).isin(buckets))
+            .join(suspects, [_BUCKET, self.key], "left_semi").select(self.key, _PART)
+        )
+
     def known(self, keys: DataFrame) -> DataFrame:
         """The keys of a batch that the index holds, with the parts they are in.
 
         What reaches the driver is the list of buckets to read.
         """
-        version = self._shape()
-        if version is None:
+        if self._shape() is None:
             return keys.select(self.key, F.lit("").alias(_PART)).limit(0)
-        suspects = stage(self.suspects(keys), "suspects")
+        suspects = self.suspects(keys)
         buckets = [r[_BUCKET] for r in suspects.select(_BUCKET).distinct().collect()]
-        return (
-            self._read(version, "keys").where(F.col(_BUCKET).isin(buckets))
-            .join(suspects, [_BUCKET, self.key], "left_semi").select(self.key, _PART)
-        )
+        with _joined_by_bucket(self.spark):
+            return stage(self.lookup(suspects, buckets), "known")
 
     # --- runs that did not end --------------------------------------------------
 

@@ -42,12 +42,15 @@ def test_few_new_keys_pass_the_filters(spark, index):
 
 
 def test_history_is_not_shuffled_and_few_buckets_are_read(spark, index):
+    suspects = index.suspects(ids(spark, 10, 12))
+    buckets = [r.bucket for r in suspects.select("bucket").distinct().collect()]
     kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        found = index.known(ids(spark, 10, 12))
-        plan = found._jdf.queryExecution().executedPlan().toString()
-        assert found.count() == 2
+        with key_index._joined_by_bucket(spark):
+            found = index.lookup(suspects, buckets)
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert found.count() == 2
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     history, batch = plan.split("FileScan")[1:]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.tables import KEY, aside, join_small, row_key
@@ -125,86 +125,87 @@ def _is_told(told: str) -> Column:
     return fits
 
 
-def _frequencies(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """In how many texts each wanted term occurs; all texts count."""
+def _frequencies(texts: DataFrame) -> DataFrame:
+    """In how many texts each term occurs: all terms of all texts."""
     held = texts.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    return join_small(held, wanted, "term", "left_semi").groupBy("term").agg(
-        F.count("*").alias("df")
-    )
+    return held.groupBy("term").agg(F.count("*").alias("df"))
+
+
+class _Rarity:
+    """What makes the weight of a term: one count of all texts, read wherever it is needed."""
 
+    def __init__(self, texts: DataFrame):
+        self.texts = texts.count()
+        self.frequencies = stage(_frequencies(texts), "frequencies")
 
-def _weighted(counted: DataFrame, frequencies: DataFrame, texts: int) -> DataFrame:
-    """Add ``weight``, the count of a term times its inverse document frequency."""
-    rarity = F.log((1 + F.lit(texts)) / (1 + F.coalesce("df", F.lit(0)))) + 1
-    return join_small(counted, frequencies, "term").withColumn("weight", F.col("n") * rarity)
+    def weighted(self, counted: DataFrame) -> DataFrame:
+        """Add ``df`` and ``weight``, the count of a term times its inverse document frequency."""
+        wanted = stage(counted.select("term").distinct(), "wanted")
+        known = stage(join_small(self.frequencies, wanted, "term", "left_semi"), "known")
+        rarity = F.log((1 + F.lit(self.texts)) / (1 + F.coalesce("df", F.lit(0)))) + 1
+        return join_small(counted, known, "term").withColumn("weight", F.col("n") * rarity)
 
+    def patterns(self, notices: Sequence[tuple[str, str]], least: float) -> DataFrame:
+        """The terms of numbered notices with their weights, and whether a term is ``needed``.
 
-def own_licenses(
-    docs: DataFrame, templates: Sequence[tuple[str, str]], least: float, text_col: str, key: Sequence[str]
+        A text without any needed term of a notice has at most its other terms, whose
+        weight is too small for the cosine.  The commonest terms are the ones not needed.
+        """
+        listed = self.frequencies.sparkSession.createDataFrame(
+            [(i, *n) for i, n in enumerate(notices)], "number int, license string, notice string"
+        )
+        split = listed.withColumn("_terms", terms(F.col("notice")))
+        counted = (
+            split.select("number", "license", F.size("_terms").alias("_long"), F.explode("_terms").alias("term"))
+            .groupBy("number", "license", "_long", "term").agg(F.count("*").alias("n"))
+        )
+        square = F.col("weight") * F.col("weight")
+        of_notice = Window.partitionBy("number")
+        spent = F.sum(square).over(of_notice.orderBy(F.desc(F.coalesce("df", F.lit(0))), "term"))
+        enough = least**2 * F.sum(square).over(of_notice) * (1 - 1e-9)
+        return stage(
+            self.weighted(counted).select(
+                "number", "license", "_long", "term", F.col("weight").alias("_w"),
+                F.sqrt(F.sum(square).over(of_notice)).alias("_size"), (spent >= enough).alias("needed"),
+            ),
+            "patterns",
+        )
+
+
+def _needed(*patterns: DataFrame) -> Column:
+    """The needed terms of the patterns: no more than the notices have."""
+    listed = {row["term"] for p in patterns for row in p.where("needed").select("term").collect()}
+    return F.array(*map(F.lit, sorted(listed))).cast("array<string>")
+
+
+def line_licenses(
+    texts: DataFrame, patterns: DataFrame, rarity: _Rarity, least: float, key: Sequence[str]
 ) -> DataFrame:
     """(key..., license, similarity) of the texts with a line like a template.
 
-    A line can reach the cosine only if it holds a term without which the rest of a
-    template's weight is too small; so only lines with such a term are weighed,
-    and none that could qualify is left out.
+    Only lines with a needed term are weighed; none that could qualify is left out.
     """
-    spark: SparkSession = docs.sparkSession
-    texts = docs.select(*key, F.col(text_col).alias("text")).where("text is not null")
-    total = texts.count()
-    listed = spark.createDataFrame(list(templates), "license string, notice string")
-    counted = (
-        listed.select("license", F.explode(terms(F.col("notice"))).alias("term"))
-        .groupBy("license", "term").agg(F.count("*").alias("n"))
-    )
-    vocabulary = stage(counted.select("term").distinct(), "vocabulary")
-    known = stage(_frequencies(texts, vocabulary), "frequencies")
-    patterns = stage(_weighted(counted, known, total), "patterns")
-
-    # As many rows as the templates have terms.
-    needed: set[str] = set()
-    by_license: dict[str, list] = {}
-    for row in patterns.collect():
-        by_license.setdefault(row["license"], []).append((row["weight"] ** 2, row["term"]))
-    for squares in by_license.values():
-        allowance = least**2 * sum(s for s, _ in squares) * (1 - 1e-9)
-        spent = 0.0
-        for square, term in sorted(squares):
-            spent += square
-            if spent >= allowance:
-                needed.add(term)
-
-    marks = F.array(*map(F.lit, sorted(needed)))
     lines = stage(
-        texts.where(F.exists(marks, lambda t: F.contains(F.lower("text"), t)))
-        .select(*key, F.posexplode(F.split("text", "\n")).alias("line", "text"))
+        texts.select(*key, F.posexplode(F.split("text", "\n")).alias("line", "text"))
         .withColumn("terms", terms(F.col("text")))
-        .where(F.arrays_overlap("terms", marks))
+        .where(F.arrays_overlap("terms", _needed(patterns)))
         .select(*key, "line", "terms"),
         "lines",
     )
     words = lines.select(*key, "line", F.explode("terms").alias("term"))
     counts = words.groupBy(*key, "line", "term").agg(F.count("*").alias("n"))
-    others = stage(words.select("term").distinct(), "terms")
-    weighed = stage(
-        _weighted(counts, stage(_frequencies(texts, others), "frequencies"), total), "weights"
-    )
+    weighed = stage(rarity.weighted(counts), "weights")
     square = F.sum(F.col("weight") * F.col("weight"))
     lengths = weighed.groupBy(*key, "line").agg(F.sqrt(square).alias("_length"), _told().alias("_told"))
-    sizes = patterns.groupBy("license").agg(F.sqrt(square).alias("_size"))
-    pattern = patterns.select("license", "term", F.col("weight").alias("_w")).join(sizes, "license")
-    pattern = stage(pattern, "patterns")
     products = (
-        join_small(weighed, pattern, "term", "inner")
-        .groupBy(*key, "line", "license", "_size")
+        join_small(weighed, patterns, "term", "inner")
+        .groupBy(*key, "line", "number", "license", "_size")
         .agg(F.sum(F.col("weight") * F.col("_w")).alias("_dot"))
         .join(lengths, [*key, "line"])
         .withColumn("similarity", F.round(F.col("_dot") / (F.col("_length") * F.col("_size")), 6))
-        .where((F.col("similarity") >= least) & _is_told("_told"))
     )
-    # The most similar; of equals, the first by name.
-    best = F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("_b")
-    return products.groupBy(*key).agg(best).select(
-        *key, F.col("_b.license").alias("license"), (-F.col("_b.s")).alias("similarity")
+    return products.where((F.col("similarity") >= least) & _is_told("_told")).select(
+        *key, "license", "similarity"
     )
 
 
@@ -226,63 +227,62 @@ def named_licenses(
 
 
 def passage_licenses(
-    docs: DataFrame, passages: Sequence[tuple[str, str]], least: float, text_col: str, key: Sequence[str]
+    texts: DataFrame, patterns: DataFrame, rarity: _Rarity, least: float, key: Sequence[str]
 ) -> DataFrame:
     """(key..., license, similarity) of texts with a run of terms like a passage, across lines.
 
     The runs are as long as the passage and start with a term of it.  The cosine of a
     run is at most the share of the passage's length that the terms they have in common
-    make up, so only texts with enough of its terms are cut into runs.
+    make up.  So texts with too few of its terms go first; of the others, each block of
+    twice the passage's length, in which a run that starts in its first half also ends;
+    and only what is left is cut into runs.  A long text gives two words a word before that.
     """
-    spark: SparkSession = docs.sparkSession
-    texts = docs.select(*key, F.col(text_col).alias("text")).where("text is not null")
-    total = texts.count()
-    listed = spark.createDataFrame(
-        [(i, *p) for i, p in enumerate(passages)], "passage int, license string, notice string"
-    )
-    counted = (
-        listed.select("passage", "license", F.size(terms(F.col("notice"))).alias("_long"),
-                      F.explode(terms(F.col("notice"))).alias("term"))
-        .groupBy("passage", "license", "_long", "term").agg(F.count("*").alias("n"))
-    )
-    vocabulary = stage(counted.select("term").distinct(), "vocabulary")
-    known = stage(_frequencies(texts, vocabulary), "frequencies")
-    patterns = _weighted(counted, known, total).select(
-        "passage", "license", "_long", "term", F.col("weight").alias("_w")
-    )
-    sizes = patterns.groupBy("passage").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_size"))
-    patterns = stage(patterns.join(sizes, "passage"), "patterns")
-
-    held = texts.select(*key, F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     whole = (least * F.col("_size")) ** 2 * (1 - 1e-9)
+    share = F.sum(F.col("_w") * F.col("_w")).alias("_held")
+    passage = ["number", "_long", "_size"]
+    bags = texts.select(*key, F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     likely = stage(
-        join_small(held, patterns, "term", "inner")
-        .groupBy(*key, "passage", "_long", "_size").agg(F.sum(F.col("_w") * F.col("_w")).alias("_held"))
-        .where(F.col("_held") >= whole).select(*key, "passage", "_long", "_size"),
+        join_small(bags, patterns, "term", "inner")
+        .groupBy(*key, *passage).agg(share).where(F.col("_held") >= whole).select(*key, *passage),
         "likely",
     )
-    named = stage(likely.select(*key).distinct(), "named")
-    cut = stage(
-        join_small(texts, named, key, "left_semi").dropDuplicates([*key])
-        .select(*key, terms(F.col("text")).alias("terms")),
-        "cut",
+    block = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("terms") - 1) / F.col("_long")).cast("int")),
+        lambda b: F.struct(
+            b.alias("block"),
+            F.slice("terms", b * F.col("_long") + 1, 2 * F.col("_long") - 1).alias("words"),
+        ),
+    )
+    blocks = (
+        join_small(texts.select(*key, terms(F.col("text")).alias("terms")), likely, key, "inner")
+        .select(*key, *passage, F.explode(block).alias("_b"))
+        .select(*key, *passage, "_b.block", "_b.words")
+    )
+    blocks = stage(blocks, "blocks")
+    close = (
+        join_small(
+            blocks.select(*key, "number", "block", F.explode(F.array_distinct("words")).alias("term")),
+            patterns, ["number", "term"], "inner",
+        )
+        .groupBy(*key, *passage, "block").agg(share).where(F.col("_held") >= whole)
+        .select(*key, "number", "block")
     )
-    others = stage(cut.select(F.explode("terms").alias("term")).distinct(), "terms")
-    rare = stage(_frequencies(texts, others), "frequencies")
-    own = patterns.groupBy("passage").agg(F.collect_set("term").alias("_own"))
+    own = patterns.groupBy("number").agg(F.collect_set("term").alias("_own"))
     starts = F.filter(
-        F.sequence(F.lit(1), F.size("terms")),
-        lambda i: F.array_contains("_own", F.element_at("terms", i)),
+        F.sequence(F.lit(1), F.least("_long", F.size("words"))),
+        lambda i: F.array_contains("_own", F.element_at("words", i)),
     )
     runs = (
-        likely.join(cut, [*key]).join(F.broadcast(own), "passage")
-        .select(*key, "passage", "_long", "terms", F.explode(starts).alias("start"))
-        .select(*key, "passage", "start", F.explode(F.slice("terms", F.col("start"), F.col("_long"))).alias("term"))
-        .groupBy(*key, "passage", "start", "term").agg(F.count("*").alias("n"))
+        join_small(blocks, stage(close, "close"), [*key, "number", "block"], "left_semi")
+        .dropDuplicates([*key, "number", "block"]).join(F.broadcast(own), "number")
+        .select(*key, "number", "block", "_long", "words", F.explode(starts).alias("start"))
+        .select(*key, "number", "block", "start",
+                F.explode(F.slice("words", F.col("start"), F.col("_long"))).alias("term"))
+        .groupBy(*key, "number", "block", "start", "term").agg(F.count("*").alias("n"))
     )
-    weighed = join_small(_weighted(runs, rare, total), patterns, ["passage", "term"])
+    weighed = join_small(rarity.weighted(stage(runs, "runs")), patterns.drop("needed"), ["number", "term"])
     return (
-        weighed.groupBy(*key, "passage", "start").agg(
+        weighed.groupBy(*key, "number", "block", "start").agg(
             F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_length"),
             F.sum(F.col("weight") * F.col("_w")).alias("_dot"),
             F.max("_size").alias("_size"), F.max("license").alias("license"), _told().alias("_told"),
@@ -321,10 +321,16 @@ def scan(
     )
     path = F.col(path_col)
     keyed = docs.select("*", *row_key(text_col, path_col), F.regexp_extract(path, "^(.*)/", 1).alias("_dir"))
+    texts = keyed.select(*KEY, F.col(text_col).alias("text")).where("text is not null")
+    rarity = _Rarity(texts)
+    lines = rarity.patterns(templates, least)
+    runs = rarity.patterns([*templates, *passages], least)
+    some = F.arrays_overlap(terms(F.col("text")), _needed(lines, runs))
+    texts = stage(texts.where(some), "texts")
     found = (
-        own_licenses(keyed, templates, least, text_col, KEY)
+        line_licenses(texts, lines, rarity, least, KEY)
         .unionByName(named_licenses(keyed, templates, text_col, KEY))
-        .unionByName(passage_licenses(keyed, [*templates, *passages], least, text_col, KEY))
+        .unionByName(passage_licenses(texts, runs, rarity, least, KEY))
     )
     likest = F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("_b")
     own = stage(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import ceil, exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -15,19 +15,30 @@ from ledgerloom.llm.components import components
 from ledgerloom.llm.tables import KEY, join_small, row_key, runs_of
 from ledgerloom.session import stage
 
-#: 25 bands of 5 miss a pair of similarity 0.85 with probability 4e-7.
-BANDS, ROWS = 25, 5
-HASHES = BANDS * ROWS
+#: Hashes in a band.
+ROWS = 5
+#: The chance at most that a pair just similar enough shares no band.
+BAND_MISS = 5e-7
 #: Hashes compared between two looks at the posterior.
 BATCH = 25
 #: Members of a bucket compared in one task; larger buckets are cut into tiles.
 _TILE = 1024
 _KEYS = ", ".join(f"{k} long" for k in KEY)
-_factors = np.random.default_rng(4).integers(0, 1 << 63, (2, HASHES), dtype=np.uint64)
-_FACTOR, _SHIFT = _factors[0] * np.uint64(2) + np.uint64(1), _factors[1]
 
 
-def least_matches(percent: int, miss: float) -> list[int]:
+def bands_for(percent: int) -> int:
+    """Bands that miss a pair of the threshold with ``BAND_MISS`` at most: 25 at 85, 37 at 80."""
+    kept = 1 - (percent / 100) ** ROWS
+    return ceil(log(BAND_MISS) / log(kept)) if kept else 1
+
+
+def _seeds(hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and shifts of so many hashes; those of fewer are the first of them."""
+    seeds = np.random.default_rng(4).integers(0, 1 << 63, (hashes, 2), dtype=np.uint64)
+    return seeds[:, 0] * np.uint64(2) + np.uint64(1), seeds[:, 1]
+
+
+def least_matches(percent: int, miss: float, hashes: int) -> list[int]:
     """For each number of compared hashes, the matches below which a pair is dropped.
 
     With a uniform prior, the posterior chance that the similarity is at least t
@@ -35,10 +46,11 @@ def least_matches(percent: int, miss: float) -> list[int]:
     at most a.  A pair is dropped where that is below ``miss``.
     """
     t, out = percent / 100, []
-    for m in range(BATCH, HASHES + 1, BATCH):
+    for m in range(BATCH, hashes + 1, BATCH):
         total, a = 0.0, 0
         while True:
-            total += comb(m + 1, a) * t**a * (1 - t) ** (m + 1 - a)
+            ways = lgamma(m + 2) - lgamma(a + 1) - lgamma(m + 2 - a)
+            total += exp(ways + a * log(t) + (m + 1 - a) * log(1 - t))
             if total >= miss:
                 break
             a += 1
@@ -60,8 +72,9 @@ def _blobs(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
     ).cast(pa.binary())
 
 
-def _sign(n: int):
+def _sign(n: int, hashes: int):
     """Texts to (key, id, node, n_shingles, signature)."""
+    factor, shift = _seeds(hashes)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,13 +84,13 @@ def _sign(n: int):
                 some = np.flatnonzero(size)
                 starts = offsets[:-1][some]
                 node = np.zeros(len(size), np.uint64)
-                signed = np.zeros((len(some), HASHES), "<u4")
+                signed = np.zeros((len(some), hashes), "<u4")
                 if len(some):
                     node[some] = T.mix(np.add.reduceat(T.mix(sets), starts) + size[some].astype(np.uint64))
-                    for k in range(HASHES):
-                        value = (sets * _FACTOR[k] + _SHIFT[k]) >> np.uint64(32)
+                    for k in range(hashes):
+                        value = (sets * factor[k] + shift[k]) >> np.uint64(32)
                         signed[:, k] = np.minimum.reduceat(value, starts)
-                blobs = _blobs(signed.reshape(-1), np.arange(len(some) + 1) * HASHES)
+                blobs = _blobs(signed.reshape(-1), np.arange(len(some) + 1) * hashes)
                 at = np.full(len(size), -1)
                 at[some] = np.arange(len(some))
                 at = pa.array(at, mask=at < 0)
@@ -106,7 +119,8 @@ def _sets(n: int):
 
 
 def _signatures(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, HASHES)
+    """One row for each signature; all are of one length."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(len(column), -1)
 
 
 def _likely(least: list[int]):
@@ -149,7 +163,7 @@ def _across(least: list[int], percent: int):
                 if not len(alive):
                     continue
                 same = signature[alive] == signature[x]
-                shared = same.reshape(-1, BANDS, ROWS).all(2)
+                shared = same.reshape(len(alive), -1, ROWS).all(2)
                 keep = ~shared[:, :band].any(1)
                 for at, need in enumerate(least, start=1):
                     keep &= same[:, : at * BATCH].sum(1) >= need
@@ -190,14 +204,15 @@ class _Search:
     """One search: the classes of equal sets, and how pairs of them are confirmed."""
 
     def __init__(self, docs: DataFrame, n: int, percent: int, miss: float, id_col: str, text_col: str):
-        self.n, self.percent, self.least = n, percent, least_matches(percent, miss)
+        self.n, self.percent, self.bands = n, percent, bands_for(percent)
+        self.least = least_matches(percent, miss, self.bands * ROWS)
         self.texts = docs.select(
             *row_key(id_col, text_col), F.col(id_col).alias("id"), F.col(text_col).alias("text")
         )
         kind = self.texts.schema["id"].dataType.simpleString()
         self.rows = stage(
             self.texts.mapInArrow(
-                _sign(n),
+                _sign(n, self.bands * ROWS),
                 f"{_KEYS}, id {kind}, node long, n_shingles long, signature binary",
             ),
             "signatures",
@@ -214,7 +229,7 @@ class _Search:
 
     def buckets(self) -> DataFrame:
         """(bucket, band, node, center, members) of all buckets with several nodes."""
-        band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
+        band = F.explode(F.sequence(F.lit(0), F.lit(self.bands - 1)))
         width = 4 * ROWS
         piece = F.substring(F.col("signature"), F.col("band") * width + 1, F.lit(width))
         members = self.classes.select("node", "signature", band.alias("band")).select(
@@ -350,8 +365,10 @@ def near_duplicates(
     improbable (posterior below ``miss``) are dropped; full sets confirm the rest.
     Then only buckets whose nodes are still in several components are searched
     between the components, tile by tile and with the same two tests, and give a
-    forest of links, never pairs.  Nothing is capped.  Each node first tries the centre it shares most bands with; pairs that
-    are by then connected need no more proof.
+    forest of links, never pairs.  Nothing is capped.  Each node first tries the centre
+    it shares most bands with; pairs that are by then connected need no more proof.
+    The number of bands follows ``percent``, so that the chance of a missed pair is as
+    small at each (``BAND_MISS`` and ``miss``).
 
     Texts without words, null ones included, have no shingles and link with nothing;
     each is kept as its own group.  Rows with a null id group like others, but never

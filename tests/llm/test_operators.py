@@ -216,6 +216,18 @@ def test_best_fit_decreasing_against_scan():
         assert sorted(length - sum(sizes[p] for p in r) for r in got) == sorted(free)
 
 
+@pytest.mark.parametrize("percent", [50, 70, 80, 85, 95, 99])
+def test_bands_follow_the_threshold(percent):
+    missed = [(1 - (percent / 100) ** minhash.ROWS) ** (minhash.bands_for(percent) - less) for less in (0, 1)]
+    assert missed[0] <= minhash.BAND_MISS < missed[1]
+    assert minhash.bands_for(85) == 25 and minhash.bands_for(100) == 1
+    # A pair just at the threshold passes each look in all but the stated share of cases.
+    hashes = minhash.bands_for(percent) * minhash.ROWS
+    agree = np.random.default_rng(percent).random((20_000, hashes)) < percent / 100
+    for i, need in enumerate(minhash.least_matches(percent, 1e-6, hashes), start=1):
+        assert (agree[:, : i * minhash.BATCH].sum(1) >= need).mean() > 0.999
+
+
 @pytest.mark.parametrize("percent", [85, 80])
 def test_near_duplicates(spark, percent):
     docs = [d for d in ODD if d[0] is not None]

@@ -23,6 +23,10 @@ BAND_MISS = 5e-7
 BATCH = 25
 #: Members of a bucket compared in one task; larger buckets are cut into tiles.
 _TILE = 1024
+#: The bits of a set's hash that make its node.
+_NODE_BITS = (1 << 64) - 1
+#: Added to hashes of shingles for the second hash of a set.
+_SECOND = 0xD1B54A32D192ED03
 _KEYS = ", ".join(f"{k} long" for k in KEY)
 
 
@@ -73,7 +77,10 @@ def _blobs(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 
 def _sign(n: int, hashes: int):
-    """Texts to (key, id, node, n_shingles, signature)."""
+    """Texts to (key, id, node, check, n_shingles, signature).
+
+    ``check`` is a second hash of the set beside its node.
+    """
     factor, shift = _seeds(hashes)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,10 +90,14 @@ def _sign(n: int, hashes: int):
                 size = np.diff(offsets)
                 some = np.flatnonzero(size)
                 starts = offsets[:-1][some]
-                node = np.zeros(len(size), np.uint64)
+                node, check = np.zeros((2, len(size)), np.uint64)
                 signed = np.zeros((len(some), hashes), "<u4")
                 if len(some):
-                    node[some] = T.mix(np.add.reduceat(T.mix(sets), starts) + size[some].astype(np.uint64))
+                    count = size[some].astype(np.uint64)
+                    first = T.mix(np.add.reduceat(T.mix(sets), starts) + count)
+                    node[some] = first & np.uint64(_NODE_BITS)
+                    again = T.mix(sets + np.uint64(_SECOND))
+                    check[some] = T.mix(np.add.reduceat(again, starts) ^ count)
                     for k in range(hashes):
                         value = (sets * factor[k] + shift[k]) >> np.uint64(32)
                         signed[:, k] = np.minimum.reduceat(value, starts)
@@ -97,6 +108,7 @@ def _sign(n: int, hashes: int):
                 yield pa.RecordBatch.from_pydict({
                     **{k: part.column(k) for k in [*KEY, "id"]},
                     "node": pa.array(node.view(np.int64), mask=size == 0),
+                    "check": pa.array(check.view(np.int64), mask=size == 0),
                     "n_shingles": pa.array(size, pa.int64()),
                     "signature": blobs.take(at),
                 })
@@ -213,20 +225,34 @@ class _Search:
         self.rows = stage(
             self.texts.mapInArrow(
                 _sign(n, self.bands * ROWS),
-                f"{_KEYS}, id {kind}, node long, n_shingles long, signature binary",
+                f"{_KEYS}, id {kind}, node long, check long, n_shingles long, signature binary",
             ),
             "signatures",
         )
-        # Texts with equal sets are one node; one of its rows stands for it.
+        stands = self._stands()
+        unlike = stage(stands.where("differ").select("node", "differ"), "unlike")
+        if unlike.take(1):
+            # Different sets under one hash: both hashes name their nodes.
+            both = F.when(F.col("differ"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+            rows = join_small(self.rows, unlike, "node").withColumn("node", both)
+            self.rows = stage(rows.drop("differ"), "signatures")
+            stands = self._stands()
         known = self.rows.where("node is not null")
-        stands = known.groupBy("node").agg(F.min(F.struct(*KEY)).alias("_k"))
-        stands = stands.select("node", *(F.col(f"_k.{k}").alias(k) for k in KEY))
         self.classes = stage(
-            known.join(stands, ["node", *KEY])
+            known.join(stands.drop("differ"), ["node", *KEY])
             .select("node", *KEY, "signature").dropDuplicates(["node"]),
             "classes",
         )
 
+    def _stands(self) -> DataFrame:
+        """(node, key, differ): the row that stands for all of equal sets."""
+        return stage(
+            self.rows.where("node is not null").groupBy("node")
+            .agg(F.min(F.struct(*KEY)).alias("_k"), F.min("check").alias("_l"), F.max("check").alias("_h"))
+            .select("node", *(F.col(f"_k.{k}").alias(k) for k in KEY), F.expr("_l <> _h").alias("differ")),
+            "stands",
+        )
+
     def buckets(self) -> DataFrame:
         """(bucket, band, node, center, members) of all buckets with several nodes."""
         band = F.explode(F.sequence(F.lit(0), F.lit(self.bands - 1)))
@@ -283,6 +309,35 @@ def _with_roots(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def _tiles(open_rows: DataFrame) -> DataFrame:
+    """(bucket, i, j, side, band, node, root): members beside those they may link to.
+
+    Members outside a bucket's largest component meet one another and that component,
+    whose members do not meet: a few outsiders cost a few copies of the bucket.
+    """
+    parts = open_rows.groupBy("bucket", "root").agg(F.count("*").alias("_n"))
+    largest = stage(
+        parts.groupBy("bucket").agg(F.max(F.struct("_n", "root")).alias("_m"), F.sum("_n").alias("_all"))
+        .select(
+            "bucket", F.col("_m.root").alias("_main"),
+            F.ceil(F.col("_m._n") / _TILE).cast("int").alias("_inside"),
+            F.ceil((F.col("_all") - F.col("_m._n")) / _TILE).cast("int").alias("_outside"),
+        ),
+        "largest",
+    )
+    is_main, hashed = F.col("root") == F.col("_main"), F.xxhash64("node")
+    inside, outside = F.col("_inside"), F.col("_outside")
+    side = F.when(is_main, outside + F.pmod(hashed, inside)).otherwise(F.pmod(hashed, outside))
+    last = F.when(is_main, outside - 1).otherwise(outside + inside - 1)
+    return (
+        join_small(open_rows, largest, "bucket", "inner")
+        .withColumn("side", side.cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), last)))
+        .select("bucket", F.least("side", "_other").alias("i"), F.greatest("side", "_other").alias("j"),
+                "side", "band", "node", "root")
+    )
+
+
 def groups(
     docs: DataFrame,
     n: int = 5,
@@ -320,28 +375,20 @@ def groups(
         rooted.groupBy("bucket").agg(F.min("root").alias("_l"), F.max("root").alias("_h"))
         .where("_l < _h").select("bucket")
     )
-    tiles = F.ceil(F.col("members") / _TILE).cast("int")
-    open_rows = (
-        rooted.join(split, "bucket")
-        .withColumn("side", F.pmod(F.xxhash64("node"), tiles).cast("int"))
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-        .select("bucket", F.least("side", "_other").alias("i"), F.greatest("side", "_other").alias("j"),
-                "side", "band", "node", "root")
-    )
-    open_rows = stage(open_rows, "open")
+    open_rows = stage(rooted.join(split, "bucket").select("bucket", "band", "node", "root"), "open")
     if open_rows.take(1):
         full = search.classes.select("node", "signature").join(
             search.sets(open_rows.select("node")), "node"
         )
         across = (
-            open_rows.join(full, "node")
+            _tiles(open_rows).join(full, "node")
             .repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
             .mapInArrow(_across(search.least, percent), "a long, b long")
         )
         links = stage(links.union(across), "links")
         labels = components(links)
 
-    return join_small(search.rows.drop("signature"), labels, "node").withColumn(
+    return join_small(search.rows.drop("check", "signature"), labels, "node").withColumn(
         "root", F.coalesce("root", "node")
     )
 
@@ -365,7 +412,8 @@ def near_duplicates(
     improbable (posterior below ``miss``) are dropped; full sets confirm the rest.
     Then only buckets whose nodes are still in several components are searched
     between the components, tile by tile and with the same two tests, and give a
-    forest of links, never pairs.  Nothing is capped.  Each node first tries the centre
+    forest of links, never pairs; members of a bucket's largest component meet only
+    those outside it.  Nothing is capped.  Each node first tries the centre
     it shares most bands with; pairs that are by then connected need no more proof.
     The number of bands follows ``percent``, so that the chance of a missed pair is as
     small at each (``BAND_MISS`` and ``miss``).
@@ -374,7 +422,7 @@ def near_duplicates(
     each is kept as its own group.  Rows with a null id group like others, but never
     name a group; if a group has no other ids, its ``component_id`` is null and all
     its rows are kept.  Rows that repeat an id and text share their fate.  An empty
-    table gives no rows.  Nodes are 64-bit hashes of sets.
+    table gives no rows.  Sets are told apart by two 64-bit hashes.
     """
     named = groups(docs, n, percent, miss, id_col, text_col)
     smallest = named.where("root is not null").groupBy("root").agg(F.min("id").alias("_least"))

@@ -256,6 +256,36 @@ def test_buckets_without_a_common_centre_are_searched(spark, monkeypatch):
     assert rows(found, "doc_id", "n_shingles", "component_id", "kept") == brute.near(docs, 85)
 
 
+def test_unlike_sets_under_one_hash_stay_apart(spark, monkeypatch):
+    # Three bits of a hash: nearly all sets share theirs with others.
+    monkeypatch.setattr(minhash, "_NODE_BITS", 7)
+    docs = [d for d in ODD if d[0] is not None]
+    found = minhash.near_duplicates(frame(spark, docs))
+    assert rows(found, "doc_id", "n_shingles", "component_id", "kept") == brute.near(docs, 85)
+
+
+def test_tiles_hold_each_open_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "_TILE", 8)
+    # Two buckets: one of a large component and a few others, one of single nodes.
+    members = [(1, 0, n, 5 if n < 100 else n) for n in range(112)]
+    members += [(2, 1, n, n) for n in range(20)]
+    tiles = minhash._tiles(spark.createDataFrame(members, "bucket long, band int, node long, root long"))
+    held, met = {}, Counter()
+    for r in tiles.collect():
+        held.setdefault((r.bucket, r.i, r.j), []).append(r)
+    for (bucket, i, j), tile in held.items():
+        for x in (r for r in tile if r.side == i):
+            for y in (r for r in tile if r.side == j):
+                if x.root != y.root and (i != j or y.node > x.node):
+                    met[bucket, min(x.node, y.node), max(x.node, y.node)] += 1
+    want = {
+        (b, x, y) for b, _, x, rx in members for c, _, y, ry in members if b == c and x < y and rx != ry
+    }
+    assert set(met) == want and set(met.values()) == {1}
+    # The large component is copied once for each tile of the others, not for its own.
+    assert sum(len(t) for (b, _, _), t in held.items() if b == 1) <= 112 * 2 + 12 * 14
+
+
 ITEMS = [
     (1, prose(14)), (2, prose(40)), (3, "lonely phrase"), (4, None), (5, ""), (6, "word"),
     (7, prose(10)), (7, prose(11)), (None, prose(12)), (8, " ".join(["again"] * 12)),

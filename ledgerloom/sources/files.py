@@ -19,6 +19,12 @@ def exists(spark: SparkSession, location: str) -> bool:
     return fs.exists(path)
 
 
+def qualified(spark: SparkSession, location: str) -> str:
+    """The location as listings have it: with scheme, and without a last slash."""
+    fs, path = _resolve(spark, location)
+    return fs.makeQualified(path).toString()
+
+
 def touch(spark: SparkSession, location: str) -> None:
     """Create an empty file."""
     fs, path = _resolve(spark, location)

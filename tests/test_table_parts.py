@@ -23,7 +23,7 @@ def parts(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["landing_listing", "manifest_pending"])
+@pytest.mark.parametrize("name", ["landing_listing", "manifest_pending", "schema_audit"])
 def test_tables_in_parts_are_listed_whole(spark, parts, name):
     con = duckdb.connect()
     for path in parts.glob("*.parquet"):

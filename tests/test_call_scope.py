@@ -36,3 +36,9 @@ def test_facts_no_check_reads_are_not_built(spark):
     before = staged(spark, "fct_transactions")
     QUERIES["suite_with_missing_table"](spark, SF_DIR).collect()
     assert staged(spark, "fct_transactions") == before
+
+
+def test_samples_write_no_tables(spark):
+    before = staged(spark, "fct_transactions"), staged(spark, "monthly_account_summary")
+    QUERIES["check_samples"](spark, SF_DIR).collect()
+    assert (staged(spark, "fct_transactions"), staged(spark, "monthly_account_summary")) == before

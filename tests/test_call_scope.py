@@ -1,10 +1,13 @@
 """What a query costs does not depend on queries that ran before it."""
 
+from ledgerloom.operators.quality import same_rows
 from ledgerloom.plans import testdata as td
 from ledgerloom.plans.registry import QUERIES
 from ledgerloom.session import workspace
 from ledgerloom.sources.files import child_names
 
+from conftest import rows_of
+
 SF_DIR = "/root/testdata/sf0.001"
 
 
@@ -42,3 +45,14 @@ def test_samples_write_no_tables(spark):
     before = staged(spark, "fct_transactions"), staged(spark, "monthly_account_summary")
     QUERIES["check_samples"](spark, SF_DIR).collect()
     assert (staged(spark, "fct_transactions"), staged(spark, "monthly_account_summary")) == before
+
+
+def test_tables_are_compared_in_one_grouping(spark):
+    a = spark.createDataFrame([("x", 1), ("x", 1), ("x", 1), ("y", None), ("z", 2)], "k string, n int")
+    b = spark.createDataFrame([(1, "x"), (None, "y"), (3, "w"), (3, "w")], "n int, k string")
+    odd = same_rows(a, b)
+    plan = odd._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert rows_of(odd) == sorted([
+        ("x", 1, "first"), ("x", 1, "first"), ("z", 2, "first"), ("w", 3, "second"), ("w", 3, "second"),
+    ], key=repr)

@@ -56,3 +56,12 @@ def test_tables_are_compared_in_one_grouping(spark):
     assert rows_of(odd) == sorted([
         ("x", 1, "first"), ("x", 1, "first"), ("z", 2, "first"), ("w", 3, "second"), ("w", 3, "second"),
     ], key=repr)
+
+
+def test_streamed_files_follow_the_shuffle_partitions(spark):
+    before = set(child_names(spark, workspace(spark)))
+    QUERIES["stream_daily_spend"](spark, SF_DIR)
+    new = set(child_names(spark, workspace(spark))) - before
+    folder = next(name for name in new if name.startswith("staged_files-"))
+    files = child_names(spark, f"{workspace(spark)}/{folder}")
+    assert 0 < sum(name.endswith(".parquet") for name in files) <= 4

@@ -48,6 +48,9 @@ def _states(names: Sequence[str], k: int):
             for name in names:
                 least = _least(batch.column(name), k)
                 held[name] = _least(pa.concat_arrays([held[name], least]), k) if name in held else least
+            # What batches leave would stay with the worker, which outlives its tasks.
+            batch = least = None
+            pa.default_memory_pool().release_unused()
         if held:
             yield pa.RecordBatch.from_pydict({
                 n: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for n, v in held.items()

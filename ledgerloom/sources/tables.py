@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,15 +35,36 @@ _CSV = {
 _CSV_ROWS = 1_000_000
 
 
-def append_partitioned(df: DataFrame, path: str, by: str, sort: Sequence[str] = ()) -> None:
+#: Shuffled bytes of rows that go to one file of a partition value.
+_FILE_BYTES = "32m"
+
+
+@contextmanager
+def _large_files(spark: SparkSession) -> Iterator[None]:
+    """Let REBALANCE gather more rows in a task than other steps do, while a table is written."""
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    held = spark.conf.get(name)
+    spark.conf.set(name, _FILE_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, held)
+
+
+def append_partitioned(
+    df: DataFrame, path: str, by: str, sort: Sequence[str] = (),
+    add: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> None:
     """Add rows to a partitioned parquet table.
 
-    REBALANCE gathers each partition value into few files of the advisory
-    size; adaptive execution splits a value that holds far more rows than the
-    others, so one hot value is still written by many tasks.
+    REBALANCE gathers each partition value into few files of ``_FILE_BYTES``;
+    adaptive execution splits a value that holds far more rows than the
+    others, so one hot value is still written by many tasks.  ``add`` adds to the
+    rows where they are written.
     """
-    balanced = df.hint("rebalance", F.col(by)).sortWithinPartitions(by, *sort)
-    balanced.write.mode("append").partitionBy(by).parquet(path)
+    balanced = add(df.hint("rebalance", F.col(by))).sortWithinPartitions(by, *sort)
+    with _large_files(df.sparkSession):
+        balanced.write.mode("append").partitionBy(by).parquet(path)
 
 
 def replace_partitions(df: DataFrame, path: str, by: str) -> None:

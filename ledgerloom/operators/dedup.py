@@ -86,7 +86,9 @@ def ingest_counts(
     read = labelled.groupBy(file).agg(
         F.count("*").alias("rows_read"), F.count_if(~F.col(VALID)).alias("quarantined")
     )
-    valid = label_duplicates(labelled.where(F.col(VALID)), known, key, file)
+    # Rows without a file meet no file below.  Said here, it holds for both groupings of
+    # keys, and they share one exchange.
+    valid = label_duplicates(labelled.where(F.col(VALID) & F.col(file).isNotNull()), known, key, file)
     zero = F.lit(0)
     return read.join(valid, file, "left").select(
         file,

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from contextvars import copy_context
 from dataclasses import dataclass
 from datetime import UTC, date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +32,7 @@ from ledgerloom.sources import manifest as M
 from ledgerloom.sources.key_index import KeyIndex
 from ledgerloom.sources.landing import (
     SOURCE_FILE,
+    SOURCE_ROW,
     damaged_files,
     hash_files,
     landing_files,
@@ -81,11 +83,18 @@ class Warehouse:
 
     def append_transactions(self, df: DataFrame) -> None:
         """Append the 13 columns, by month folder and sorted by date within it."""
-        monthly = df.select(
-            *schemas.TRANSACTIONS.names, F.trunc("transaction_date", "MM").alias(MONTH)
-        )
+        self._append(df.select(*schemas.TRANSACTIONS.names), "transaction_date", lambda rows: rows)
+
+    def append_landed(self, df: DataFrame, run_id: str, at: datetime) -> None:
+        """Append landed rows; what ``enrich`` adds to them is not dealt out with them."""
+        names = [*schemas.LANDING.names, SOURCE_FILE]
+        self._append(df.select(*names), F.to_date("timestamp"), lambda rows: enrich(rows, run_id, at))
+
+    def _append(self, df: DataFrame, day: Column | str, add: Callable[[DataFrame], DataFrame]) -> None:
         append_partitioned(
-            monthly, self.path("transactions"), MONTH, ["transaction_date", "transaction_id"]
+            df.withColumn(MONTH, F.trunc(day, "MM")), self.path("transactions"), MONTH,
+            ["transaction_date", "transaction_id"],
+            lambda rows: add(rows).withColumn(MONTH, F.trunc("transaction_date", "MM")),
         )
 
     def quarantine(self) -> DataFrame:
@@ -173,10 +182,10 @@ def write_batch(
         )
 
     def load() -> None:
-        fresh = stage(dedup_first(valid).join(known, KEY, "left_anti"), "fresh")
+        fresh = stage(dedup_first(valid).drop(SOURCE_ROW).join(known, KEY, "left_anti"), "fresh")
         own = known.where("own").select(KEY)
         index.begin(run_id)
-        house.append_transactions(enrich(fresh, run_id, at))
+        house.append_landed(fresh, run_id, at)
         # A repeat adds what its first attempt had loaded, too: parts are replaced.
         index.add(fresh.select(KEY).unionAll(own), run_id)
         index.end(run_id)

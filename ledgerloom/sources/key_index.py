@@ -186,11 +186,11 @@ class KeyIndex:
     # --- looking up -----------------------------------------------------------
 
     def _suspects(self, keys: DataFrame, version: Version) -> DataFrame:
-        batch = self._placed(keys.select(self.key).distinct(), version).withColumns(
-            {_BLOCK: self._block(version)} | {f"b{i}": bit for i, bit in enumerate(self._bits())}
-        )
+        placed = self._placed(keys.select(self.key).distinct(), version)
+        batch = placed.withColumn(_BLOCK, self._block(version))
+        # Bits follow from the key, where it meets its block: they need not travel with it.
         passed = reduce(and_, (
-            F.col(f"w{i}").bitwiseAND(F.col(f"b{i}")) != 0 for i in range(_WORDS)
+            F.col(f"w{i}").bitwiseAND(bit) != 0 for i, bit in enumerate(self._bits())
         ))
         found = self._read(version, "filters").drop(_PART).join(batch, [_BUCKET, _BLOCK])
         return found.where(passed).select(self.key, _BUCKET).distinct()
@@ -210,9 +210,11 @@ class KeyIndex:
     def known(self, keys: DataFrame) -> DataFrame:
         """The keys of a batch that the index holds, with the parts they are in.
 
-        What reaches the driver is the list of buckets to read.
+        What reaches the driver is the list of buckets to read.  An index without parts
+        holds none.
         """
-        if self._shape() is None:
+        version = self._shape()
+        if version is None or not self._parts(version):
             return keys.select(self.key, F.lit("").alias(_PART)).limit(0)
         suspects = self.suspects(keys)
         buckets = [r[_BUCKET] for r in suspects.select(_BUCKET).distinct().collect()]

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ledgerloom.llm import decontam, minhash, mixing, packing, quality
 from ledgerloom.llm.queries import SOURCE_WEIGHTS
 from ledgerloom.llm.tables import KEY, join_small, table, with_key
-from ledgerloom.session import scratch, stage, workspace
+from ledgerloom.session import bound_batches, scratch, stage, workspace
 
 #: What stages read; any other column passes through under a name of its own.
 _READ = ("doc_id", "text", "source")
@@ -24,6 +24,7 @@ def passing(stage_of: Callable) -> Callable:
     """Let the other columns pass a stage whatever they are called."""
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
         names = [c if c in _READ else f"_passing{i}" for i, c in enumerate(docs.columns)]
         return stage_of(spark, docs.toDF(*names), sf_dir).toDF(*docs.columns)
 
@@ -91,6 +92,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed token rows."""
+    bound_batches(spark)
     return packing.pack(docs, length=2048)
 
 

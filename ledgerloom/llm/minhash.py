@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import text as T
 from ledgerloom.llm.components import components
-from ledgerloom.llm.tables import KEY, join_small, row_key, runs_of
-from ledgerloom.session import stage
+from ledgerloom.llm.tables import KEY, given_back, join_small, row_key, runs_of
+from ledgerloom.session import bound_batches, stage
 
 #: Hashes in a band.
 ROWS = 5
@@ -84,7 +84,7 @@ def _sign(n: int, hashes: int):
     factor, shift = _seeds(hashes)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in given_back(batches):
             for part in T.slices(batch, "text"):
                 sets, offsets = shingle_sets(part.column("text"), n)
                 size = np.diff(offsets)
@@ -120,7 +120,7 @@ def _sets(n: int):
     """Texts to (node, set), the set as packed 64-bit hashes."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in given_back(batches):
             for part in T.slices(batch, "text"):
                 yield pa.RecordBatch.from_pydict({
                     "node": part.column("node"),
@@ -139,7 +139,7 @@ def _likely(least: list[int]):
     """Keep pairs that no batch of signature hashes rules out."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in given_back(batches):
             if not batch.num_rows:
                 continue
             a, b = _signatures(batch.column("sa")), _signatures(batch.column("sb"))
@@ -163,7 +163,7 @@ def _across(least: list[int], percent: int):
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tile in runs_of(batches, ["bucket", "i", "j"]):
+        for tile in runs_of(given_back(batches), ["bucket", "i", "j"]):
             node, root, side = (tile.column(c).to_numpy() for c in ("node", "root", "side"))
             i, j, band = (tile.column(c)[0].as_py() for c in ("i", "j", "band"))
             signature = _signatures(tile.column("signature"))
@@ -201,7 +201,7 @@ def _linked(percent: int):
     """Keep pairs whose full sets are similar enough."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in given_back(batches):
             keep = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column("xa"), batch.column("xb"), strict=True)):
                 x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
@@ -216,6 +216,7 @@ class _Search:
     """One search: the classes of equal sets, and how pairs of them are confirmed."""
 
     def __init__(self, docs: DataFrame, n: int, percent: int, miss: float, id_col: str, text_col: str):
+        bound_batches(docs.sparkSession)
         self.n, self.percent, self.bands = n, percent, bands_for(percent)
         self.least = least_matches(percent, miss, self.bands * ROWS)
         self.texts = docs.select(

@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from ledgerloom.llm import text as T
+from ledgerloom.llm.tables import given_back
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: how the vocabulary's texts are cut before pairs merge.
@@ -191,7 +192,7 @@ def pack(
         end = np.array([coder.end], coder.kind)
         tokens, ids, held, id_type = [], [], 0, None
         group = TaskContext.get().partitionId() << 32
-        for batch in batches:
+        for batch in given_back(batches):
             id_type = batch.column("id").type
             for part in T.slices(batch, "text"):
                 for i, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ledgerloom.llm import text as T
-from ledgerloom.llm.tables import aside
+from ledgerloom.llm.tables import aside, given_back
 
 #: Labelled documents a model is fitted on at most.
 SAMPLE = 3000
@@ -200,7 +200,7 @@ def chain_scores(model: Model, column) -> np.ndarray:
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in given_back(batches):
         for part in T.slices(batch, "text"):
             features, _, offsets = line_features(part.column("text"))
             blobs = [features[a:b].astype("<f4").tobytes()
@@ -266,7 +266,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
     docs, back = aside(docs, ["score"], used=[text_col])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in given_back(batches):
             for part in T.slices(batch, text_col):
                 value = (
                     np.full(part.num_rows, 0.5) if model is None

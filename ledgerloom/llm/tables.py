@@ -70,6 +70,14 @@ def aside(
     return df.toDF(*names), back
 
 
+def given_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what Arrow freed behind each goes back, as a worker outlives its tasks."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def runs_of(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
     """The rows of each key, one table at a time, from batches sorted by integer keys."""
     held: list[pa.RecordBatch] = []

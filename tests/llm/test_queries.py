@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +115,19 @@ def test_pipeline(spark, docs):
     assert {i for r in packed.collect() for i in r.doc_ids} == ids
     assert SOURCE_WEIGHTS == (5, 2, 1)
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("stage_of", [corpus_pipeline.keep_distinct, corpus_pipeline.pack_tokens])
+def test_batches_of_texts_are_bounded_by_bytes(spark, stage_of):
+    def nbytes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.nbytes])})
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    df = spark.range(900).select(F.col("id").alias("doc_id"), F.expr("repeat(id || ' ', 3000)").alias("text"))
+    df = df.union(spark.createDataFrame([(900, "long " * (1 << 20))], df.schema)).coalesce(1)
+    df = df.withColumn("source", F.lit("x"))
+    assert stage_of(spark, df, SF).count() > 0
+    sizes = sorted(r.n for r in df.mapInArrow(nbytes, "n long").collect())
+    # The long text is a batch of its own or the last of one; no other passes the bound by much.
+    assert sizes[-1] > 5 << 20 and sizes[-2] < 3 << 20 and len(sizes) > 3

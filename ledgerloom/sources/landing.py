@@ -16,6 +16,9 @@ from ledgerloom.sources.files import exists, open_input, qualified
 
 _FILES = "file_path string, path string, file_size_bytes long, file_mtime double"
 _CHUNK = 4 * 1024 * 1024
+_SUMS = "path string, length long, sha string"
+#: Bytes of a file that Spark's binary source may give as one value; a task holds several copies.
+_WHOLE = 32 * 1024 * 1024
 
 SOURCE_FILE, SOURCE_ROW = "source_file", "_source_row"
 
@@ -84,6 +87,32 @@ def _sha256(path: str) -> str:
     return digest.hexdigest()
 
 
+def file_sums(spark: SparkSession, directory: str, nested: bool = False) -> DataFrame:
+    """Length and SHA-256 of each file's bytes, in another way than listing and ``hash_files``.
+
+    Spark's own reader gives a file of up to ``_WHOLE`` bytes as one value.  A value holds
+    less than 2 GB, and a task several of its copies, so larger files go through a digest
+    of the standard library; their length is the number of bytes that came.
+    """
+    files = file_contents(spark, directory, nested)
+    whole = min(_WHOLE, int(spark.conf.get("spark.sql.sources.binaryFile.maxLength")))
+    small = files.where(F.col("length") <= whole).select(
+        "path", "length", F.sha2("content", 256).alias("sha")
+    )
+    large = files.where(F.col("length") > whole).select("path")
+    return small.unionByName(_spread(large).mapInPandas(_sum_files, _SUMS))
+
+
+def _sum_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for files in batches:
+        rows = []
+        for path in files["path"]:
+            with open_input(path) as source:
+                sha = hashlib.file_digest(source, "sha256").hexdigest()
+                rows.append((path, source.tell(), sha))
+        yield pd.DataFrame(rows, columns=["path", "length", "sha"])
+
+
 # --- schema audit -----------------------------------------------------------
 
 _ACCEPTED = {

@@ -27,7 +27,7 @@ from ledgerloom.operators.rows import (
     validate,
 )
 from ledgerloom.operators.runs import audit_row, latest_events, run_started
-from ledgerloom.session import configure, scratch, stage
+from ledgerloom.session import configure, freed_shuffles, scratch, stage
 from ledgerloom.sources import manifest as M
 from ledgerloom.sources.key_index import KeyIndex
 from ledgerloom.sources.landing import (
@@ -221,7 +221,7 @@ def run_ingest(
     counters: dict[str, int] = {}
     status = "failed"
     try:
-        with scratch(spark):
+        with scratch(spark), freed_shuffles(spark):
             counters = _ingest(house, source_dir, run_id, at, mode, full_refresh)
         status = "completed"
     finally:

@@ -14,7 +14,7 @@ from ledgerloom import schemas
 from ledgerloom.operators.marts import DAILY_GRAIN, daily_spend
 from ledgerloom.operators.runs import audit_row
 from ledgerloom.plans.ingest import Warehouse, load_files
-from ledgerloom.session import configure, scratch, stage
+from ledgerloom.session import configure, freed_shuffles, scratch, stage
 from ledgerloom.sources.files import child_names, delete
 from ledgerloom.sources.landing import hash_files, listed
 from ledgerloom.sources.manifest import pending_files
@@ -70,7 +70,8 @@ def ingest_stream(
         started = time.monotonic()
         shape = schemas.INGESTION_RUNS
         counters = dict.fromkeys((f.name for f in shape if f.dataType.typeName() == "long"), 0)
-        with scratch(batch.sparkSession):
+        session = batch.sparkSession  # a session of its own: what it stages is read in the warehouse's
+        with scratch(session), freed_shuffles(session), freed_shuffles(house.spark):
             files = stage(hash_files(batch), "files")
             held = house.published("file_manifest", schemas.FILE_MANIFEST)
             pending = stage(pending_files(files, held), "pending")
